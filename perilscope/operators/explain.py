@@ -61,31 +61,32 @@ def shap_effects(
     indexed, size = with_hash_index(pool, key, f"reference:{seed}")
     if size == 0:
         raise ValueError("the reference table has no rows")
-    indexed = indexed.select("_index", *[F.col(f).alias(f"_ref_{f}") for f in features])
+    # own and reference values travel as two structs
+    indexed = indexed.select("_index", F.struct(*features).alias("_ref"))
     if reference_pool is not None:
         indexed = F.broadcast(indexed)
 
     drawn = (
-        explain.select(F.col(key), *[F.col(f).alias(f"_own_{f}") for f in features])
+        explain.select(F.col(key), F.struct(*features).alias("_own"))
         .withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("_index", hash_number(seeded_hash(seed, F.col(key), F.col("_draw"))) % size)
         .join(indexed, "_index")
     )
-    ticket = {f: seeded_hash(seed, F.col(key), F.col("_draw"), F.lit(f)) for f in features}
-    ordered = drawn.withColumns({f"_ticket_{f}": t for f, t in ticket.items()}).withColumn(
-        "_order", F.sort_array(F.array(*[F.col(f"_ticket_{f}") for f in features]))
-    )
+    tickets = {
+        f"_ticket_{f}": seeded_hash(seed, F.col(key), F.col("_draw"), F.lit(f)) for f in features
+    }
+    ordered = drawn.withColumns(tickets).withColumn("_order", F.sort_array(F.array(*tickets)))
     ranked = ordered.withColumns(
         {f"_rank_{f}": F.array_position("_order", F.col(f"_ticket_{f}")) - 1 for f in features}
     )
     hybrids = ranked.withColumn("_step", F.explode(_steps(features, targets))).select(
         key,
         "_step",
-        *[f"_own_{f}" for f in targets],
+        "_own",
         *[f"_rank_{f}" for f in targets],
         *[
-            F.when(F.col(f"_rank_{f}") < F.col("_step"), F.col(f"_own_{f}"))
-            .otherwise(F.col(f"_ref_{f}"))
+            F.when(F.col(f"_rank_{f}") < F.col("_step"), F.col("_own")[f])
+            .otherwise(F.col("_ref")[f])
             .alias(f)
             for f in features
         ],
@@ -99,13 +100,11 @@ def shap_effects(
         )
         return (F.sum(change) / draws).alias(f"_effect_{f}")
 
-    wide = scored.groupBy(key).agg(
-        *[effect(f) for f in targets], *[F.first(f"_own_{f}").alias(f"_own_{f}") for f in targets]
-    )
+    wide = scored.groupBy(key).agg(*[effect(f) for f in targets], F.first("_own").alias("_own"))
     cells = [
         F.struct(
             F.lit(f).alias("feature_name"),
-            F.col(f"_own_{f}").cast("string").alias("feature_value"),
+            F.col("_own")[f].cast("string").alias("feature_value"),
             F.col(f"_effect_{f}").alias("shap_effect"),
         )
         for f in targets

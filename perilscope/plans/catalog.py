@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from perilscope.functions import expressions as X
 from perilscope.operators.features import MODEL_FEATURES, FeaturePipeline, fit_preprocessing
+from perilscope.operators.selection import drop_incomplete
 from perilscope.operators.sampling import with_split_flag
 from perilscope.operators.scoring import LogisticScorer, Scorer
 from perilscope.sources.tables import POLICY_COLUMNS, policies, policies_sql
@@ -49,7 +50,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).na.drop("any")
+    return drop_incomplete(labelled(spark, sf_dir))
 
 
 def split_policies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from perilscope.operators import explain as E
+from perilscope.operators.selection import drop_incomplete
 from perilscope.operators.sampling import sample_rows
 from perilscope.plans.catalog import (
     GBT_LOGIT, NET_LOGIT, STATISTICS, derived_select, fitted, logistic_scorers, prepared_select,
@@ -63,7 +64,7 @@ SHAP_ONE = shap_sql(FEATURES, rows=1)
 
 def _shap(spark, sf_dir, rows=ROWS, targets=None):
     df, pipeline = fitted(spark, sf_dir)
-    whole = df.na.drop("any")
+    whole = drop_incomplete(df)
     return E.shap_by_model(
         sample_rows(whole, "id_policy", rows),
         "id_policy",
@@ -83,7 +84,7 @@ def _net(shap):
 select row_id, feature_name, feature_value, round(shap_effect, 6) + 0 as shap_effect from shap where model = 'net'"""))
 def shap_long(spark, sf_dir):
     df, pipeline = fitted(spark, sf_dir)
-    whole = df.na.drop("any")
+    whole = drop_incomplete(df)
     shap = E.shap_effects(
         sample_rows(whole, "id_policy", ROWS), "id_policy", logistic_scorers(pipeline)["net"],
         FEATURES, reference=whole, draws=DRAWS,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from perilscope.operators.explain import EFFECT_FEATURES
 from perilscope.operators.oneway import one_way, one_way_features, with_bins
 from perilscope.operators.profiles import histogram, kernel_profile
+from perilscope.operators.selection import drop_incomplete
 from perilscope.operators.scoring import with_scores
 from perilscope.plans.catalog import (
     SCORED, fitted, labelled, logistic_scorers, query, rounded, select_policies, with_policies,
@@ -110,7 +111,7 @@ rescored as (select c.*, net, gbt from complete c join scored using (id_policy))
     _RESCORED + one_way_sql(["vh_value"], ["event", "net", "gbt"], "rescored", named=False)))
 def one_way_scored(spark, sf_dir):
     df, pipeline = fitted(spark, sf_dir)
-    scored = with_scores(df.na.drop("any"), logistic_scorers(pipeline))
+    scored = with_scores(drop_incomplete(df), logistic_scorers(pipeline))
     return rounded(one_way(scored, "vh_value", 10, targets=["event", "net", "gbt"]), "event", "net", "gbt")
 
 
@@ -118,7 +119,7 @@ def one_way_scored(spark, sf_dir):
     _RESCORED + one_way_sql(EFFECT_FEATURES, ["event", "net", "gbt"], "rescored")))
 def one_way_scored_all(spark, sf_dir):
     df, pipeline = fitted(spark, sf_dir)
-    scored = with_scores(df.na.drop("any"), logistic_scorers(pipeline))
+    scored = with_scores(drop_incomplete(df), logistic_scorers(pipeline))
     targets = ["event", "net", "gbt"]
     return rounded(one_way_features(scored, EFFECT_FEATURES, 10, targets=targets), *targets)
 

@@ -240,14 +240,14 @@ def batch_scoring(spark, sf_dir):
     return rounded(read, "prediction")
 
 
-def _outside_model(batch: pd.DataFrame) -> pd.Series:
-    z = 0.02 * batch["drv_age1"] - 0.00005 * batch["vh_value"]
-    return 1 / (1 + np.exp(-z))
-
-
 @query("outside_model", select_policies("""
 select id_policy, round(1 / (1 + exp(-(cast(0.02 as double) * drv_age1 - cast(0.00005 as double) * vh_value))), 6)
   as score from policies"""))
 def outside_model(spark, sf_dir):
+    # defined here so that it is shipped to the workers by value
+    def predict(batch: pd.DataFrame) -> pd.Series:
+        z = 0.02 * batch["drv_age1"] - 0.00005 * batch["vh_value"]
+        return 1 / (1 + np.exp(-z))
+
     df = policies(spark, sf_dir).select("id_policy", "drv_age1", "vh_value")
-    return rounded(PandasScorer(_outside_model)(df, "score").select("id_policy", "score"), "score")
+    return rounded(PandasScorer(predict)(df, "score").select("id_policy", "score"), "score")

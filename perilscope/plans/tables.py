@@ -11,6 +11,7 @@ from perilscope.functions import expressions as X
 from perilscope.operators import aggregates as A
 from perilscope.operators import sampling as S
 from perilscope.operators.quantiles import exact_quantiles
+from perilscope.operators.selection import drop_incomplete, filter_equal
 from perilscope.operators.scoring import with_user_column
 from perilscope.operators.whatif import overwrite, stack_frames
 from perilscope.plans.catalog import (
@@ -58,8 +59,8 @@ def select_cols(spark, sf_dir):
 
 @query("filter_equal", select_policies(
     "select id_policy, vh_value from policies where pol_coverage = 'Max'"))
-def filter_equal(spark, sf_dir):
-    return policies(spark, sf_dir).where(F.col("pol_coverage") == "Max").select("id_policy", "vh_value")
+def top_coverage(spark, sf_dir):
+    return filter_equal(policies(spark, sf_dir), "pol_coverage", "Max").select("id_policy", "vh_value")
 
 
 @query("positive_claims", select_policies(
@@ -69,8 +70,8 @@ def positive_claims(spark, sf_dir):
 
 
 @query("drop_incomplete", select_policies("select * from complete"))
-def drop_incomplete(spark, sf_dir):
-    return labelled(spark, sf_dir).na.drop("any")
+def complete_rows(spark, sf_dir):
+    return drop_incomplete(labelled(spark, sf_dir))
 
 
 @query("first_n", select_policies("select * from policies order by id_policy limit 100"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from perilscope.operators import models as M
 from perilscope.operators.explain import IMPORTANCE_FEATURES, shap_by_model, shap_importance
+from perilscope.operators.selection import drop_incomplete
 from perilscope.operators.sampling import sample_rows
 from perilscope.operators.scoring import score_difference, with_scores
 from perilscope.plans.catalog import fitted, labelled, query, rounded
@@ -71,7 +72,7 @@ def model_roundtrip(spark, sf_dir):
 @query("paired_scores")
 def paired_scores(spark, sf_dir):
     df, scorers = _both(spark, sf_dir)
-    out = with_scores(df.na.drop("any"), scorers)
+    out = with_scores(drop_incomplete(df), scorers)
     return rounded(out.select("id_policy", "event", "net", "gbt"), "net", "gbt")
 
 
@@ -85,7 +86,7 @@ def fitted_model_spread(spark, sf_dir):
 @query("fitted_importance")
 def fitted_importance(spark, sf_dir):
     df, scorers = _both(spark, sf_dir)
-    whole = df.na.drop("any")
+    whole = drop_incomplete(df)
     shap = shap_by_model(
         sample_rows(whole, "id_policy", 50), "id_policy", scorers,
         features=FEATURES, targets=IMPORTANCE_FEATURES, reference=whole,
