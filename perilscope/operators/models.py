@@ -272,14 +272,15 @@ def fit_frequency_severity(
 
 @dataclass
 class PurePremium:
-    """Bagged models of the claim amount itself."""
+    """Bagged models of the claim amount itself, fitted in units of ``scale``."""
 
     design: DesignMatrix
     models: list[PipelineModel]
+    scale: float
 
     def expected_claim(self, df: DataFrame, key: str = "id_policy") -> DataFrame:
         rows, mean = _mean_prediction(self.design.vectors_ready(df, [key]), self.models, "claim")
-        return rows.select(key, mean.alias("expected_claim"))
+        return rows.select(key, (mean * F.lit(self.scale)).alias("expected_claim"))
 
 
 def fit_pure_premium(
@@ -290,8 +291,14 @@ def fit_pure_premium(
     regularisation: float = 1e-3,
     parallelism: int = 5,
 ) -> PurePremium:
-    """Five Tweedie models of the claim amount, zeros included."""
+    """Five Tweedie models of the claim amount, zeros included.
+
+    Amounts are divided by their mean first: the solver starts zeros at a fixed
+    small value, which only suits labels around one.
+    """
     known = df.where(F.col(amount).isNotNull())
     design = fit_design_matrix(known, make_model_levels)
-    table = _glm_table(known, design, key, F.col(amount), "pure-premium")
-    return PurePremium(design, _fit_bags(table, design, "tweedie", regularisation, parallelism))
+    scale = known.agg(F.avg(amount)).first()[0] or 1.0
+    table = _glm_table(known, design, key, F.col(amount) / F.lit(scale), "pure-premium")
+    models = _fit_bags(table, design, "tweedie", regularisation, parallelism)
+    return PurePremium(design, models, scale)
