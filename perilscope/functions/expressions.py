@@ -57,9 +57,9 @@ def value_where(x: Column, key: Column, value: str) -> Column:
 
 
 def sigmoid(x: Column) -> Column:
-    """Logistic function; each branch only takes ``exp`` of a non-positive number."""
-    small = F.exp(-F.abs(x))
-    return F.when(x >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
+    """Logistic function. ``exp`` may overflow to infinity, which gives 0.0, so no
+    branch is needed and ``x`` appears only once in the compiled expression."""
+    return 1 / (1 + F.exp(-x))
 
 
 def zscore(x: Column, mean: float | None, std: float | None) -> Column:
@@ -98,8 +98,8 @@ def edges_at_or_below(x: Column, edges: Sequence[float]) -> Column:
 
 
 def linear_score(weights: Mapping[str, float], intercept: float) -> Column:
-    terms = [F.col(name) * F.lit(float(weight)) for name, weight in weights.items()]
-    return reduce(lambda a, b: a + b, terms, F.lit(float(intercept)))
+    terms = [f"`{name}` * {float(weight)!r}D" for name, weight in weights.items()]
+    return F.expr(" + ".join([f"{float(intercept)!r}D", *terms]))
 
 
 def log_loss(z: Column, y: Column) -> Column:

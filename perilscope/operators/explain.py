@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from perilscope.functions.expressions import hash_number, seeded_hash
 from perilscope.operators.sampling import large_sample, with_hash_index
-from perilscope.operators.scoring import Scorer
+from perilscope.operators.scoring import Scorer, with_scores
 
 # Raw features shown in the importance and effect tables.
 IMPORTANCE_FEATURES = [
@@ -29,10 +29,10 @@ EFFECT_FEATURES = [
 ]
 
 
-def shap_effects(
+def shap_by_model(
     explain: DataFrame,
     key: str,
-    scorer: Scorer,
+    scorers: Mapping[str, Scorer],
     features: Sequence[str],
     targets: Sequence[str] | None = None,
     reference: DataFrame | None = None,
@@ -40,8 +40,9 @@ def shap_effects(
     seed: int = 123,
     reference_pool: int | None = None,
 ) -> DataFrame:
-    """Effect of every target feature on the score of every explained row.
+    """Effect of every target feature on every model's score of every explained row.
 
+    Models share the draws, so they are scored on the same rows in one job.
     ``features`` are the raw columns that switch; ``targets`` (default: all) the
     ones reported. ``reference`` defaults to ``explain``. Draws come from the
     whole reference table, or from a uniform sample of ``reference_pool`` rows,
@@ -73,65 +74,56 @@ def shap_effects(
         .join(indexed, "_index")
     )
     tickets = {
-        f"_ticket_{f}": seeded_hash(seed, F.col(key), F.col("_draw"), F.lit(f)) for f in features
+        f"_ticket_{f}": F.expr(
+            f"md5(concat_ws(':', '{seed}', cast(`{key}` as string), cast(_draw as string), '{f}'))"
+        )
+        for f in features
     }
     ordered = drawn.withColumns(tickets).withColumn("_order", F.sort_array(F.array(*tickets)))
     ranked = ordered.withColumns(
-        {f"_rank_{f}": F.array_position("_order", F.col(f"_ticket_{f}")) - 1 for f in features}
+        {f"_rank_{f}": F.expr(f"array_position(_order, `_ticket_{f}`) - 1") for f in features}
     )
-    hybrids = ranked.withColumn("_step", F.explode(_steps(features, targets))).select(
-        key,
-        "_step",
-        "_own",
-        *[f"_rank_{f}" for f in targets],
+    mixed = [
+        f"case when `_rank_{f}` < _step then _own.`{f}` else _ref.`{f}` end as `{f}`"
+        for f in features
+    ]
+    hybrids = ranked.withColumn("_step", F.explode(_steps(features, targets))).selectExpr(
+        f"`{key}`", "_step", "_own", *[f"`_rank_{f}`" for f in targets], *mixed
+    )
+    scored = with_scores(hybrids, {f"_score_{m}": scorer for m, scorer in scorers.items()})
+
+    effects = {(m, f): f"_effect_{m}_{f}" for m in scorers for f in targets}
+    wide = scored.groupBy(key).agg(
         *[
-            F.when(F.col(f"_rank_{f}") < F.col("_step"), F.col("_own")[f])
-            .otherwise(F.col("_ref")[f])
-            .alias(f)
-            for f in features
+            F.expr(
+                f"sum(case when _step = `_rank_{f}` + 1 then `_score_{m}` "
+                f"when _step = `_rank_{f}` then -`_score_{m}` end) / {draws}"
+            ).alias(name)
+            for (m, f), name in effects.items()
         ],
+        F.first("_own").alias("_own"),
     )
-    scored = scorer(hybrids, "_score")
-
-    def effect(f: str) -> Column:
-        rank = F.col(f"_rank_{f}")
-        change = F.when(F.col("_step") == rank + 1, F.col("_score")).when(
-            F.col("_step") == rank, -F.col("_score")
-        )
-        return (F.sum(change) / draws).alias(f"_effect_{f}")
-
-    wide = scored.groupBy(key).agg(*[effect(f) for f in targets], F.first("_own").alias("_own"))
     cells = [
-        F.struct(
-            F.lit(f).alias("feature_name"),
-            F.col("_own")[f].cast("string").alias("feature_value"),
-            F.col(f"_effect_{f}").alias("shap_effect"),
-        )
-        for f in targets
+        f"struct('{m}' as model, '{f}' as feature_name, "
+        f"cast(_own.`{f}` as string) as feature_value, `{name}` as shap_effect)"
+        for (m, f), name in effects.items()
     ]
-    return wide.select(F.col(key).alias("row_id"), F.inline(F.array(*cells)))
+    return wide.selectExpr(f"`{key}` as row_id", f"inline(array({', '.join(cells)}))")
+
+
+def shap_effects(
+    explain: DataFrame, key: str, scorer: Scorer, features: Sequence[str], **options
+) -> DataFrame:
+    """``shap_by_model`` for one model, without the ``model`` column."""
+    return shap_by_model(explain, key, {"model": scorer}, features, **options).drop("model")
 
 
 def _steps(features: list[str], targets: list[str]) -> Column:
     """The hybrids to score: the whole walk, or the two around each target."""
     if 2 * len(targets) > len(features):
-        return F.sequence(F.lit(0).cast("bigint"), F.lit(len(features)).cast("bigint"))
-    around = [F.col(f"_rank_{f}") + i for f in targets for i in (0, 1)]
-    return F.array_distinct(F.array(*around))
-
-
-def shap_by_model(
-    explain: DataFrame, key: str, scorers: Mapping[str, Scorer], **options
-) -> DataFrame:
-    """``shap_effects`` of several models on the same draws, with a ``model`` column."""
-    frames = [
-        shap_effects(explain, key, scorer, **options).withColumn("model", F.lit(name))
-        for name, scorer in scorers.items()
-    ]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+        return F.expr(f"sequence(0L, {len(features)}L)")
+    around = [f"`_rank_{f}` + {i}" for f in targets for i in (0, 1)]
+    return F.expr(f"array_distinct(array({', '.join(around)}))")
 
 
 def shap_importance(shap: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -174,35 +166,45 @@ def loess_curve(points: DataFrame, by: Sequence[str] = (), grid: int = 10) -> Da
             {"_low": F.lit(low).cast("double"), "_high": F.lit(high).cast("double")}
         )
 
-    def place(i: int) -> Column:
-        return F.col("_low") + i * (F.col("_high") - F.col("_low")) / (grid - 1)
-
-    moments, cells = [], []
+    places, distances, weights, moments, cells = {}, {}, {}, [], []
     for i in range(grid):
-        width = F.greatest(place(i) - F.col("_low"), F.col("_high") - place(i))
-        u = F.coalesce(F.try_divide(F.col("x") - place(i), width), F.lit(0.0))
-        w = F.pow(1 - F.pow(F.abs(u), 3), 3)
-        moments += [F.sum(w * F.pow(u, p)).alias(f"s{p}_{i}") for p in range(5)]
-        moments += [F.sum(w * F.pow(u, p) * F.col("y")).alias(f"t{p}_{i}") for p in range(3)]
-        cells.append(
-            F.struct(place(i).alias("smooth_x"), _value_at_centre(i).alias("smooth_y"))
-        )
-    wide = ranged.groupBy(*by, "_low", "_high").agg(*moments)
+        places[f"_g{i}"] = F.expr(f"_low + {i} * (_high - _low) / {grid - 1}")
+        width = f"greatest(_g{i} - _low, _high - _g{i})"
+        distances[f"_u{i}"] = F.expr(f"coalesce(try_divide(x - _g{i}, {width}), 0D)")
+        cube = f"(1 - abs(_u{i} * _u{i} * _u{i}))"
+        weights[f"_w{i}"] = F.expr(f"{cube} * {cube} * {cube}")
+        for p in range(5):
+            term = " * ".join([f"_w{i}", *[f"_u{i}"] * p])
+            moments.append(F.expr(f"sum({term})").alias(f"s{p}_{i}"))
+            if p < 3:
+                moments.append(F.expr(f"sum({term} * y)").alias(f"t{p}_{i}"))
+        cells.append(F.struct(F.col(f"_g{i}").alias("smooth_x"), _centre(i).alias("smooth_y")))
+    wide = (
+        ranged.withColumns(places)
+        .withColumns(distances)
+        .withColumns(weights)
+        .groupBy(*by, *places)
+        .agg(*moments)
+    )
     return wide.select(*by, F.inline(F.array(*cells)))
 
 
-def _value_at_centre(i: int) -> Column:
-    s0, s1, s2, s3, s4 = (F.col(f"s{p}_{i}") for p in range(5))
-    t0, t1, t2 = (F.col(f"t{p}_{i}") for p in range(3))
-    square = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+def _centre(i: int) -> Column:
+    """Fitted value at grid point ``i``, from the moments s0..s4 and t0..t2."""
+    s0, s1, s2, s3, s4 = (f"s{p}_{i}" for p in range(5))
+    t0, t1, t2 = (f"t{p}_{i}" for p in range(3))
+    minor = f"({s2} * {s4} - {s3} * {s3})"
+    square = (
+        f"({s0} * {minor} - {s1} * ({s1} * {s4} - {s2} * {s3}) + {s2} * ({s1} * {s3} - {s2} * {s2}))"
+    )
     parabola = (
-        t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)
+        f"({t0} * {minor} - {s1} * ({t1} * {s4} - {s3} * {t2}) + {s2} * ({t1} * {s3} - {s2} * {t2}))"
     )
-    line = s0 * s2 - s1 * s1
-    return (
-        F.when(square > 1e-10 * F.pow(s0, 3), F.try_divide(parabola, square))
-        .when(line > 1e-10 * F.pow(s0, 2), F.try_divide(t0 * s2 - s1 * t1, line))
-        .otherwise(F.try_divide(t0, s0))
+    line = f"({s0} * {s2} - {s1} * {s1})"
+    return F.expr(
+        f"case when {square} > 1e-10D * {s0} * {s0} * {s0} then try_divide({parabola}, {square}) "
+        f"when {line} > 1e-10D * {s0} * {s0} then try_divide({t0} * {s2} - {s1} * {t1}, {line}) "
+        f"else try_divide({t0}, {s0}) end"
     )
 
 

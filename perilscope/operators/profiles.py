@@ -11,7 +11,11 @@ from perilscope.operators.quantiles import exact_quantiles
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Row counts of ``bins`` equal intervals from minimum to maximum; nulls are left out."""
+    """Row counts of ``bins`` equal intervals from minimum to maximum.
+
+    Nulls are dropped after grouping: a filter on a computed score would be
+    pushed down and have the score computed twice.
+    """
     x = F.col(column).cast("double")
     low, high = df.agg(F.min(x), F.max(x)).first()
     if low is None:
@@ -19,9 +23,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     width = (high - low) / bins or 1.0
     place = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
     return (
-        df.where(x.isNotNull())
-        .groupBy(place.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.groupBy(place.alias("bin"))
+        .agg(F.count(x).alias("n"))
+        .where("n > 0")
         .withColumn("lower", F.lit(low) + F.col("bin") * F.lit(width))
         .select("bin", "lower", "n")
         .orderBy("bin")
