@@ -128,7 +128,7 @@ def sweep(
 
     Threads only submit jobs, so several fits share the cluster at once.
     """
-    @inheritable_thread_target
+    @inheritable_thread_target(SparkSession.active())
     def run(setting):
         scorer = fit(setting)
         return scorer, evaluate(scorer)
@@ -240,7 +240,7 @@ def _fit_bags(
         family=family, regParam=regularisation, featuresCol="features", labelCol="label", **options
     )
 
-    @inheritable_thread_target
+    @inheritable_thread_target(SparkSession.active())
     def run(bag: str) -> PipelineModel:
         rows = scaler.transform(assembler.transform(table.where(F.col(bag))))
         return PipelineModel([assembler, scaler, trainer.fit(rows)])
