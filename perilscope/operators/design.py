@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilscope.functions import expressions as X
@@ -123,6 +123,21 @@ class DesignMatrix:
             *[c.alias(name) for name, c in make_model_columns(self.make_model_levels).items()],
         )
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Medians and kept levels as one small table."""
+        rows = [("median", i, c, self.medians[c]) for i, c in enumerate(NUMERIC_COLUMNS)]
+        rows += [("level", i, level, None) for i, level in enumerate(self.make_model_levels)]
+        table = spark.createDataFrame(rows, "kind string, position int, name string, value double")
+        table.coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> DesignMatrix:
+        rows = spark.read.parquet(path).orderBy("position").collect()
+        return DesignMatrix(
+            {row["name"]: row["value"] for row in rows if row["kind"] == "median"},
+            [row["name"] for row in rows if row["kind"] == "level"],
+        )
+
     def vectors_ready(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """``transform`` with unlisted ordered levels as 0, for models without nulls."""
         return self.transform(df, keep).fillna(0, subset=list(ordinal_columns()))

@@ -6,12 +6,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.regression import (
+    GeneralizedLinearRegression, GeneralizedLinearRegressionModel,
+)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from perilscope.operators.design import DesignMatrix, fit_design_matrix
 from perilscope.operators.features import FeaturePipeline
 from perilscope.operators.sampling import with_bag_flags
 from perilscope.operators.scoring import ModelScorer, Scorer
-from perilscope.session import materialise
+from perilscope.session import materialise, spread
 
 # The settings tried by the two sweeps and the bagging seeds.
 DEPTHS = list(range(2, 10))
@@ -40,7 +42,7 @@ def training_table(
     rows = assembler.transform(prepared).select(
         "features", F.col(label).alias("label"), (~F.col(is_train)).alias("is_eval")
     )
-    return materialise(rows, "training")
+    return spread(materialise(rows, "training"))
 
 
 def _servable(pipeline: FeaturePipeline, fitted) -> PipelineModel:
@@ -180,17 +182,31 @@ def mean_poisson_loss(df: DataFrame, log_rate: str, label: str) -> DataFrame:
 
 # --- frequency and severity -------------------------------------------------
 
-def _mean_prediction(
-    rows: DataFrame, models: list[PipelineModel], name: str
-) -> tuple[DataFrame, Column]:
-    """Predictions of every model side by side, and their mean."""
-    for i, model in enumerate(models):
-        rows = (
-            model.transform(rows)
-            .withColumnRenamed("prediction", f"{name}_{i}")
-            .drop("raw_features", "features")
+@dataclass
+class Bagged:
+    """Models fitted on different bags of the same vectors."""
+
+    vectoriser: PipelineModel
+    models: list[GeneralizedLinearRegressionModel]
+
+    def with_mean(self, rows: DataFrame, output: str) -> DataFrame:
+        """Add the mean prediction; vectors are built once for all models."""
+        names = [f"_{output}_{i}" for i in range(len(self.models))]
+        rows = self.vectoriser.transform(rows)
+        for name, model in zip(names, self.models):
+            rows = model.copy({model.predictionCol: name}).transform(rows)
+        mean = sum(F.col(name) for name in names) / len(names)
+        return rows.withColumn(output, mean).drop("raw_features", "features", *names)
+
+    def save(self, path: str) -> None:
+        PipelineModel(self.models).write().overwrite().save(f"{path}/models")
+        self.vectoriser.write().overwrite().save(f"{path}/vectoriser")
+
+    @staticmethod
+    def load(path: str) -> Bagged:
+        return Bagged(
+            PipelineModel.load(f"{path}/vectoriser"), PipelineModel.load(f"{path}/models").stages
         )
-    return rows, sum(F.col(f"{name}_{i}") for i in range(len(models))) / len(models)
 
 
 @dataclass
@@ -198,20 +214,18 @@ class FrequencySeverity:
     """Bagged claim-frequency and claim-size models over the design matrix."""
 
     design: DesignMatrix
-    frequency: list[PipelineModel]
-    severity: list[PipelineModel]
+    frequency: Bagged
+    severity: Bagged
 
     def expected_claim(self, df: DataFrame, key: str = "id_policy") -> DataFrame:
         """Mean frequency times mean severity, per row."""
-        rows, frequency = _mean_prediction(
-            self.design.vectors_ready(df, [key]), self.frequency, "freq"
-        )
-        rows, severity = _mean_prediction(rows, self.severity, "sev")
+        rows = self.design.vectors_ready(df, [key])
+        rows = self.severity.with_mean(self.frequency.with_mean(rows, "frequency"), "severity")
         return rows.select(
             key,
-            frequency.alias("frequency"),
-            severity.alias("severity"),
-            (frequency * severity).alias("expected_claim"),
+            "frequency",
+            "severity",
+            (F.col("frequency") * F.col("severity")).alias("expected_claim"),
         )
 
     def premium(self, df: DataFrame, key: str = "id_policy", loading: float = 0.25) -> DataFrame:
@@ -220,33 +234,55 @@ class FrequencySeverity:
             "premium", F.col("expected_claim") * F.lit(1 + loading)
         )
 
-
-def _glm_table(df: DataFrame, design: DesignMatrix, key: str, label, name: str) -> DataFrame:
-    """Design matrix and label with one training flag per bag, written once."""
-    flagged = with_bag_flags(df.withColumn("label", label), key, 0.9, BAG_SEEDS)
-    encoded = design.vectors_ready(flagged, [key, "label", *BAG_SEEDS])
-    return materialise(encoded, name)
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.design.save(spark, f"{path}/design")
+        self.frequency.save(f"{path}/frequency")
+        self.severity.save(f"{path}/severity")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FrequencySeverity:
+        return FrequencySeverity(
+            DesignMatrix.load(spark, f"{path}/design"),
+            Bagged.load(f"{path}/frequency"),
+            Bagged.load(f"{path}/severity"),
+        )
 
 
 def _fit_bags(
-    table: DataFrame, design: DesignMatrix, family: str, regularisation: float, parallelism: int
-) -> list[PipelineModel]:
+    df: DataFrame,
+    design: DesignMatrix,
+    key: str,
+    label: Column,
+    family: str,
+    regularisation: float,
+    parallelism: int,
+) -> Bagged:
+    """One generalised linear model per bag of 90 % of the rows.
+
+    The assembled vectors are written once, scaled, and kept for the fits, which
+    pass over them in every iteration. What does not fit in memory is kept on
+    disk; what is lost with an executor is read again from the written table.
+    """
     assembler = VectorAssembler(inputCols=design.columns, outputCol="raw_features")
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features").fit(
-        assembler.transform(table)
-    )
+    flagged = with_bag_flags(df.withColumn("label", label), key, 0.9, BAG_SEEDS)
+    encoded = assembler.transform(design.vectors_ready(flagged, ["label", *BAG_SEEDS]))
+    table = spread(materialise(encoded.select("raw_features", "label", *BAG_SEEDS), family))
+    scaler = StandardScaler(inputCol="raw_features", outputCol="features").fit(table)
     options = {"variancePower": 1.5, "linkPower": 0.0} if family == "tweedie" else {"link": "log"}
-    trainer = GeneralizedLinearRegression(
-        family=family, regParam=regularisation, featuresCol="features", labelCol="label", **options
-    )
+    trainer = GeneralizedLinearRegression(family=family, regParam=regularisation, **options)
+    scaled = scaler.transform(table).select("features", "label", *BAG_SEEDS)
+    scaled.persist(StorageLevel.MEMORY_AND_DISK)
 
     @inheritable_thread_target(SparkSession.active())
-    def run(bag: str) -> PipelineModel:
-        rows = scaler.transform(assembler.transform(table.where(F.col(bag))))
-        return PipelineModel([assembler, scaler, trainer.fit(rows)])
+    def run(bag: str) -> GeneralizedLinearRegressionModel:
+        return trainer.fit(scaled.where(F.col(bag)))
 
-    with ThreadPool(max(1, parallelism)) as pool:
-        return pool.map(run, list(BAG_SEEDS), chunksize=1)
+    try:
+        with ThreadPool(max(1, parallelism)) as pool:
+            models = pool.map(run, list(BAG_SEEDS), chunksize=1)
+    finally:
+        scaled.unpersist()
+    return Bagged(PipelineModel([assembler, scaler]), models)
 
 
 def fit_frequency_severity(
@@ -261,12 +297,12 @@ def fit_frequency_severity(
     gamma models of its size; each on its own 90 % of the rows."""
     known = df.where(F.col(amount).isNotNull())
     design = fit_design_matrix(known, make_model_levels)
-    occurrence = _glm_table(known, design, key, X.positive_flag(F.col(amount)), "frequency")
-    size = _glm_table(known.where(F.col(amount) > 0), design, key, F.col(amount), "severity")
+    claims = known.where(F.col(amount) > 0)
+    event, options = X.positive_flag(F.col(amount)), (regularisation, parallelism)
     return FrequencySeverity(
         design,
-        _fit_bags(occurrence, design, "poisson", regularisation, parallelism),
-        _fit_bags(size, design, "gamma", regularisation, parallelism),
+        _fit_bags(known, design, key, event, "poisson", *options),
+        _fit_bags(claims, design, key, F.col(amount), "gamma", *options),
     )
 
 
@@ -275,12 +311,12 @@ class PurePremium:
     """Bagged models of the claim amount itself, fitted in units of ``scale``."""
 
     design: DesignMatrix
-    models: list[PipelineModel]
+    models: Bagged
     scale: float
 
     def expected_claim(self, df: DataFrame, key: str = "id_policy") -> DataFrame:
-        rows, mean = _mean_prediction(self.design.vectors_ready(df, [key]), self.models, "claim")
-        return rows.select(key, (mean * F.lit(self.scale)).alias("expected_claim"))
+        rows = self.models.with_mean(self.design.vectors_ready(df, [key]), "_claim")
+        return rows.select(key, (F.col("_claim") * F.lit(self.scale)).alias("expected_claim"))
 
 
 def fit_pure_premium(
@@ -299,6 +335,6 @@ def fit_pure_premium(
     known = df.where(F.col(amount).isNotNull())
     design = fit_design_matrix(known, make_model_levels)
     scale = known.agg(F.avg(amount)).first()[0] or 1.0
-    table = _glm_table(known, design, key, F.col(amount) / F.lit(scale), "pure-premium")
-    models = _fit_bags(table, design, "tweedie", regularisation, parallelism)
+    label = F.col(amount) / F.lit(scale)
+    models = _fit_bags(known, design, key, label, "tweedie", regularisation, parallelism)
     return PurePremium(design, models, scale)

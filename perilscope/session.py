@@ -59,3 +59,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = job_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Give every core a share of a written table that has fewer files than cores.
+
+    Such a table is small by definition; a large one is left as it was read.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

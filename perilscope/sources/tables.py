@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from perilscope.session import spread
+
 # Policy columns over orders, customer and nation. The text is valid in both
 # Spark SQL and DuckDB, so the checks and the jobs share one definition.
 POLICY_COLUMNS: dict[str, str] = {
@@ -74,7 +76,7 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order. The dimension sides are left unhinted: Spark
     broadcasts them while they fit its size threshold and otherwise sort-merges
     with adaptive skew splitting."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(

@@ -74,4 +74,10 @@ def test_frequency_severity_is_calibrated(spark, sf_dir):
     assert row[0] == pytest.approx(rate, rel=0.1)
     assert row[1] == pytest.approx(claim, rel=0.25)
     assert row[2] > 0 and row[3] == pytest.approx(0.0, abs=1e-6)
-    assert len(fitted.frequency) == len(fitted.severity) == 5
+    assert len(fitted.frequency.models) == len(fitted.severity.models) == 5
+
+    path = job_folder(spark, "freq-sev")
+    fitted.save(spark, path)
+    again = M.FrequencySeverity.load(spark, path).premium(df, loading=0.5)
+    both = out.join(again.withColumnRenamed("premium", "other").select("id_policy", "other"), "id_policy")
+    assert both.where("abs(premium - other) < 1e-6").count() == df.count()
