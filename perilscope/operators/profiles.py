@@ -32,14 +32,12 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     )
 
 
-def kernel_bandwidth(df: DataFrame, column: str) -> float:
+def _bandwidth(df: DataFrame, column: str, n: int, std: float | None) -> float:
     """Silverman's rule: 0.9 * min(std, IQR / 1.34) * n ** -0.2."""
-    n, std = df.agg(F.count(column), F.stddev_samp(column)).first()
-    if not n or not std:
+    if not std:
         return 1.0
     q25, q75 = exact_quantiles(df, [column], [0.25, 0.75])[column]
-    spread = min(std, (q75 - q25) / 1.34) or std
-    return 0.9 * spread * n ** -0.2
+    return 0.9 * (min(std, (q75 - q25) / 1.34) or std) * n ** -0.2
 
 
 def kernel_profile(
@@ -48,13 +46,14 @@ def kernel_profile(
     """Gaussian kernel density at equally spaced points from minimum to maximum.
 
     One aggregate with a sum per grid point: no row is multiplied, and each task
-    hands over one row.
+    hands over one row. The column is scanned a few times; write it to a table
+    first where it is a computed score.
     """
     x = F.col(column).cast("double")
-    low, high = df.agg(F.min(x), F.max(x)).first()
+    low, high, n, std = df.agg(F.min(x), F.max(x), F.count(x), F.stddev_samp(x)).first()
     if low is None:
         return df.sparkSession.createDataFrame([], "x double, density double")
-    h = bandwidth or kernel_bandwidth(df, column)
+    h = bandwidth or _bandwidth(df, column, n, std)
     grid = [low + i * (high - low) / (points - 1) for i in range(points)]
     scale = 1 / (h * (2 * math.pi) ** 0.5)
     wide = df.agg(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from perilscope.functions.expressions import seeded_hash
 
 DIGITS = 3  # hex digits counted per round: 4096 groups
+LARGE_GROUP = 1_000_000  # rows per prefix above which prefixes get one more digit
 SMALL = 2000  # digests fetched for the last step of a search
 
 
@@ -136,19 +137,26 @@ def with_hash_index(df: DataFrame, key: str, seed: int | str) -> tuple[DataFrame
     small, equal groups; prefix totals turn that into a global number.
     """
     digest = seeded_hash(seed, F.col(key))
-    counts = (
-        df.groupBy(F.substring(digest, 1, DIGITS).alias("_prefix")).count().orderBy("_prefix").collect()
-    )
+
+    def prefix_counts(digits: int):
+        prefix = F.substring(digest, 1, digits).alias("_prefix")
+        return df.groupBy(prefix).count().orderBy("_prefix").collect()
+
+    digits = DIGITS
+    counts = prefix_counts(digits)
+    if sum(row["count"] for row in counts) > LARGE_GROUP * 16 ** digits:
+        digits += 1
+        counts = prefix_counts(digits)
     offsets, total = [], 0
     for row in counts:
         offsets.append((row["_prefix"], total))
         total += row["count"]
-    # at most 16 ** DIGITS rows
+    # at most 16 ** 4 rows
     starts = df.sparkSession.createDataFrame(offsets, "_prefix string, _start long")
     inside = Window.partitionBy("_prefix").orderBy("_digest", key)
     indexed = (
         df.withColumn("_digest", digest)
-        .withColumn("_prefix", F.substring("_digest", 1, DIGITS))
+        .withColumn("_prefix", F.substring("_digest", 1, digits))
         .withColumn("_place", F.row_number().over(inside))
         .join(F.broadcast(starts), "_prefix")
         .withColumn("_index", F.col("_start") + F.col("_place") - 1)

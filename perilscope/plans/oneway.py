@@ -12,6 +12,7 @@ from perilscope.operators.scoring import with_scores
 from perilscope.plans.catalog import (
     SCORED, fitted, labelled, logistic_scorers, query, rounded, select_policies, with_policies,
 )
+from perilscope.session import materialise
 from perilscope.sources.tables import policies
 
 
@@ -107,19 +108,24 @@ _RESCORED = SCORED + """,
 rescored as (select c.*, net, gbt from complete c join scored using (id_policy))"""
 
 
+def _scored_table(spark, sf_dir, features):
+    """Scores written once with the features to bin: edges and bins scan them again."""
+    df, pipeline = fitted(spark, sf_dir)
+    scored = with_scores(drop_incomplete(df), logistic_scorers(pipeline))
+    return materialise(scored.select(*features, "event", "net", "gbt"), "scored")
+
+
 @query("one_way_scored", with_policies(
     _RESCORED + one_way_sql(["vh_value"], ["event", "net", "gbt"], "rescored", named=False)))
 def one_way_scored(spark, sf_dir):
-    df, pipeline = fitted(spark, sf_dir)
-    scored = with_scores(drop_incomplete(df), logistic_scorers(pipeline))
+    scored = _scored_table(spark, sf_dir, ["vh_value"])
     return rounded(one_way(scored, "vh_value", 10, targets=["event", "net", "gbt"]), "event", "net", "gbt")
 
 
 @query("one_way_scored_all", with_policies(
     _RESCORED + one_way_sql(EFFECT_FEATURES, ["event", "net", "gbt"], "rescored")))
 def one_way_scored_all(spark, sf_dir):
-    df, pipeline = fitted(spark, sf_dir)
-    scored = with_scores(drop_incomplete(df), logistic_scorers(pipeline))
+    scored = _scored_table(spark, sf_dir, EFFECT_FEATURES)
     targets = ["event", "net", "gbt"]
     return rounded(one_way_features(scored, EFFECT_FEATURES, 10, targets=targets), *targets)
 

@@ -21,7 +21,7 @@ from perilscope.plans.catalog import (
     sigmoid_sql, with_policies, STATISTICS,
 )
 from perilscope.plans.oneway import histogram_sql, kernel_sql
-from perilscope.session import job_folder
+from perilscope.session import job_folder, materialise
 from perilscope.sources import files
 from perilscope.sources.tables import POLICY_SCHEMA, policies
 
@@ -190,14 +190,19 @@ def model_spread(spark, sf_dir):
     return rounded(out.select("id_policy", "net", "gbt", "spread"), "net", "gbt", "spread")
 
 
+def _spread_table(spark, sf_dir, column, a, b):
+    """Spreads written once: the profiles below scan them several times."""
+    return materialise(_spread(spark, sf_dir, column, a, b).select("spread"), "spreads")
+
+
 @query("spread_histogram", with_policies(AGE_SQL + histogram_sql("spread", "spreads")))
 def spread_histogram(spark, sf_dir):
-    return rounded(histogram(_spread(spark, sf_dir, "drv_age1", 40, 60), "spread", 20), "lower")
+    return rounded(histogram(_spread_table(spark, sf_dir, "drv_age1", 40, 60), "spread", 20), "lower")
 
 
 @query("spread_density", with_policies(COVERAGE_SQL + kernel_sql("spread", "spreads")))
 def spread_density(spark, sf_dir):
-    df = _spread(spark, sf_dir, "pol_coverage", "Min", "Max")
+    df = _spread_table(spark, sf_dir, "pol_coverage", "Min", "Max")
     return rounded(kernel_profile(df, "spread", 21), "x", "density")
 
 

@@ -53,7 +53,9 @@ def test_sample_is_ordered_and_same_as_large_sample(spark):
     assert keys(S.large_sample(df, "k", 10_000)) == list(range(3000))
 
 
-def test_hash_index_is_dense(spark):
+@pytest.mark.parametrize("large", [1_000_000, 1])
+def test_hash_index_is_dense(spark, monkeypatch, large):
+    monkeypatch.setattr(S, "LARGE_GROUP", large)
     indexed, n = S.with_hash_index(ids(spark, 5000), "k", 9)
     assert n == 5000
     assert sorted(r["_index"] for r in indexed.collect()) == list(range(5000))
