@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -130,8 +129,3 @@ def feature_matrix(
     if target:
         columns.append(F.col(target).cast("float").alias("target"))
     return df.select(*columns)
-
-
-def describe(pipeline: FeaturePipeline) -> str:
-    """Layer names and their columns as JSON, for logs."""
-    return json.dumps({layer.name: list(layer.columns) for layer in pipeline.layers})
