@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilscope.llm import decontaminate as decon
-from perilscope.llm import shards, urls
+from perilscope.llm import licenses, shards, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,13 +121,74 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases of every document, and labels of the templates its lines contain."""
+    scanned = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("places", lambda p: p["word"])
+    base = F.transform("places", lambda p: p["label"])
+    ours = F.transform("blocks", lambda b: b["label"])
+    best = F.array_max(F.transform("blocks", lambda b: b["containment"]))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, ours)), ",").alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
+_WORDS_SQL = (
+    "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+_TEMPLATE_ROWS = ", ".join(
+    f"({k}, '{label}', [{', '.join(repr(w) for w in sorted(set(licenses._words(t))))}])"
+    for k, (label, t) in enumerate(licenses.TEMPLATES)
+)
+OP10_SQL = rf"""
+with lowered as (select row_number() over () as r, doc_id, text, {_WORDS_SQL.format("coalesce(text, '')")} as w from documents),
+numbered as (select r, unnest(w) as word, unnest(range(len(w))) as i from lowered),
+places as (
+  select a.r, a.i, 'mit' as label from numbered a join numbered b on a.r = b.r and b.i = a.i + 1
+    where a.word = 'mit' and b.word = 'license'
+  union all
+  select a.r, a.i, 'apache' from numbered a join numbered b on a.r = b.r and b.i = a.i + 1
+    where a.word = 'apache' and b.word = 'license'
+  union all
+  select a.r, a.i, 'gpl' from numbered a join numbered b on a.r = b.r and b.i = a.i + 1
+    join numbered c on a.r = c.r and c.i = a.i + 2
+    where a.word = 'general' and b.word = 'public' and c.word = 'license'),
+templates(k, label, words) as (values {_TEMPLATE_ROWS}),
+lines as (
+  select r, {_WORDS_SQL.format("line")} as w
+  from (select r, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) as line from lowered)),
+blocks as (
+  select r, label, len(list_intersect(w, words)) / len(words) as share from lines, templates
+  where len(list_intersect(w, words)) >= {licenses.THRESHOLD} * len(words) - 1e-9),
+based as (select r, count(*) as n, min(i) as a, max(i) as b, string_agg(distinct label, ',' order by label) as labels
+  from places group by r),
+every as (select r, string_agg(distinct label, ',' order by label) as labels
+  from (select r, label from places union all select r, label from blocks) group by r),
+best as (select r, max(share) as share from blocks group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, a as first_word, b as last_word,
+  coalesce(based.labels, '') as base_labels, coalesce(every.labels, '') as labels,
+  case when n > 0 then 1.0 else coalesce(share, 0.0) end::double as score
+from lowered left join based using (r) left join every using (r) left join best using (r)
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_sharding": op4_sharding,
+    "op10_license_scans": op10_license_scans,
 }
 
 ORACLES = {
     "op1_decontamination": OP1_SQL,
     "op3_url_filters": OP3_SQL,
+    "op10_license_scans": OP10_SQL,
 }
