@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from perilscope.llm import decontaminate as decon
-from perilscope.llm import licenses, shards, urls
+from perilscope.llm import bpe, licenses, shards, tokenfile, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,16 @@ from lowered left join hit using (doc_id) left join ids using (doc_id)
 """
 
 
+#: The tokenizer file of the queries, as installed on every machine.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every text and of the text they decode to."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_texts(docs, TOKENIZER, add=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
+
+
 RULES = [
     ("net/", "block"),
     ("example.net/en/", "allow"),
@@ -121,6 +133,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of all documents in compressed blocks and read them back."""
+    folder = tokenfile.write_token_files(read(spark, sf_dir, "documents"), TOKENIZER)
+    return tokenfile.read_token_files(spark, folder, with_ids=False)
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases of every document, and labels of the templates its lines contain."""
     scanned = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -182,8 +200,10 @@ from lowered left join based using (r) left join every using (r) left join best
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_bpe": op2_bpe,
     "op3_url_filters": op3_url_filters,
     "op4_sharding": op4_sharding,
+    "op6_token_files": op6_token_files,
     "op10_license_scans": op10_license_scans,
 }
 
