@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from perilscope.llm import decontaminate as decon
-from perilscope.llm import bpe, licenses, shards, tokenfile, urls
+from perilscope.llm import bpe, hmm, licenses, shards, tokenfile, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,6 +139,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, folder, with_ids=False)
 
 
+def _fold(divisor: int) -> Column:
+    """The remainder of the crc32 of doc_id as text; a null id counts as the text ''."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text by a hidden Markov model and by single words."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (_fold(5) != 1).alias("train"))
+    return hmm.score_texts(docs).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases of every document, and labels of the templates its lines contain."""
     scanned = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -204,6 +217,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_sharding": op4_sharding,
     "op6_token_files": op6_token_files,
+    "op7_hmm": op7_hmm,
     "op10_license_scans": op10_license_scans,
 }
 
