@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from perilscope.llm import decontaminate as decon
-from perilscope.llm import bpe, hmm, licenses, shards, tokenfile, urls
+from perilscope.llm import bpe, hmm, langid, licenses, shards, tokenfile, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,6 +152,14 @@ def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from two thirds of the labelled documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_fold(3) == 1).alias("held_out"))
+    model = langid.train(docs.where(~F.col("held_out")))
+    judged = langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases of every document, and labels of the templates its lines contain."""
     scanned = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -218,6 +226,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_token_files": op6_token_files,
     "op7_hmm": op7_hmm,
+    "op9_language_id": op9_language_id,
     "op10_license_scans": op10_license_scans,
 }
 
