@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from perilscope.llm import decontaminate as decon
-from perilscope.llm import bpe, hmm, langid, licenses, shards, tokenfile, urls
+from perilscope.llm import bpe, hmm, jaccard, langid, licenses, shards, tokenfile, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,6 +133,36 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of every document and the component of its links at a Jaccard similarity of 0.9."""
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+with lowered as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')))) end as s
+  from lowered),
+named as (select r, doc_id, s, len(s) as n, row_number() over (order by r) as k from sets),
+tokens as (select r, n, unnest(s) as t from named),
+counted as (
+  select a.r as a, b.r as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as n_common
+  from tokens a join tokens b on a.t = b.t and a.r < b.r and 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) group by a.r, b.r),
+links as (select a, b from counted where 100 * n_common >= 90 * (na + nb - n_common)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  with recursive walk(r, o) as (
+    select r, r from named union select walk.r, both_ways.b from walk join both_ways on walk.o = both_ways.a)
+  select r, o from walk)
+select named.doc_id, cast(any_value(named.n) as bigint) as n_shingles, min(other.doc_id) as component_id
+from named join reach using (r) join named other on other.r = reach.o
+group by named.r, named.doc_id
+"""
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of all documents in compressed blocks and read them back."""
     folder = tokenfile.write_token_files(read(spark, sf_dir, "documents"), TOKENIZER)
@@ -224,6 +254,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_url_filters": op3_url_filters,
     "op4_sharding": op4_sharding,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_token_files": op6_token_files,
     "op7_hmm": op7_hmm,
     "op9_language_id": op9_language_id,
@@ -233,5 +264,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": OP1_SQL,
     "op3_url_filters": OP3_SQL,
+    "op5_jaccard_join": OP5_SQL,
     "op10_license_scans": OP10_SQL,
 }
