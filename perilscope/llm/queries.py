@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from perilscope.llm import decontaminate as decon
-from perilscope.llm import bpe, hmm, jaccard, langid, licenses, shards, tokenfile, urls
+from perilscope.llm import ann, bpe, hmm, jaccard, langid, licenses, shards, tokenfile, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -182,6 +182,11 @@ def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, against all others."""
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from two thirds of the labelled documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_fold(3) == 1).alias("held_out"))
@@ -257,6 +262,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_files": op6_token_files,
     "op7_hmm": op7_hmm,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_license_scans": op10_license_scans,
 }
