@@ -33,10 +33,11 @@ LIST = 400  # vectors per list aimed at
 MAX_LISTS = 4096
 REPLICAS = 4
 REPLICA_RATIO = 1.15
-PROBE_RATIO = 1.35
-PROBES = 48
-DEGREE = 24
-BEAM = 64
+PROBE_RATIO = 1.2
+PROBES = 32
+DEGREE = 16
+HOME_BEAM = 12  # lists kept while searching for a vector's own
+PROBE_BEAM = 48
 CHUNK = 4096
 
 
@@ -76,8 +77,13 @@ class Index:
     centroids: np.ndarray
     graph: np.ndarray
     entry: np.ndarray
+    between: np.ndarray  # distances of centroids
     top: float  # the largest norm
 
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.square(self.centroids).sum(axis=1)
+
     @classmethod
     def fit(cls, sample: np.ndarray, top: float, n_lists: int, seed: int = 5, rounds: int = 12) -> Index:
         x = lift(sample, top)
@@ -103,12 +109,12 @@ class Index:
         # a ring keeps the graph connected
         graph = np.concatenate([graph, (np.arange(n_lists)[:, None] + 1) % n_lists], axis=1)
         entry = rng.choice(n_lists, min(16, n_lists), replace=False)
-        return cls(centroids, graph, entry, top)
+        return cls(centroids, graph, entry, np.sqrt(between), top)
 
-    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam's lists of each lifted vector, nearest first, and their distances."""
         n, k = len(x), len(self.centroids)
-        width = min(BEAM, k)
+        width = min(beam, k)
         ids = np.full((n, width), -1, dtype=np.int64)
         dist = np.full((n, width), np.inf)
         seen = np.zeros((n, k), dtype=bool)
@@ -129,7 +135,9 @@ class Index:
         return np.take_along_axis(ids, order, 1), np.sqrt(np.take_along_axis(dist, order, 1))
 
     def _add(self, x, ids, dist, seen, rows, new) -> None:
-        d = np.square(self.centroids[new] - x[rows][:, None, :]).sum(axis=2)
+        own = x[rows]
+        d = np.square(own).sum(axis=1)[:, None] + self.lengths[new] - 2 * np.einsum("nd,nmd->nm", own, self.centroids[new])
+        d = np.maximum(d, 0)
         d[seen[rows[:, None], new]] = np.inf
         first = np.zeros(new.shape, dtype=bool)  # a node listed twice counts once
         order = np.argsort(new, axis=1, kind="stable")
@@ -144,15 +152,14 @@ class Index:
 
     def homes(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists of each row: the nearest, and others within the ratio that are not behind one already taken."""
-        ids, dist = self.search(lift(x, self.top))
+        ids, dist = self.search(lift(x, self.top), HOME_BEAM)
         out = []
-        for row, d in zip(ids, dist):
+        for row, d in zip(ids.tolist(), dist.tolist()):
             taken = [row[0]]
             for k in range(1, len(row)):
                 if len(taken) == REPLICAS or row[k] < 0 or d[k] > REPLICA_RATIO * d[0]:
                     break
-                gaps = np.sqrt(np.square(self.centroids[taken] - self.centroids[row[k]]).sum(axis=1))
-                if (gaps >= d[k] * 0.6).all():
+                if (self.between[row[k], taken] >= d[k] * 0.5).all():
                     taken.append(row[k])
             out.append(np.array(taken))
         return out
@@ -160,7 +167,7 @@ class Index:
     def probes(self, q: np.ndarray) -> list[np.ndarray]:
         """The lists of each query within the ratio of its nearest."""
         scaled = q * (self.top / np.sqrt((q * q).sum(axis=1, keepdims=True)))
-        ids, dist = self.search(np.concatenate([scaled, np.zeros((len(q), 1))], axis=1))
+        ids, dist = self.search(np.concatenate([scaled, np.zeros((len(q), 1))], axis=1), PROBE_BEAM)
         return [row[(row >= 0) & (d <= PROBE_RATIO * d[0])][:PROBES] for row, d in zip(ids, dist)]
 
 

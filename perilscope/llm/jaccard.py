@@ -473,3 +473,18 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents whose key is their component's id, with their own columns.
+
+    Rows with a null key stay. Rows that repeat a key are one document: they stay or go together, and one row stays.
+    """
+    joined = materialise(jaccard_join(docs, key, text).select(key, "component_id"), "components")
+    kept = joined.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    staying = docs.join(kept, key, "left_semi")
+    if joined.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").head() is not None:
+        staying = staying.dropDuplicates([key])
+    if joined.where(F.col(key).isNull()).head() is not None:
+        staying = staying.unionByName(docs.where(F.col(key).isNull()))
+    return staying
