@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 32
+RESCALE = 8  # steps between rescalings inside a block
 
 
 class Blocks:
@@ -38,6 +39,7 @@ class Blocks:
         """Each block's matrix, scaled to a maximum of 1, and the log of the scale."""
         s = transition.shape[0]
         m = np.broadcast_to(np.eye(s), (len(self.row), s, s)).copy()
+        log_scale = np.zeros(len(m))
         opening = self.place == 0
         for k in range(BLOCK):
             n = self.active[k]
@@ -48,10 +50,16 @@ class Blocks:
                 step[opening[:n]] = m[:n][opening[:n]]
             step *= potential[self.start[:n] + k][:, None, :]
             m[:n] = step
-        scale = m.max(axis=(1, 2))
-        scale[scale == 0] = 1.0
-        m /= scale[:, None, None]
-        return m, np.log(scale)
+            if k % RESCALE == RESCALE - 1:
+                self._rescale(m, log_scale, n)
+        self._rescale(m, log_scale, len(m))
+        return m, log_scale
+
+    @staticmethod
+    def _rescale(m: np.ndarray, log_scale: np.ndarray, n: int) -> None:
+        scale = m[:n].max(axis=(1, 2))
+        m[:n] /= scale[:, None, None]
+        log_scale[:n] += np.log(scale)
 
     def likelihood(self, potential: np.ndarray, transition: np.ndarray, initial: np.ndarray) -> np.ndarray:
         """Natural log of the sum over all paths, per sequence; 0 for one without tokens."""
