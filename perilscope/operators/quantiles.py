@@ -1,10 +1,14 @@
 """Exact quantiles (linear interpolation between order statistics).
 
-Spark's ``percentile`` keeps one counter per distinct value in a single final
-task. That is fine for ages and durations, not for a continuous column of a
-100 TB table. So columns are counted first: few distinct values go to
-``percentile``; the others are narrowed down by histograms, each a scan with
-map-side combine whose result is a few thousand rows whatever the input size.
+A column is narrowed down by counting. The first round counts classes of values in
+order: minus infinity, negative powers of two, zero, positive powers of two,
+infinity, NaN. Every later round cuts the ranges that hold a wanted rank into equal
+buckets and counts those. A class spans one doubling at most, so no width overflows
+and six or seven rounds reach neighbouring doubles; a tie, however large, ends the
+search at once. Rounds are grouped counts with map-side combine over the columns written
+once; their results are a few thousand rows whatever the size of the input.
+
+NaN sorts after every number, as in Spark's own ordering.
 """
 
 from __future__ import annotations
@@ -13,55 +17,61 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-DISTINCT_LIMIT = 100_000
+from perilscope.session import materialise
+
 BUCKETS = 4096
+# class of zero and of the values that are no finite number; a finite x > 0 has
+# floor(log2(x)) + EXPONENTS, a negative one the same with its sign
+EXPONENTS = 1100
+INFINITE, NOT_A_NUMBER = 4000, 4001
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    distinct_limit: int = DISTINCT_LIMIT,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 ) -> dict[str, list[float] | None]:
     """Quantiles of every column at ``probs``; None for a column without values."""
     if not probs:
         return {c: [] for c in columns}
-    profile = df.agg(
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.approx_count_distinct(c).alias(f"d_{c}") for c in columns],
-        *[F.min(c).cast("double").alias(f"lo_{c}") for c in columns],
-        *[F.max(c).cast("double").alias(f"hi_{c}") for c in columns],
-    ).first()
+    if not columns:
+        return {}
+    values = materialise(
+        df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]), "quantiles"
+    )
+    classes = _counted(values, {i: _class(F.col(f"x{i}")) for i in range(len(columns))})
     result: dict[str, list[float] | None] = {c: None for c in columns}
-    filled = [c for c in columns if profile[f"n_{c}"]]
-    few = [c for c in filled if profile[f"d_{c}"] <= distinct_limit]
-    many = [c for c in filled if profile[f"d_{c}"] > distinct_limit]
-    if few:
-        row = df.agg(
-            *[F.percentile(c, F.array(*map(F.lit, probs))).alias(c) for c in few]
-        ).first()
-        result.update({c: list(row[c]) for c in few})
-    if many:
-        positions = {c: [(profile[f"n_{c}"] - 1) * p for p in probs] for c in many}
-        ranks = {
-            c: sorted({r for h in hs for r in (math.floor(h), math.ceil(h))})
-            for c, hs in positions.items()
-        }
-        bounds = {c: (profile[f"lo_{c}"], profile[f"hi_{c}"]) for c in many}
-        values = order_statistics(df, ranks, bounds)
-        for c in many:
-            result[c] = [_between(values[c], h) for h in positions[c]]
+    search: dict[int, _Search] = {}
+    for i, rows in classes.items():
+        n = sum(row["n"] for row in rows)
+        places = [(n - 1) * p for p in probs]
+        wanted = sorted({r for h in places for r in (math.floor(h), math.ceil(h))})
+        search[i] = _Search(places, {}, [])
+        search[i].narrow([_Interval(math.nan, math.nan, 0, wanted)], [rows])
+    while any(s.open for s in search.values()):
+        cells, pieces = {}, {}
+        for i, s in search.items():
+            if s.open:
+                pieces[i] = max(64, BUCKETS // len(s.open))
+                cells[i] = _cell(F.col(f"x{i}"), s.open, pieces[i])
+        counts = _counted(values, cells)
+        for i, n in pieces.items():
+            intervals = search[i].open
+            split = [[r for r in counts[i] if r["cell"] // n == k] for k in range(len(intervals))]
+            search[i].narrow(intervals, split)
+    for i, s in search.items():
+        result[columns[i]] = [_between(s.found, h) for h in s.places]
     return result
 
 
 def _between(values: dict[int, float], position: float) -> float:
     below, above = math.floor(position), math.ceil(position)
     low, high = values[below], values[above]
-    if low == high:
+    if low == high or below == above:
         return low
+    if math.isnan(low) or math.isnan(high):
+        return math.nan
     return (above - position) * low + (position - below) * high
 
 
@@ -75,70 +85,69 @@ class _Interval:
     ranks: list[int]
 
 
-def order_statistics(
-    df: DataFrame,
-    ranks: dict[str, list[int]],
-    bounds: dict[str, tuple[float, float]],
-    buckets: int = BUCKETS,
-) -> dict[str, dict[int, float]]:
-    """The values at the given 0-based ranks of each column's sorted non-null values.
-
-    Every round cuts each open interval into equal buckets and counts them. The
-    bucket's own minimum and maximum bound the next round, so a tie, however
-    large, ends the search at once and the range shrinks strictly.
-    """
-    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    open_ = {c: [_Interval(*bounds[c], 0, list(rs))] for c, rs in ranks.items()}
-    while any(open_.values()):
-        pieces = {c: max(64, buckets // len(ivs)) for c, ivs in open_.items() if ivs}
-        cells = [
-            F.struct(
-                F.lit(c).alias("name"),
-                _cell(F.col(c).cast("double"), open_[c], n).alias("cell"),
-                F.col(c).cast("double").alias("x"),
-            )
-            for c, n in pieces.items()
-        ]
-        counts = (
-            df.select(F.inline(F.array(*cells)))
-            .where(F.col("cell").isNotNull())
-            .groupBy("name", "cell")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-            .orderBy("name", "cell")
-            .collect()
-        )
-        for c, n in pieces.items():
-            mine = [row for row in counts if row["name"] == c]
-            remaining = []
-            for i, interval in enumerate(open_[c]):
-                before = interval.rows_before
-                for row in mine:
-                    if row["cell"] // n != i:
-                        continue
-                    last = before + row["n"] - 1
-                    inside = []
-                    for rank in (r for r in interval.ranks if before <= r <= last):
-                        if rank == before:
-                            found[c][rank] = row["low"]
-                        elif rank == last:
-                            found[c][rank] = row["high"]
-                        elif row["low"] == row["high"]:
-                            found[c][rank] = row["low"]
-                        else:
-                            inside.append(rank)
-                    if inside:
-                        remaining.append(_Interval(row["low"], row["high"], before, inside))
-                    before = last + 1
-            open_[c] = remaining
+@dataclass
+class _Search:
+    """One column's wanted positions, the ranks found, and the ranges still open."""
+
+    places: list[float]
+    found: dict[int, float]
+    open: list[_Interval]
+
+    def narrow(self, intervals: list[_Interval], counts: list[list[Row]]) -> None:
+        """Replace each interval by those of its cells that hold a wanted rank."""
+        remaining = []
+        for interval, rows in zip(intervals, counts):
+            before = interval.rows_before
+            for row in rows:
+                last = before + row["n"] - 1
+                inside = []
+                for rank in (r for r in interval.ranks if before <= r <= last):
+                    if row["low"] == row["high"] or row["cell"] == NOT_A_NUMBER or rank == before:
+                        self.found[rank] = row["low"]
+                    elif rank == last:
+                        self.found[rank] = row["high"]
+                    else:
+                        inside.append(rank)
+                if inside:
+                    remaining.append(_Interval(row["low"], row["high"], before, inside))
+                before = last + 1
+        self.open = remaining
+
+
+def _counted(values: DataFrame, cells: dict[int, Column]) -> dict[int, list[Row]]:
+    """Rows, smallest and largest value of every cell of every column, cells in order."""
+    parts = [
+        F.struct(F.lit(i).alias("i"), cell.cast("long").alias("cell"), F.col(f"x{i}").alias("x"))
+        for i, cell in cells.items()
+    ]
+    rows = (
+        values.select(F.inline(F.array(*parts)))
+        .where(F.col("x").isNotNull() & F.col("cell").isNotNull())
+        .groupBy("i", "cell")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .collect()
+    )
+    found: dict[int, list[Row]] = {}
+    for row in sorted(rows, key=lambda r: (r["i"], r["cell"])):
+        found.setdefault(row["i"], []).append(row)
     return found
 
 
+def _class(x: Column) -> Column:
+    infinity = F.lit(math.inf)
+    return (
+        F.when(F.isnan(x), F.lit(NOT_A_NUMBER))
+        .when(x == infinity, F.lit(INFINITE))
+        .when(x == -infinity, F.lit(-INFINITE))
+        .when(x == 0.0, F.lit(0))
+        .when(x.isNotNull(), F.signum(x) * (F.floor(F.log2(F.abs(x))) + EXPONENTS))
+    )
+
+
 def _cell(x: Column, intervals: list[_Interval], pieces: int) -> Column:
     branches = F
     for i, interval in enumerate(intervals):
-        # low < high can only tie here in a constant column, where any cell will do
-        width = (interval.high - interval.low) or 1.0
-        share = (x - F.lit(interval.low)) / F.lit(width)
+        share = (x - F.lit(interval.low)) / F.lit(interval.high - interval.low)
         bucket = F.least(F.floor(share * pieces), F.lit(pieces - 1))
         branches = branches.when(
             x.between(interval.low, interval.high), F.lit(i * pieces) + bucket
