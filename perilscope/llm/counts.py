@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from perilscope.llm import words as W
 from perilscope.session import materialise
 
-FLUSH = 4_000_000  # word hashes a task holds before it passes them on
+FLUSH = 1_000_000  # word hashes a task holds before it passes them on
 
 COUNTS = "bucket int, hashes binary, counts binary"
 

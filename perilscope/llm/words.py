@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  # rows handled together
+SLICE_BYTES = 2 << 20  # rows handled together
 PIECE_BYTES = 1 << 20  # bytes hashed together
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
