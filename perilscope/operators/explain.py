@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilscope.functions.expressions import hash_number, seeded_hash
-from perilscope.operators.sampling import large_sample, with_hash_index
+from perilscope.operators.sampling import hash_index
 from perilscope.operators.scoring import Scorer, with_scores
+from perilscope.session import materialise
 
 # Raw features shown in the importance and effect tables.
 IMPORTANCE_FEATURES = [
@@ -38,18 +39,19 @@ def shap_by_model(
     reference: DataFrame | None = None,
     draws: int = 30,
     seed: int = 123,
-    reference_pool: int | None = None,
+    with_spread: bool = False,
 ) -> DataFrame:
     """Effect of every target feature on every model's score of every explained row.
 
     Models share the draws, so they are scored on the same rows in one job.
     ``features`` are the raw columns that switch; ``targets`` (default: all) the
-    ones reported. ``reference`` defaults to ``explain``. Draws come from the
-    whole reference table, or from a uniform sample of ``reference_pool`` rows,
-    which is then small enough to broadcast so that explained rows never move.
+    ones reported. ``reference`` defaults to ``explain``; draws come from the whole
+    of it. ``with_spread`` adds ``shap_sd``, the deviation of the draws.
 
-    Rows are expanded and scored where they are, and summed per task before the
-    only shuffle, which carries one row per explained row and task.
+    Only keys, draws and drawn places meet the reference rows, of which the ones in a
+    drawn digest group are numbered. Rows are expanded and scored where they then
+    are; only numbers are summed, per task before the shuffle. The explained values
+    are joined back by key.
     """
     features = list(features)
     targets = features if targets is None else list(targets)
@@ -57,22 +59,16 @@ def shap_by_model(
     if unknown:
         raise ValueError(f"targets not among features: {sorted(unknown)}")
     pool = (explain if reference is None else reference).select(key, *features)
-    if reference_pool is not None:
-        pool = large_sample(pool, key, reference_pool, f"pool:{seed}")
-    indexed, size = with_hash_index(pool, key, f"reference:{seed}")
-    if size == 0:
+    index = hash_index(pool, key, f"reference:{seed}")
+    if index.size == 0:
         raise ValueError("the reference table has no rows")
     # own and reference values travel as two structs
-    indexed = indexed.select("_index", F.struct(*features).alias("_ref"))
-    if reference_pool is not None:
-        indexed = F.broadcast(indexed)
-
-    drawn = (
-        explain.select(F.col(key), F.struct(*features).alias("_own"))
-        .withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_index", hash_number(seeded_hash(seed, F.col(key), F.col("_draw"))) % size)
-        .join(indexed, "_index")
-    )
+    draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw")
+    place = hash_number(seeded_hash(seed, F.col(key), F.col("_draw"))) % index.size
+    places = explain.select(key, draw).withColumn("_index", place)
+    drawn_rows = index.rows(places).select("_index", F.struct(*features).alias("_ref"))
+    own = explain.select(key, F.struct(*features).alias("_own"))
+    drawn = places.join(drawn_rows, "_index").join(own, key)
     tickets = {
         f"_ticket_{f}": F.expr(
             f"md5(concat_ws(':', '{seed}', cast(`{key}` as string), cast(_draw as string), '{f}'))"
@@ -88,27 +84,32 @@ def shap_by_model(
         for f in features
     ]
     hybrids = ranked.withColumn("_step", F.explode(_steps(features, targets))).selectExpr(
-        f"`{key}`", "_step", "_own", *[f"`_rank_{f}`" for f in targets], *mixed
+        f"`{key}`", "_draw", "_step", *[f"`_rank_{f}`" for f in targets], *mixed
     )
     scored = with_scores(hybrids, {f"_score_{m}": scorer for m, scorer in scorers.items()})
 
     effects = {(m, f): f"_effect_{m}_{f}" for m in scorers for f in targets}
-    wide = scored.groupBy(key).agg(
-        *[
-            F.expr(
-                f"sum(case when _step = `_rank_{f}` + 1 then `_score_{m}` "
-                f"when _step = `_rank_{f}` then -`_score_{m}` end) / {draws}"
-            ).alias(name)
-            for (m, f), name in effects.items()
-        ],
-        F.first("_own").alias("_own"),
-    )
+    def switched(model: str, feature: str) -> str:
+        return (
+            f"sum(case when _step = `_rank_{feature}` + 1 then `_score_{model}` "
+            f"when _step = `_rank_{feature}` then -`_score_{model}` end)"
+        )
+
+    if with_spread:
+        by_draw = scored.groupBy(key, "_draw").agg(*[F.expr(switched(*k)).alias(n) for k, n in effects.items()])
+        wide = by_draw.groupBy(key).agg(
+            *[F.expr(f"sum(`{n}`) / {draws}").alias(n) for n in effects.values()],
+            *[F.stddev_samp(n).alias(f"{n}_sd") for n in effects.values()],
+        )
+    else:
+        wide = scored.groupBy(key).agg(*[F.expr(f"{switched(*k)} / {draws}").alias(n) for k, n in effects.items()])
+    sd = ", `{0}_sd` as shap_sd" if with_spread else ""
     cells = [
         f"struct('{m}' as model, '{f}' as feature_name, "
-        f"cast(_own.`{f}` as string) as feature_value, `{name}` as shap_effect)"
+        f"cast(_own.`{f}` as string) as feature_value, `{name}` as shap_effect{sd.format(name)})"
         for (m, f), name in effects.items()
     ]
-    return wide.selectExpr(f"`{key}` as row_id", f"inline(array({', '.join(cells)}))")
+    return wide.join(own, key).selectExpr(f"`{key}` as row_id", f"inline(array({', '.join(cells)}))")
 
 
 def shap_effects(
@@ -152,9 +153,11 @@ def loess_curve(points: DataFrame, by: Sequence[str] = (), grid: int = 10) -> Da
     The bandwidth is the distance to the farthest point, so a curve needs two
     aggregates: the range, then the weighted moments of every grid point. Where
     the points do not determine a parabola the fit falls back to a line and then
-    to the weighted mean.
+    to the weighted mean. The points are written once for the two aggregates.
     """
-    clean = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if grid < 2:
+        raise ValueError("a curve needs two grid points at least")
+    clean = materialise(points.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "points")
     spans = clean.groupBy(*by).agg(F.min("x").alias("_low"), F.max("x").alias("_high"))
     if by:
         # one row per curve

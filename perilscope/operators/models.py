@@ -22,7 +22,7 @@ from perilscope.operators.design import DesignMatrix, fit_design_matrix
 from perilscope.operators.features import FeaturePipeline
 from perilscope.operators.sampling import with_bag_flags
 from perilscope.operators.scoring import ModelScorer, Scorer
-from perilscope.session import materialise, spread
+from perilscope.session import materialise
 
 # The settings tried by the two sweeps and the bagging seeds.
 DEPTHS = list(range(2, 10))
@@ -30,6 +30,8 @@ WIDTHS = list(range(32, 257, 32))
 BAG_SEEDS = {f"bag_{i}": 123 + i for i in range(1, 6)}
 SPLIT_SEED = 123
 
+FIT_PARTITIONS = 16  # of the rows a tree model is fitted on; raise it with the data
+
 
 # --- event models -----------------------------------------------------------
 
@@ -42,7 +44,20 @@ def training_table(
     rows = assembler.transform(prepared).select(
         "features", F.col(label).alias("label"), (~F.col(is_train)).alias("is_eval")
     )
-    return spread(materialise(rows, "training"))
+    return materialise(rows, "training")
+
+
+def _dealt(rows: DataFrame, partitions: int) -> DataFrame:
+    """The rows dealt by a hash of themselves, sorted inside each partition.
+
+    Tree sampling draws by partition and place, so a fit depends on both; dealt like
+    this they depend on the rows alone, however the table is laid out.
+    """
+    hashed = F.xxhash64(*[vector_to_array(c) if c.endswith("features") else F.col(c) for c in rows.columns])
+    return (
+        rows.withColumn("_hash", hashed)
+        .repartition(partitions, "_hash").sortWithinPartitions("_hash").drop("_hash")
+    )
 
 
 def _servable(pipeline: FeaturePipeline, fitted) -> PipelineModel:
@@ -57,6 +72,7 @@ def fit_gbt(
     rounds: int = 20,
     step: float = 0.2,
     seed: int = SPLIT_SEED,
+    partitions: int = FIT_PARTITIONS,
 ) -> ModelScorer:
     """Boosted trees with logistic loss on half the rows and 80 % of the columns
     per tree, stopped early once the evaluation rows stop gaining."""
@@ -72,7 +88,7 @@ def fit_gbt(
         validationTol=0.001,
         seed=seed,
     )
-    return ModelScorer(pipeline, _servable(pipeline, trainer.fit(table)))
+    return ModelScorer(pipeline, _servable(pipeline, trainer.fit(_dealt(table, partitions))))
 
 
 def fit_mlp(
@@ -266,7 +282,7 @@ def _fit_bags(
     assembler = VectorAssembler(inputCols=design.columns, outputCol="raw_features")
     flagged = with_bag_flags(df.withColumn("label", label), key, 0.9, BAG_SEEDS)
     encoded = assembler.transform(design.vectors_ready(flagged, ["label", *BAG_SEEDS]))
-    table = spread(materialise(encoded.select("raw_features", "label", *BAG_SEEDS), family))
+    table = materialise(encoded.select("raw_features", "label", *BAG_SEEDS), family)
     scaler = StandardScaler(inputCol="raw_features", outputCol="features").fit(table)
     options = {"variancePower": 1.5, "linkPower": 0.0} if family == "tweedie" else {"link": "log"}
     trainer = GeneralizedLinearRegression(family=family, regParam=regularisation, **options)
@@ -318,6 +334,16 @@ class PurePremium:
         rows = self.models.with_mean(self.design.vectors_ready(df, [key]), "_claim")
         return rows.select(key, (F.col("_claim") * F.lit(self.scale)).alias("expected_claim"))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.design.save(spark, f"{path}/design")
+        self.models.save(f"{path}/models")
+        spark.createDataFrame([(self.scale,)], "scale double").write.mode("overwrite").parquet(f"{path}/scale")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> PurePremium:
+        scale = spark.read.parquet(f"{path}/scale").first()["scale"]
+        return PurePremium(DesignMatrix.load(spark, f"{path}/design"), Bagged.load(f"{path}/models"), scale)
+
 
 def fit_pure_premium(
     df: DataFrame,

@@ -16,6 +16,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     Nulls are dropped after grouping: a filter on a computed score would be
     pushed down and have the score computed twice.
     """
+    if bins < 1:
+        raise ValueError("a histogram needs one interval at least")
     x = F.col(column).cast("double")
     low, high = df.agg(F.min(x), F.max(x)).first()
     if low is None:
@@ -49,6 +51,8 @@ def kernel_profile(
     hands over one row. The column is scanned a few times; write it to a table
     first where it is a computed score.
     """
+    if points < 2:
+        raise ValueError("a curve needs two points at least")
     x = F.col(column).cast("double")
     low, high, n, std = df.agg(F.min(x), F.max(x), F.count(x), F.stddev_samp(x)).first()
     if low is None:

@@ -3,36 +3,33 @@
 Rows are ranked by ``md5(seed:key)``. A split of exactly ``floor(p * n)`` rows is
 then a comparison with one cut digest, found by counting digest prefixes. The
 split itself is a projection: no row is shuffled, sorted or counted twice.
-``key`` must identify a row.
+``key`` must identify a row; a cut that falls among rows of one key is an error.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perilscope.functions.expressions import seeded_hash
+from perilscope.operators.quantiles import exact_quantiles
+from perilscope.session import materialise
 
 DIGITS = 3  # hex digits counted per round: 4096 groups
-LARGE_GROUP = 1_000_000  # rows per prefix above which prefixes get one more digit
-SMALL = 2000  # digests fetched for the last step of a search
+INDEX_DIGITS = 4  # hex digits of the groups that are numbered one by one: 65,536 groups
 
 
 def sample_rows(df: DataFrame, key: str, k: int, seed: int = 123) -> DataFrame:
     """Exactly ``k`` rows without replacement, in key order.
 
-    Each task keeps its best ``k``, so ``k`` is meant for samples to look at.
+    The cut digest is found by counting, so only the ``k`` rows are sorted.
     """
-    return (
-        df.withColumn("_digest", seeded_hash(seed, F.col(key)))
-        .orderBy("_digest", key)
-        .limit(k)
-        .drop("_digest")
-        .orderBy(key)
-    )
+    return large_sample(df, key, k, seed).orderBy(key)
 
 
 def one_row(df: DataFrame, key: str, seed: int = 123) -> DataFrame:
@@ -40,6 +37,19 @@ def one_row(df: DataFrame, key: str, seed: int = 123) -> DataFrame:
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest keys, in key order.
+
+    For a numeric key the ``n``-th smallest is found by counting, and only the rows
+    up to it are sorted. Other keys keep the best ``n`` of every task.
+    """
+    if n > 0 and isinstance(df.schema[key].dataType, T.NumericType):
+        keys = df.select(key).where(F.col(key).isNotNull())
+        total, nulls = df.agg(F.count(key), F.count(F.lit(1)) - F.count(key)).first()
+        if nulls < n <= total + nulls:  # nulls come first
+            (cut,) = exact_quantiles(keys, [key], [(n - nulls - 1) / max(total - 1, 1)])[key]
+            # the cut lies at or above the n-th key; double rounding is allowed for
+            near = F.col(key).cast("double") <= F.lit(cut + abs(cut) * 1e-15)
+            df = df.where(F.col(key).isNull() | near)
     return df.orderBy(key).limit(n)
 
 
@@ -47,9 +57,14 @@ def cut_digests(
     df: DataFrame, key: str, wanted: Callable[[int], int], seeds: Sequence[int | str]
 ) -> list[str]:
     """For each seed the digest of the ``wanted(n)``-th smallest of the n rows;
-    an empty string, below every digest, where that is no row at all."""
-    digests = df.select(
-        F.posexplode(F.array(*[seeded_hash(s, F.col(key)) for s in seeds])).alias("seed", "digest")
+    an empty string, below every digest, where that is no row at all.
+
+    The keys are written once; every round counts the groups of one more piece of the
+    digest inside the group that holds the wanted row, until a group has one row.
+    """
+    keys = materialise(df.select(F.col(key).alias("key")), "keys")
+    digests = keys.select(
+        F.posexplode(F.array(*[seeded_hash(s, F.col("key")) for s in seeds])).alias("seed", "digest")
     )
     prefixes = {i: "" for i in range(len(seeds))}
     missing: dict[int, int] = {}
@@ -61,32 +76,28 @@ def cut_digests(
             inside = digests.where(_starts_with(prefixes, length))
         counts = (
             inside.groupBy("seed", F.substring("digest", 1, length + DIGITS).alias("prefix"))
-            .count()
+            .agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
             .orderBy("seed", "prefix")
             .collect()
         )
-        near: dict[int, str] = {}
         for i in list(prefixes):
-            mine = [(row["prefix"], row["count"]) for row in counts if row["seed"] == i]
+            mine = [row for row in counts if row["seed"] == i]
             if not length:
-                missing[i] = wanted(sum(n for _, n in mine))
+                missing[i] = wanted(sum(row["n"] for row in mine))
             if missing[i] == 0:
                 cuts[i] = ""
                 prefixes.pop(i)
                 continue
-            for prefix, n in mine:
-                if missing[i] <= n:
+            for row in mine:
+                if missing[i] <= row["n"]:
                     break
-                missing[i] -= n
-            prefixes[i] = prefix
-            if n <= SMALL or length + DIGITS >= 30:
-                near[i] = prefixes.pop(i)
-        if near:
-            step = length + DIGITS
-            rows = digests.where(_starts_with(near, step)).collect()
-            for i in near:
-                mine = sorted(row["digest"] for row in rows if row["seed"] == i)
-                cuts[i] = mine[missing[i] - 1]
+                missing[i] -= row["n"]
+            prefixes[i] = row["prefix"]
+            if missing[i] == row["n"] or row["low"] == row["high"]:
+                if missing[i] < row["n"]:
+                    raise ValueError(f"{key} does not identify a row: {row['n']} rows share the key at the cut")
+                cuts[i] = row["high"]
+                prefixes.pop(i)
     return [cuts[i] for i in range(len(seeds))]
 
 
@@ -130,36 +141,60 @@ def split(
     )
 
 
-def with_hash_index(df: DataFrame, key: str, seed: int | str) -> tuple[DataFrame, int]:
-    """Number the rows 0..n-1 in digest order (column ``_index``); also return n.
-
-    Digest prefixes spread evenly, so numbering inside a prefix is a window over
-    small, equal groups; prefix totals turn that into a global number.
-    """
+def hash_index(df: DataFrame, key: str, seed: int | str) -> HashIndex:
+    """Numbers the rows 0..n-1 in digest order, group of equal digest prefixes by group."""
     digest = seeded_hash(seed, F.col(key))
-
-    def prefix_counts(digits: int):
-        prefix = F.substring(digest, 1, digits).alias("_prefix")
-        return df.groupBy(prefix).count().orderBy("_prefix").collect()
-
-    digits = DIGITS
-    counts = prefix_counts(digits)
-    if sum(row["count"] for row in counts) > LARGE_GROUP * 16 ** digits:
-        digits += 1
-        counts = prefix_counts(digits)
+    prefix = F.substring(digest, 1, INDEX_DIGITS).alias("_prefix")
+    counts = df.groupBy(prefix).count().orderBy("_prefix").collect()  # at most 65,536 rows
     offsets, total = [], 0
     for row in counts:
-        offsets.append((row["_prefix"], total))
+        offsets.append((row["_prefix"], total, total + row["count"]))
         total += row["count"]
-    # at most 16 ** 4 rows
-    starts = df.sparkSession.createDataFrame(offsets, "_prefix string, _start long")
-    inside = Window.partitionBy("_prefix").orderBy("_digest", key)
-    indexed = (
-        df.withColumn("_digest", digest)
-        .withColumn("_prefix", F.substring("_digest", 1, digits))
-        .withColumn("_place", F.row_number().over(inside))
-        .join(F.broadcast(starts), "_prefix")
-        .withColumn("_index", F.col("_start") + F.col("_place") - 1)
-        .drop("_digest", "_prefix", "_start", "_place")
-    )
-    return indexed, total
+    starts = df.sparkSession.createDataFrame(offsets, "_prefix string, _start long, _end long")
+    return HashIndex(df, key, digest, starts, total)
+
+
+@dataclass
+class HashIndex:
+    """A table whose rows have places in digest order; only asked-for rows are numbered."""
+
+    df: DataFrame
+    key: str
+    digest: Column
+    starts: DataFrame
+    size: int
+
+    def rows(self, places: DataFrame) -> DataFrame:
+        """The rows (column ``_index``) at the distinct ``_index`` values of ``places``.
+
+        Only rows whose digest prefix holds a wanted place are sorted.
+        """
+        wanted = places.select("_index").distinct()
+        # ranges of places are met through cells of the mean group's width, by an equal join
+        width = -(-self.size // 16**INDEX_DIGITS) or 1
+        cells = F.sequence(F.expr(f"_start div {width}"), F.expr(f"(_end - 1) div {width}"))
+        starts = F.broadcast(self.starts.withColumn("_cell", F.explode(cells)))  # at most 131,072 rows
+        inside = (F.col("_index") >= F.col("_start")) & (F.col("_index") < F.col("_end"))
+        prefixes = (
+            wanted.withColumn("_cell", F.expr(f"_index div {width}")).join(starts, "_cell").where(inside)
+            .select("_prefix").distinct()
+        )
+        numbered = self._numbered(self._keyed().join(prefixes, "_prefix", "left_semi"))
+        return numbered.join(wanted, "_index", "left_semi")
+
+    def all_rows(self) -> DataFrame:
+        return self._numbered(self._keyed())
+
+    def _keyed(self) -> DataFrame:
+        return self.df.withColumn("_digest", self.digest).withColumn(
+            "_prefix", F.substring("_digest", 1, INDEX_DIGITS)
+        )
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_digest", self.key))
+        return (
+            rows.withColumn("_place", place)
+            .join(F.broadcast(self.starts), "_prefix")
+            .withColumn("_index", F.col("_start") + F.col("_place") - 1)
+            .drop("_digest", "_prefix", "_start", "_end", "_place")
+        )

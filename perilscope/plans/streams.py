@@ -8,7 +8,7 @@ from perilscope.plans.catalog import (
     SCORED, fitted, logistic_scorers, query, rounded, with_policies,
 )
 from perilscope.plans.scores import AGE_SQL
-from perilscope.session import job_folder
+from perilscope.session import job_folder, materialise
 from perilscope.sources.files import request_bodies
 from perilscope.sources.tables import POLICY_SCHEMA, table
 from perilscope.streaming import jobs
@@ -36,17 +36,39 @@ def stream_score_bodies(spark, sf_dir):
     stream = jobs.body_stream(spark, inbox, REQUEST_SCHEMA)
     scored = jobs.score_stream(stream, "id_policy", logistic_scorers(pipeline))
     out = jobs.run_to_folder(scored, job_folder(spark, "scores"), job_folder(spark, "progress"))
-    return rounded(out, "net", "gbt")
+    return rounded(out.select("id_policy", "net", "gbt"), "net", "gbt")
 
 
-@query("stream_spread_monitor", with_policies(AGE_SQL + """,
-last as (select max(ts) as ts from events)
-select strftime(date_trunc('day', e.ts), '%Y-%m-%d') as day, round(avg(spread), 6) as mean_spread, count(*) as n
-from events e join spreads s on e.event_id = s.id_policy, last
-where date_trunc('day', e.ts) + interval 1 day <= last.ts - interval 1 hour group by 1"""))
+@query("stream_responses", with_policies(SCORED + """
+select cast(floor(id_policy / 100) as bigint) as request_id, 'net' as model, 'ok' as status,
+  cast(row_number() over (partition by floor(id_policy / 100) order by id_policy) - 1 as int) as position, round(net, 6) as score from scored
+union all
+select cast(floor(id_policy / 100) as bigint), 'gbt', 'ok',
+  cast(row_number() over (partition by floor(id_policy / 100) order by id_policy) - 1 as int), round(gbt, 6) from scored
+union all select -1, m, 'empty', null, null from (values ('net'), ('gbt')) t(m)
+union all select -2, m, 'bad', null, null from (values ('net'), ('gbt')) t(m)"""))
+def stream_responses(spark, sf_dir):
+    """Replies of both models to requests as they arrive; an empty and a bad request among them."""
+    df, pipeline = fitted(spark, sf_dir)
+    inbox = job_folder(spark, "bodies")
+    odd = spark.createDataFrame([(-1, "[]"), (-2, "[{")], "request_id long, body string")
+    request_bodies(df.select(*REQUEST_SCHEMA.names), "id_policy").unionByName(odd).write.json(inbox)
+    replies = jobs.respond(
+        spark, inbox, REQUEST_SCHEMA, logistic_scorers(pipeline), job_folder(spark, "replies"), job_folder(spark, "progress"),
+        files_a_batch=4,
+    )
+    scores = F.from_json("response", "score array<double>")["score"]
+    listed = replies.select("request_id", "model", "status", F.posexplode_outer(scores).alias("position", "score"))
+    return rounded(listed, "score")
+
+
+@query("stream_spread_monitor", with_policies(AGE_SQL + """
+select strftime(date_trunc('day', e.ts), '%Y-%m-%d') as day, round(avg(spread), 6) as mean_spread, cast(count(*) as bigint) as n
+from events e join spreads s on e.event_id = s.id_policy group by 1"""))
 def stream_spread_monitor(spark, sf_dir):
-    """Every event asks for its policy's spread; closed days only."""
+    """Every event asks for its policy's spread; all days. The policies are written once, not joined anew in every batch."""
     df, pipeline = fitted(spark, sf_dir)
+    df = materialise(df.select(*REQUEST_SCHEMA.names), "policies")
     schema = table(spark, sf_dir, "events").schema
     events = (
         spark.readStream.schema(schema)
@@ -54,8 +76,10 @@ def stream_spread_monitor(spark, sf_dir):
         .select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     )
     requests = events.join(df, events.event_id == df.id_policy)
-    spreads = jobs.spread_monitor(requests, "ts", "drv_age1", 40, 60, logistic_scorers(pipeline)["net"])
-    out = jobs.run_to_folder(spreads, job_folder(spark, "spreads"), job_folder(spark, "progress"))
+    out = jobs.spread_windows(
+        requests, "ts", "drv_age1", 40, 60, logistic_scorers(pipeline)["net"],
+        job_folder(spark, "spreads"), job_folder(spark, "progress"),
+    )
     return rounded(
         out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "mean_spread", "n"),
         "mean_spread",

@@ -50,6 +50,35 @@ def json_requests(spark, sf_dir):
     return files.parse_requests(bodies, schema)
 
 
+@query("csv_reordered", select_policies(f"select {NO_CLAIM} from policies"))
+def csv_reordered(spark, sf_dir):
+    """Columns in reverse order, one more among them and the target absent: found by name."""
+    path = job_folder(spark, "policies-csv")
+    rows = policies(spark, sf_dir).drop("claim_amount")
+    files.write_csv(rows.select(*reversed(rows.columns), F.lit("x").alias("remark")), path)
+    return files.load_for_prediction(spark, path)
+
+
+@query("request_errors", select_policies("""
+select request_id, case request_id % 4 when 1 then 'empty' when 2 then 'bad' when 3 then 'bad' else 'ok' end as status,
+  case when request_id % 4 = 0 then n else 0 end as scores
+from (select cast(floor(id_policy / 100) as bigint) as request_id, count(*) as n from policies group by 1)"""))
+def request_errors(spark, sf_dir):
+    """One reply to every request: good ones, empty ones, cut off ones and ones that are no JSON."""
+    schema = type(POLICY_SCHEMA)([f for f in POLICY_SCHEMA.fields if f.name != "claim_amount"])
+    bodies = files.request_bodies(policies(spark, sf_dir).drop("claim_amount"), "id_policy")
+    kind = F.col("request_id") % 4
+    broken = (
+        F.when(kind == 1, F.lit("[]")).when(kind == 2, F.expr("left(body, length(body) - 7)"))
+        .when(kind == 3, F.lit("not json")).otherwise(F.col("body"))
+    )
+    replies = files.all_responses(
+        bodies.withColumn("body", broken), schema, lambda rows, name: rows.withColumn(name, F.lit(0.5))
+    )
+    scores = F.from_json("response", "score array<double>")["score"]
+    return replies.select("request_id", "status", F.greatest(F.size(scores), F.lit(0)).cast("bigint").alias("scores"))
+
+
 # --- selections -----------------------------------------------------------------
 
 @query("select_cols", select_policies("select id_policy, pol_coverage, vh_value from policies"))
@@ -83,7 +112,7 @@ def first_n(spark, sf_dir):
     "select * from policies where id_policy = (select max(id_policy) from policies)"))
 def single_row(spark, sf_dir):
     df = policies(spark, sf_dir)
-    newest = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("newest"))
+    newest = df.agg(F.max("id_policy").alias("newest"))
     return df.where(F.col("id_policy") == newest.scalar())
 
 
@@ -387,4 +416,4 @@ def bags_5(spark, sf_dir):
 select id_policy, row_number() over (order by md5('reference:123:' || cast(id_policy as varchar))) - 1 as _index
 from policies"""))
 def hash_index(spark, sf_dir):
-    return S.with_hash_index(policies(spark, sf_dir).select("id_policy"), "id_policy", "reference:123")[0]
+    return S.hash_index(policies(spark, sf_dir).select("id_policy"), "id_policy", "reference:123").all_rows()

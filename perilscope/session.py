@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,14 +33,15 @@ def build_session(app: str = "perilscope", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a machine-local path would be lost with the machine.
+    Only a session in one process (master ``local`` or ``local[...]``) without that
+    setting gets a temporary folder; on a cluster, a local one included, a
+    machine-local path would be lost with the machine.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="perilscope-"))
     return context.getCheckpointDir()
@@ -59,12 +61,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = job_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Give every core a share of a written table that has fewer files than cores.
-
-    Such a table is small by definition; a large one is left as it was read.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perilscope.operators.features import FeaturePipeline
+from perilscope.operators.models import FrequencySeverity
 from perilscope.operators.scoring import ModelScorer
 from perilscope.sources.tables import POLICY_SCHEMA
 
@@ -17,10 +18,23 @@ from perilscope.sources.tables import POLICY_SCHEMA
 def load_data(
     spark: SparkSession, path: str, schema: T.StructType | None = POLICY_SCHEMA
 ) -> DataFrame:
-    """A CSV file with header. Without a schema Spark infers one, at the cost of a scan."""
+    """CSV files with a header; columns are found by their names there, in any order.
+
+    A missing column, a file whose header differs from the first one's, a row of another
+    length and a cell that does not fit its column's type are errors. Columns outside the
+    schema are left out. Without a schema Spark infers one, at the cost of a scan.
+    """
     if schema is None:
         return spark.read.csv(path, header=True, inferSchema=True)
-    return spark.read.schema(schema).csv(path, header=True)
+    header = spark.read.csv(path, header=True).schema
+    missing = [f.name for f in schema if f.name not in header.names]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {missing}")
+    text = (
+        spark.read.schema(header).option("header", True).option("enforceSchema", False)
+        .option("mode", "FAILFAST").csv(path)
+    )
+    return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
 def load_for_prediction(
@@ -29,7 +43,9 @@ def load_for_prediction(
     schema: T.StructType | None = POLICY_SCHEMA,
     target: str = "claim_amount",
 ) -> DataFrame:
-    """The same without the target column."""
+    """The same without the target column, which need not be there."""
+    if schema is not None:
+        schema = T.StructType([f for f in schema if f.name != target])
     return load_data(spark, path, schema).drop(target)
 
 
@@ -69,7 +85,10 @@ def request_bodies(df: DataFrame, key: str, batch: int = 100) -> DataFrame:
 
 
 def parse_requests(requests: DataFrame, schema: T.StructType, body: str = "body") -> DataFrame:
-    """One row per record of a JSON array body, with its position in the request."""
+    """One row per record of a JSON array body, with its position in the request.
+
+    Bodies that are no array of records, and empty ones, have no rows here; see ``request_status``.
+    """
     records = F.from_json(F.col(body), T.ArrayType(schema))
     others = [c for c in requests.columns if c != body]
     return requests.select(*others, F.posexplode(records).alias("position", "record")).select(
@@ -77,13 +96,35 @@ def parse_requests(requests: DataFrame, schema: T.StructType, body: str = "body"
     )
 
 
+def request_status(requests: DataFrame, schema: T.StructType, body: str = "body") -> DataFrame:
+    """Requests with ``status``: ``ok``, ``empty`` (no records) or ``bad`` (no array of records)."""
+    records = F.from_json(F.col(body), T.ArrayType(schema))
+    status = F.when(records.isNull(), "bad").when(F.size(records) == 0, "empty").otherwise("ok")
+    return requests.withColumn("status", status)
+
+
 def score_responses(scored: DataFrame, request: str = "request_id", score: str = "score") -> DataFrame:
-    """``{"score": [...]}`` per request, scores in record order."""
+    """``{"score": [...]}`` per request, scores in record order.
+
+    A request is one line of its source, so its records come from one row.
+    """
     pairs = F.sort_array(F.collect_list(F.struct("position", score)))
     scores: Column = F.transform(pairs, lambda pair: pair[score])
     return scored.groupBy(request).agg(F.to_json(F.struct(scores.alias("score"))).alias("response"))
 
 
+def all_responses(
+    requests: DataFrame, schema: T.StructType, scorer, request: str = "request_id", body: str = "body"
+) -> DataFrame:
+    """One row per request: ``status`` and ``response``. An empty request has an empty list of scores, a
+    bad one an error; nothing of it is scored."""
+    checked = request_status(requests, schema, body).select(request, "status")
+    scored = scorer(parse_requests(requests, schema, body), "score")
+    answers = score_responses(scored, request)
+    other = F.when(F.col("status") == "empty", F.lit('{"score":[]}')).otherwise(F.lit('{"error":"not an array of records"}'))
+    return checked.join(answers, request, "left").withColumn("response", F.coalesce("response", other))
+
+
 # --- saved models -----------------------------------------------------------
 
 def save_scorer(scorer: ModelScorer, spark: SparkSession, path: str) -> None:
@@ -110,3 +151,16 @@ class BatchScoring:
     def run(self, spark: SparkSession, source: str, destination: str) -> None:
         rows = load_for_prediction(spark, source, self.schema, self.target)
         write_keyed_predictions(self.scorer(rows, "prediction"), self.key, "prediction", destination)
+
+
+def predict_batch(
+    spark: SparkSession, source: str, model: str, destination: str, output: str = "claims",
+    schema: T.StructType = POLICY_SCHEMA, key: str = "id_policy",
+) -> None:
+    """Expected claims or prices of a dataset, by a saved frequency-severity model: one value per
+    line without header, in key order. The target is left out where it is present."""
+    if output not in ("claims", "prices"):
+        raise ValueError("output is claims or prices")
+    rows = load_for_prediction(spark, source, schema)
+    scored = FrequencySeverity.load(spark, model).premium(rows, key)
+    write_predictions(scored, {"claims": "expected_claim", "prices": "premium"}[output], destination, key)

@@ -2,24 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perilscope.operators.scoring import Scorer
 from perilscope.operators.whatif import whatif_spread
-from perilscope.sources.files import parse_requests
+from perilscope.sources.files import all_responses, parse_requests
+
+
+BAD_LINE = "_bad_line"
+
+
+def _parsed_lines(spark: SparkSession, path: str, schema: T.StructType, files_a_batch: int | None) -> DataFrame:
+    """Every line as text and as a record; ``BAD_LINE`` holds a line that is no record."""
+    reader = spark.readStream
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    marked = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
+    record = F.from_json("value", marked, {"columnNameOfCorruptRecord": BAD_LINE})
+    return reader.text(path).select("value", record.alias("record"))
+
+
+def request_stream(
+    spark: SparkSession, path: str, schema: T.StructType, files_a_batch: int | None = None
+) -> DataFrame:
+    """Records of JSON-lines files as they arrive in a folder. Lines that are no record are left to
+    ``bad_lines``; they are never scored."""
+    lines = _parsed_lines(spark, path, schema, files_a_batch)
+    return lines.where(F.col(f"record.{BAD_LINE}").isNull()).select(*[F.col(f"record.`{f.name}`") for f in schema])
+
+
+def bad_lines(
+    spark: SparkSession, path: str, schema: T.StructType, files_a_batch: int | None = None
+) -> DataFrame:
+    """The lines of the same files that are no record, as text."""
+    lines = _parsed_lines(spark, path, schema, files_a_batch)
+    return lines.where(F.col(f"record.{BAD_LINE}").isNotNull()).select(F.col("value").alias("line"))
 
 
-def request_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Records of JSON-lines files as they arrive in a folder."""
-    return spark.readStream.schema(schema).json(path)
+BODY_SCHEMA = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("body", T.StringType())])
 
 
-def body_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def body_stream(
+    spark: SparkSession, path: str, schema: T.StructType, files_a_batch: int | None = None
+) -> DataFrame:
     """Records of request bodies: lines with ``request_id`` and a JSON array ``body``."""
-    lines = spark.readStream.schema("request_id bigint, body string").json(path)
-    return parse_requests(lines, schema)
+    return parse_requests(request_stream(spark, path, BODY_SCHEMA, files_a_batch), schema)
+
+
+def run_batches(stream: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Write ``work`` of every micro-batch to a folder of its own, then read all of them.
+
+    A batch that is run again after a failure replaces its folder, so every row is there once.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(path).drop("batch")
+
+
+def respond(
+    spark: SparkSession, inbox: str, schema: T.StructType, scorers: dict[str, Scorer], path: str, checkpoint: str,
+    files_a_batch: int | None = None,
+) -> DataFrame:
+    """A reply of every model to every request: ``request_id``, ``model``, ``status``, ``response``.
+
+    A request is one line, so its records are in one micro-batch.
+    """
+    def replies(batch: DataFrame) -> DataFrame:
+        parts = [
+            all_responses(batch, schema, scorer).withColumn("model", F.lit(name)) for name, scorer in scorers.items()
+        ]
+        return reduce(DataFrame.unionByName, parts).select("request_id", "model", "status", "response")
+
+    return run_batches(request_stream(spark, inbox, BODY_SCHEMA, files_a_batch), path, checkpoint, replies)
 
 
 def run_to_folder(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -41,10 +106,13 @@ def run_to_folder(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def score_stream(stream: DataFrame, key: str, scorers: dict[str, Scorer]) -> DataFrame:
-    """Scores of every arriving record; a projection, so no state is kept."""
+    """Scores of every arriving record with its request and position, where it has them; a projection, so
+    no state is kept. Records without a key have no score."""
+    kept = [c for c in ("request_id", "position") if c in stream.columns and c != key]
+    stream = stream.where(F.col(key).isNotNull())
     for name, scorer in scorers.items():
         stream = scorer(stream, name)
-    return stream.select(key, *scorers)
+    return stream.select(key, *kept, *scorers)
 
 
 def spread_monitor(
@@ -74,3 +142,25 @@ def spread_monitor(
             "n",
         )
     )
+
+
+def spread_windows(
+    stream: DataFrame, event_time: str, column: str, value_a: object, value_b: object, scorer: Scorer,
+    path: str, checkpoint: str, window: str = "1 day",
+) -> DataFrame:
+    """The same figures of every window, the last one and late records included.
+
+    A micro-batch writes one sum and count per window; they are added up on reading.
+    """
+    def sums(batch: DataFrame) -> DataFrame:
+        spreads = whatif_spread(batch, column, value_a, value_b, scorer).select(event_time, "spread")
+        return (
+            spreads.groupBy(F.window(event_time, window))
+            .agg(F.sum("spread").alias("total"), F.count("spread").alias("scored"), F.count(F.lit(1)).alias("n"))
+            .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "total", "scored", "n")
+        )
+
+    return (
+        run_batches(stream, path, checkpoint, sums).groupBy("window_start", "window_end")
+        .agg((F.sum("total") / F.sum("scored")).alias("mean_spread"), F.sum("n").alias("n"))
+    )

@@ -89,14 +89,17 @@ def test_effects_add_up_for_fitted_scorers(fitted_policies):
         assert total == pytest.approx(own[key] - mean, abs=0.1)
 
 
-def test_reference_pool_draws_from_a_sample(data, rows):
-    shap = E.shap_effects(data, "k", linear, list(WEIGHTS), draws=5, reference_pool=8)
-    assert shap.count() == len(rows) * 3
-    whole = E.shap_effects(data, "k", linear, list(WEIGHTS), draws=5, reference_pool=1000)
-    plain = E.shap_effects(data, "k", linear, list(WEIGHTS), draws=5)
-    both = whole.withColumnRenamed("shap_effect", "w").join(plain, ["row_id", "feature_name"])
-    assert both.count() == len(rows) * 3
-    assert both.where("abs(w - shap_effect) > 1e-12").count() == 0
+def test_spread_of_the_draws(data, rows):
+    features = ["a", "b", "c"]
+    plain = E.shap_effects(data.where("k < 4"), "k", product, features, reference=data, draws=9, seed=11)
+    spread = E.shap_effects(
+        data.where("k < 4"), "k", product, features, reference=data, draws=9, seed=11, with_spread=True
+    )
+    both = spread.join(plain.withColumnRenamed("shap_effect", "plain"), ["row_id", "feature_name"]).collect()
+    assert len(both) == 12 and all(r["plain"] == pytest.approx(r["shap_effect"], abs=1e-12) for r in both)
+    assert all(r["shap_sd"] >= 0 for r in both) and any(r["shap_sd"] > 0 for r in both)
+    one = E.shap_effects(data, "k", linear, list(WEIGHTS), reference=data.where("k = 3"), draws=3, with_spread=True)
+    assert one.where("shap_sd > 1e-9").count() == 0
 
 
 def test_one_reference_row_is_the_closed_form(data, rows):

@@ -119,3 +119,106 @@ def test_late_records_are_left_out_of_closed_windows(spark, fitted_policies):
     assert [r["n"] for r in run().collect()] == [2]
     send("2024-01-01 12:00:00", "2024-01-05 00:00:00")
     assert sorted(r["n"] for r in run().collect()) == [1, 2]
+
+
+# --- CSV by name ------------------------------------------------------------------
+
+PAIR = "id_policy long, vh_value double"
+
+
+def _schema(spark, text):
+    return spark.createDataFrame([], text).schema
+
+
+def write_lines(folder, name, *lines):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as handle:
+        handle.write("\n".join(lines) + "\n")
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    write_lines(tmp_path / "a", "1.csv", "vh_value,extra,id_policy,claim_amount", "7.0,x,3,0", ",y,4,1")
+    schema = _schema(spark, PAIR)
+    rows = files.load_data(spark, str(tmp_path / "a"), schema).orderBy("id_policy").collect()
+    assert [tuple(r) for r in rows] == [(3, 7.0), (4, None)]
+    assert files.load_for_prediction(spark, str(tmp_path / "a"), _schema(spark, PAIR + ", claim_amount double")).columns == [
+        "id_policy", "vh_value",
+    ]
+
+
+def test_csv_errors_are_not_silent(spark, tmp_path):
+    schema = _schema(spark, PAIR)
+    write_lines(tmp_path / "missing", "1.csv", "vh_value", "7.0")
+    with pytest.raises(ValueError, match="id_policy"):
+        files.load_data(spark, str(tmp_path / "missing"), schema)
+    write_lines(tmp_path / "cell", "1.csv", "id_policy,vh_value", "3,many")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|many"):
+        files.load_data(spark, str(tmp_path / "cell"), schema).collect()
+    write_lines(tmp_path / "two", "1.csv", "id_policy,vh_value", "3,1.0")
+    write_lines(tmp_path / "two", "2.csv", "vh_value,id_policy", "1.0,3")
+    with pytest.raises(Exception):
+        files.load_data(spark, str(tmp_path / "two"), schema).collect()
+
+
+# --- broken requests ----------------------------------------------------------------
+
+def test_every_request_has_a_reply(spark):
+    schema = _schema(spark, PAIR)
+    good = '[{"id_policy": 1, "vh_value": 2.0}, {"id_policy": 2}]'
+    bodies = [(1, good), (2, "[]"), (3, good[:-5]), (4, "nonsense"), (5, None), (6, '{"id_policy": 9}')]
+    requests = spark.createDataFrame(bodies, "request_id long, body string")
+    replies = files.all_responses(requests, schema, lambda df, name: df.withColumn(name, F.coalesce("vh_value", F.lit(0.5))))
+    got = {r["request_id"]: (r["status"], json.loads(r["response"])) for r in replies.collect()}
+    assert got[1] == ("ok", {"score": [2.0, 0.5]}) and got[2] == ("empty", {"score": []})
+    assert all(got[k][0] == "bad" and "error" in got[k][1] for k in (3, 4, 5))
+    assert len(got) == 6
+
+
+def test_broken_lines_are_kept_apart_and_never_scored(spark, tmp_path):
+    schema = _schema(spark, PAIR)
+    inbox, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    write_lines(inbox, "a.json", '{"id_policy": 1, "vh_value": 2.0}', '{"id_policy": 2, "vh_v', "{}")
+    scorer = lambda df, name: df.withColumn(name, F.coalesce("vh_value", F.lit(0.5)))
+    stream = jobs.score_stream(jobs.request_stream(spark, inbox, schema), "id_policy", {"s": scorer})
+    assert [tuple(r) for r in jobs.run_to_folder(stream, sink, progress).collect()] == [(1, 2.0)]
+    bad = jobs.run_to_folder(jobs.bad_lines(spark, inbox, schema), sink + "-bad", progress + "-bad")
+    assert [r["line"] for r in bad.collect()] == ['{"id_policy": 2, "vh_v']
+
+
+def test_replies_of_a_stream_are_written_once(spark, tmp_path):
+    schema = _schema(spark, PAIR)
+    inbox, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    scorer = lambda df, name: df.withColumn(name, F.col("vh_value") * 2)
+
+    def run():
+        return jobs.respond(spark, inbox, schema, {"net": scorer, "gbt": scorer}, sink, progress, files_a_batch=1)
+
+    body = json.dumps([{"id_policy": 1, "vh_value": 2.0}, {"id_policy": 2, "vh_value": 1.0}])
+    write_lines(inbox, "a.json", json.dumps({"request_id": 7, "body": body}))
+    write_lines(inbox, "b.json", json.dumps({"request_id": 8, "body": "[]"}), "cut off {")
+    first = run().collect()
+    assert sorted((r["request_id"], r["model"], r["status"], r["response"]) for r in first) == [
+        (7, "gbt", "ok", '{"score":[4.0,2.0]}'), (7, "net", "ok", '{"score":[4.0,2.0]}'),
+        (8, "gbt", "empty", '{"score":[]}'), (8, "net", "empty", '{"score":[]}'),
+    ]
+    write_lines(inbox, "c.json", json.dumps({"request_id": 9, "body": "?"}))
+    assert run().count() == 6
+
+
+def test_all_windows_are_complete(spark, fitted_policies, tmp_path):
+    df, pipeline = fitted_policies
+    inbox, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    one = df.where("id_policy = 0").select(*REQUEST_SCHEMA.names)
+
+    def run(*times):
+        stamps = F.explode(F.array(*[F.lit(t).cast("timestamp") for t in times]))
+        one.withColumn("ts", stamps).write.mode("append").json(inbox)
+        schema = type(REQUEST_SCHEMA).fromJson(REQUEST_SCHEMA.jsonValue()).add("ts", "timestamp")
+        stream = spark.readStream.schema(schema).json(inbox)
+        out = jobs.spread_windows(
+            stream, "ts", "pol_coverage", "Min", "Max", logistic_scorers(pipeline)["net"], sink, progress
+        )
+        return [r["n"] for r in out.orderBy("window_start").collect()]
+
+    assert run("2024-01-01 10:00:00", "2024-01-01 11:00:00", "2024-01-03 00:00:00") == [2, 1]
+    assert run("2024-01-01 12:00:00", "2024-01-05 00:00:00") == [3, 1, 1]

@@ -81,3 +81,22 @@ def test_frequency_severity_is_calibrated(spark, sf_dir):
     again = M.FrequencySeverity.load(spark, path).premium(df, loading=0.5)
     both = out.join(again.withColumnRenamed("premium", "other").select("id_policy", "other"), "id_policy")
     assert both.where("abs(premium - other) < 1e-6").count() == df.count()
+
+
+def test_a_fit_does_not_depend_on_the_layout(spark, fitted_policies):
+    df, pipeline = fitted_policies
+    losses = []
+    for n in (1, 3, 7):
+        table = M.training_table(df.repartition(n, F.rand(n)), pipeline, "event", "is_train")
+        losses.append(M.table_log_loss(M.fit_gbt(table, pipeline, max_depth=3, rounds=4), table))
+    assert losses[0] == pytest.approx(losses[1], abs=1e-12) and losses[0] == pytest.approx(losses[2], abs=1e-12)
+
+
+def test_pure_premium_is_saved_whole(spark, fitted_policies):
+    df, _ = fitted_policies
+    model = M.fit_pure_premium(df)
+    path = job_folder(spark, "pure")
+    model.save(spark, path)
+    again = M.PurePremium.load(spark, path).expected_claim(df).withColumnRenamed("expected_claim", "again")
+    both = model.expected_claim(df).join(again, "id_policy")
+    assert both.count() == df.count() and both.where("abs(expected_claim - again) > 1e-9").count() == 0

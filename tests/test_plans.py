@@ -6,12 +6,11 @@ import pytest
 
 from perilscope.operators import aggregates as A
 from perilscope.operators import sampling as S
-from perilscope.operators.explain import shap_by_model
 from perilscope.operators.oneway import one_way
 from perilscope.operators.selection import drop_incomplete
 from perilscope.operators.whatif import whatif_spread
 from perilscope.plans.catalog import labelled, logistic_scorers
-from perilscope.plans.explain import FEATURES
+from perilscope.plans.registry import QUERIES
 from perilscope.sources.tables import table
 
 
@@ -20,8 +19,7 @@ def plan(df):
 
 
 def exchanges(text):
-    """Exchange lines by key; the round-robin ones only spread a one-file test table."""
-    return [line for line in text.splitlines() if re.search(r"\bExchange (?!RoundRobin)", line)]
+    return [line for line in text.splitlines() if re.search(r"\bExchange ", line)]
 
 
 @pytest.fixture(scope="module")
@@ -60,18 +58,14 @@ def test_one_way_combines_before_the_shuffle(spark, sf_dir):
     assert "SinglePartition" not in text
 
 
-def test_shapley_shuffles_only_sums(fitted_policies, whole):
-    _, pipeline = fitted_policies
-    shap = shap_by_model(
-        whole, "id_policy", logistic_scorers(pipeline), FEATURES, reference=whole,
-        draws=5, reference_pool=100,
-    )
-    text = plan(shap)
+def test_the_registered_shapley_query_sums_numbers(spark, sf_dir):
+    text = plan(QUERIES["shap_importance"](spark, sf_dir))
     assert "Python" not in text and "CartesianProduct" not in text
-    assert "BroadcastNestedLoopJoin" not in text
-    main = text.split("BroadcastExchange")[0]
-    assert "partial_sum" in main
-    assert len(exchanges(main)) == 1
+    assert "BroadcastNestedLoopJoin" not in text and "SortAggregate" not in text
+    assert "partial_sum" in text
+    # the one window numbers reference rows of drawn digest groups
+    window = text[text.index("Window"):]
+    assert text.count("Window [") == 1 and "LeftSemi" in window
 
 
 def test_group_statistics_use_no_window(spark, sf_dir):

@@ -22,12 +22,19 @@ def test_split_sizes_are_exact(spark, n, fraction):
 
 
 def test_search_goes_deeper_when_prefixes_stay_large(spark, monkeypatch):
-    monkeypatch.setattr(S, "SMALL", 1)
     monkeypatch.setattr(S, "DIGITS", 1)
     train, rest = S.split(ids(spark, 3000), "k", 0.9)
     assert (train.count(), rest.count()) == (2700, 300)
 
 
+def test_a_repeated_key_at_the_cut_is_refused(spark):
+    repeated = ids(spark, 99).union(ids(spark, 1).crossJoin(spark.range(3000)).select("k"))
+    with pytest.raises(ValueError, match="does not identify a row"):
+        S.split(repeated, "k", 0.5)
+    train, rest = S.split(repeated, "k", 1.0)
+    assert (train.count(), rest.count()) == (3099, 0)
+
+
 def test_split_does_not_depend_on_partitioning(spark):
     df = ids(spark, 2000)
     a, _ = S.split(df, "k", 0.9)
@@ -53,9 +60,23 @@ def test_sample_is_ordered_and_same_as_large_sample(spark):
     assert keys(S.large_sample(df, "k", 10_000)) == list(range(3000))
 
 
-@pytest.mark.parametrize("large", [1_000_000, 1])
-def test_hash_index_is_dense(spark, monkeypatch, large):
-    monkeypatch.setattr(S, "LARGE_GROUP", large)
-    indexed, n = S.with_hash_index(ids(spark, 5000), "k", 9)
-    assert n == 5000
-    assert sorted(r["_index"] for r in indexed.collect()) == list(range(5000))
+@pytest.mark.parametrize("digits", [1, 4])
+def test_hash_index_is_dense(spark, monkeypatch, digits):
+    monkeypatch.setattr(S, "INDEX_DIGITS", digits)
+    index = S.hash_index(ids(spark, 5000), "k", 9)
+    assert index.size == 5000
+    whole = {r["_index"]: r["k"] for r in index.all_rows().collect()}
+    assert sorted(whole) == list(range(5000))
+    wanted = spark.createDataFrame([(i,) for i in (0, 7, 7, 4999, 2500)], "_index long")
+    some = {r["_index"]: r["k"] for r in index.rows(wanted).collect()}
+    assert some == {i: whole[i] for i in (0, 7, 2500, 4999)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 10, 40])
+def test_first_rows(spark, n):
+    values = [5, 3, None, 3, 2**60 + 1, -4, 2**60, None, 9, 1]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "k long, i int").repartition(3)
+    ordered = sorted(values, key=lambda v: (v is not None, v or 0))
+    assert [r["k"] for r in S.first_rows(df, "k", n).collect()] == ordered[:n]
+    named = df.select(F.col("k").cast("string").alias("k"))
+    assert S.first_rows(named, "k", n).count() == min(n, 10)
