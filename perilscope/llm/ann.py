@@ -228,7 +228,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     if short.head() is None:
         return found
     every_list = F.sequence(F.lit(0), F.lit(len(index.value.centroids) - 1))
-    everywhere = short.select(F.explode(every_list).cast("int").alias("list"), "id", "v")
+    everywhere = short.select(F.explode(every_list).alias("list"), "id", "v")
     more = _merged(_read(postings, everywhere, chunks, dim, k), k)
     return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more)
 
