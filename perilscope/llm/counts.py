@@ -93,6 +93,8 @@ def count_words(docs: DataFrame, text: str, group: str, n_buckets: int, table: n
                     keys[b], counts[b], held[b] = [merged[0]], [merged[1]], len(merged[0])
         for b in keys:
             yield counts_row(b, *sum_by_key(keys[b], counts[b]))
+        del keys, counts
+        W.release()
 
     counted = docs.select(text, group).mapInArrow(count, COUNTS)
     n_partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

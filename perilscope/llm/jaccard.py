@@ -5,11 +5,10 @@ ordered alike: shingles seen in few texts first, frequent ones last, by hash ins
 either class. Two sets of Jaccard similarity t share at least ``COMMON`` of their first
 ``n - ceil(t * n) + COMMON`` shingles in that order.
 
-1. One scan counts all shingles in 2^28 cells (a cell above the limit is frequent)
+1. One scan counts all shingles in 2^26 cells (a cell above the limit is frequent)
    and gives every set a name, so that equal sets are one node, and four short keys.
-2. Nodes that share a key are compared with the smallest and the next smaller node of
-   that key only: two pairs per node, however large a group of near copies is. What
-   these pairs link is one component.
+2. A node that shares a key is compared with three nodes of like size of that key only,
+   however large a group of near copies is. What these pairs link is one component.
 3. Nodes with the same prefix and size are one group. Group pairs that meet in
    prefix shingles are filtered by size, by position and by the number of common
    prefix shingles; pairs inside one component are left out, as they cannot change it.
@@ -38,11 +37,13 @@ from perilscope.session import job_folder, materialise
 
 SHINGLE = 3
 COMMON = 4  # prefix shingles a pair has in common at least
-CELL_BITS = 28
+CELL_BITS = 26  # cells of shingles
+NODE_BITS = 24  # cells of nodes
 PIECE_BITS = 20  # cells counted by one task at a time
 FREQUENT = 16  # texts, or four times the mean of a cell if that is more
 KEYS = 4
 PAIRS = 2_000_000  # pairs a task looks at together
+BAND = 0.1  # width of a band of sizes, as a logarithm
 STAR = 256  # partners of one node that are verified by one task
 
 
@@ -117,15 +118,15 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
-def _cell_rows(hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    cells = np.sort((hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64))
-    pieces = np.searchsorted(cells, np.arange(0, (1 << CELL_BITS) + 1, 1 << PIECE_BITS))
+def _cell_rows(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    cells = np.sort((hashes >> np.uint64(64 - bits)).astype(np.int64))
+    pieces = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << PIECE_BITS))
     for p in np.flatnonzero(np.diff(pieces)).tolist():
         yield p, _packed(cells[pieces[p] : pieces[p + 1]] - (p << PIECE_BITS))
 
 
-def _bitmap(cells: DataFrame, least: int, mean_times: int) -> np.ndarray:
-    """One bit per cell (2^28 in all, whatever the input) that was seen ``least`` times, and
+def _bitmap(cells: DataFrame, bits: int, least: int, mean_times: int) -> np.ndarray:
+    """One bit per cell (2^``bits`` in all, whatever the input) that was seen ``least`` times, and
     ``mean_times`` the mean of its piece."""
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,23 +137,25 @@ def _bitmap(cells: DataFrame, least: int, mean_times: int) -> np.ndarray:
                 if piece not in seen:
                     seen[piece] = np.zeros(1 << PIECE_BITS, dtype=np.int32)
                 seen[piece] += np.bincount(_unpacked(C.value(batch, "cells", k)), minlength=1 << PIECE_BITS).astype(np.int32)
-        for piece, n in seen.items():
+        for piece in list(seen):
+            n = seen.pop(piece)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([piece], pa.int32()), pa.array([np.packbits(n >= max(least, mean_times * n.mean())).tobytes()], pa.binary())],
                 names=["piece", "cells"],
             )
+        W.release()
 
-    n = 1 << (CELL_BITS - PIECE_BITS)
+    n = 1 << (bits - PIECE_BITS)
     rows = cells.select("piece", "cells").repartition(n, "piece").mapInArrow(count, "piece int, cells binary").collect()
-    bits = np.zeros((n, 1 << (PIECE_BITS - 3)), dtype=np.uint8)
+    found = np.zeros((n, 1 << (PIECE_BITS - 3)), dtype=np.uint8)
     for r in rows:
-        bits[r["piece"]] = np.frombuffer(r["cells"], np.uint8)
-    return bits.reshape(-1)
+        found[r["piece"]] = np.frombuffer(r["cells"], np.uint8)
+    return found.reshape(-1)
 
 
-def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cell = (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-    return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = (hashes >> np.uint64(61 - (len(bitmap) - 1).bit_length())).astype(np.int64)
+    return (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
 
 
 def _node_cells(nodes: DataFrame) -> DataFrame:
@@ -161,7 +164,7 @@ def _node_cells(nodes: DataFrame) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             values = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            rows = list(_cell_rows(np.unique(W.mix(values))))
+            rows = list(_cell_rows(np.unique(W.mix(values)), NODE_BITS))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=["piece", "cells"]
             )
@@ -183,7 +186,7 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         held: list[np.ndarray] = []
 
         def flush(like: pa.DataType) -> Iterator[pa.RecordBatch]:
-            rows = list(_cell_rows(np.concatenate(held)))
+            rows = list(_cell_rows(np.concatenate(held), CELL_BITS))
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(n, like), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
@@ -219,8 +222,8 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, text: str, frequent, wanted) -> DataFrame:
-    """Node, size, group and prefix of every set that can link, and the whole set of the wanted nodes."""
-    schema = "node long, n long, gid long, prefix binary, hashes binary"
+    """Node, size, number of rare shingles, group and prefix of every set that can link, and the whole set of the wanted nodes."""
+    schema = "node long, n long, early long, gid long, prefix binary, hashes binary"
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in W.batches(stream, text):
@@ -246,11 +249,12 @@ def _prefixes(docs: DataFrame, text: str, frequent, wanted) -> DataFrame:
                 [
                     pa.array(nodes[rows]),
                     pa.array(sets.size[rows].astype(np.int64)),
+                    pa.array(n_early[rows].astype(np.int64)),
                     pa.array(gid, pa.int64()),
                     pa.array([p.tobytes() for p in prefix], pa.binary()),
                     pa.array([sets.hash[sets.first[r] : sets.first[r + 1]].tobytes() if keep[r] else None for r in rows.tolist()], pa.binary()),
                 ],
-                names=["node", "n", "gid", "prefix", "hashes"],
+                names=["node", "n", "early", "gid", "prefix", "hashes"],
             )
 
     folder = job_folder(docs.sparkSession, "prefixes")
@@ -296,25 +300,36 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if 100 * both >= 90 * (len(centre) + len(hashes) - both):
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        W.release()
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = centres.unionByName(partners).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _star_pairs(nodes: DataFrame) -> DataFrame:
-    """Each node of a shared key with the key's smallest node and the next smaller one (by size and name)."""
+def _key_nodes(nodes: DataFrame) -> DataFrame:
+    """``node``, ``n``, ``k`` and ``c`` (nodes of the key) of every key that several nodes share."""
     listed = nodes.select("node", "n", F.explode("keys").alias("k"))
-    first = listed.groupBy("k").agg(F.min(F.struct("n", "node")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = listed.join(first, "k")
-    star = shared.select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
-    # neighbours by size inside a key and a slice of its nodes: no window holds a large key whole
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / 10_000)).cast("int")
-    inside = Window.partitionBy("k", "part").orderBy("n", "node")
-    chain = shared.withColumn("part", part).select(
-        F.lag("node").over(inside).alias("a"), F.col("node").alias("b"), F.lag("n").over(inside).alias("na"), F.col("n").alias("nb")
-    )
-    return star.unionByName(chain).where("a is not null and a <> b and 10 * na >= 9 * nb").select("a", "b").distinct()
+    return listed.join(listed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "k")
+
+
+def _key_pairs(shared: DataFrame) -> DataFrame:
+    """Each node of a shared key with the centre of its size band, and with the two nodes before it in a random order
+    of the band: at most three pairs per node and key, however many nodes share it. The centre is the node
+    with the fewest rare shingles (``early``): what copies were made from, or is nearest to it."""
+    placed = shared.withColumns({
+        "band": F.floor(F.ln("n") / BAND).cast("int"),
+        # a part of a large band is ordered by itself: no window holds a large key whole
+        "part": F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / 10_000)).cast("int"),
+        "turn": F.xxhash64("node", "k"),
+    })
+    inside = Window.partitionBy("k", "band", "part").orderBy("turn", "node")
+    before = [F.struct(F.lag("node", g).over(inside).alias("a"), F.lag("n", g).over(inside).alias("na")) for g in (1, 2)]
+    chain = placed.withColumn("before", F.array(*before)).select("node", "n", F.explode("before").alias("p"))
+    centre = placed.groupBy("k", "band").agg(F.min(F.struct("early", "node", "n")).alias("p"))
+    star = placed.join(centre, ["k", "band"]).select("node", "n", F.struct(F.col("p.node").alias("a"), F.col("p.n").alias("na")).alias("p"))
+    pairs = chain.unionByName(star).where("p.a is not null and p.a <> node and 10 * least(p.na, n) >= 9 * greatest(p.na, n)")
+    return pairs.select(F.least("p.a", "node").alias("a"), F.greatest("p.a", "node").alias("b")).distinct()
 
 
 def _group_pairs(groups: DataFrame, n_buckets: int) -> DataFrame:
@@ -353,6 +368,8 @@ def _group_pairs(groups: DataFrame, n_buckets: int) -> DataFrame:
                 rows.setdefault(bucket, []).append(np.frombuffer(C.value(batch, "rows", k), np.int64).reshape(-1, 4))
         for bucket in tokens:
             yield from _meeting(np.concatenate(tokens[bucket]), np.concatenate(rows[bucket]), n_buckets)
+        del tokens, rows
+        W.release()
 
     def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[np.ndarray] = []
@@ -366,6 +383,8 @@ def _group_pairs(groups: DataFrame, n_buckets: int) -> DataFrame:
             total = np.add.reduceat(flat[:, 2], np.flatnonzero(new))
             kept = flat[new][total >= COMMON]
             yield pa.RecordBatch.from_arrays([pa.array(kept[:, k]) for k in (0, 1)], names=["g", "h"])
+            del pairs, flat, kept
+        W.release()
 
     dealt = groups.mapInArrow(deal, "bucket int, tokens binary, rows binary").repartition(n_buckets, "bucket")
     met = dealt.mapInArrow(meet, "bucket int, pairs binary").repartition(n_buckets, "bucket")
@@ -391,40 +410,60 @@ def _meeting(token: np.ndarray, rows: np.ndarray, n_buckets: int) -> Iterator[pa
     if not len(rows):
         return
     gid, comp, n, place, mixed = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] >> 1, rows[:, 3] & 1
+    # pairs inside a list's largest component are never looked at: one end is outside
+    large = _in_largest(lists, comp, mixed)
     key = lists * (1 << 32) + n
-    upto = np.searchsorted(key, lists * (1 << 32) + n * 10 // 9, side="right")
-    count = upto - np.arange(len(key)) - 1
-    begin = 0
+    outside = np.flatnonzero(~large)
+    low = np.searchsorted(key, key[outside] - n[outside] + _least_size(n[outside]), side="left")
+    count = np.searchsorted(key, key[outside] - n[outside] + n[outside] * 10 // 9, side="right") - low
     total = np.cumsum(count)
+    begin = 0
     while begin < len(count):
         done = total[begin - 1] if begin else 0
         end = max(int(np.searchsorted(total, done + PAIRS, side="right")), begin + 1)
-        for a, b in _partners(np.arange(begin, end), count[begin:end]):
+        for a, b in _partners(outside[begin:end], low[begin:end], count[begin:end]):
             alpha = -(-9 * (n[a] + n[b]) // 19)
-            ok = (gid[a] != gid[b]) & ((comp[a] != comp[b]) | (mixed[a] + mixed[b] > 0))
+            ok = (large[b] | (b > a)) & (gid[a] != gid[b]) & ((comp[a] != comp[b]) | (mixed[a] + mixed[b] > 0))
             ok &= (place[a] <= n[a] - alpha + COMMON - 1) & (place[b] <= n[b] - alpha + COMMON - 1)
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
             pair = np.stack([np.minimum(gid[a], gid[b]), np.maximum(gid[a], gid[b])], 1)
             pair, seen = np.unique(pair, axis=0, return_counts=True)
-            mixed_hash = W.mix(pair[:, 0].view(np.uint64) ^ W.mix(pair[:, 1].view(np.uint64)))
+            spread = W.mix(pair[:, 0].view(np.uint64) ^ W.mix(pair[:, 1].view(np.uint64)))
             flat = np.concatenate([pair, seen[:, None]], axis=1)
-            for bucket, at in C.by_bucket(mixed_hash, n_buckets):
+            for bucket, at in C.by_bucket(spread, n_buckets):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([bucket], pa.int32()), pa.array([flat[at].tobytes()], pa.binary())], names=["bucket", "pairs"]
                 )
         begin = end
 
 
-def _partners(a: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every element with the ``count`` elements after it, a bounded number of pairs at a time."""
+def _in_largest(lists: np.ndarray, comp: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Marks of the groups that lie in the component with the most groups of their list."""
+    order = np.lexsort((comp, mixed, lists))
+    l, c, m = lists[order], comp[order], mixed[order]
+    new = np.append(True, (l[1:] != l[:-1]) | (c[1:] != c[:-1]) | (m[1:] != m[:-1]))
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(l))) * (m[at] == 0)
+    best = np.lexsort((size, l[at]))
+    last = np.append(l[at][best][1:] != l[at][best][:-1], True)
+    top = np.zeros(len(at), dtype=bool)
+    top[best[last]] = True
+    top &= size > 0
+    out = np.zeros(len(lists), dtype=bool)
+    out[order] = top[np.cumsum(new) - 1]
+    return out
+
+
+def _partners(a: np.ndarray, low: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every element with the ``count`` elements from ``low`` on, a bounded number of pairs at a time."""
     if len(a) == 1 and count[0] > PAIRS:
-        for low in range(0, int(count[0]), PAIRS):
-            b = np.arange(a[0] + 1 + low, a[0] + 1 + min(low + PAIRS, int(count[0])))
+        for at in range(0, int(count[0]), PAIRS):
+            b = np.arange(low[0] + at, low[0] + min(at + PAIRS, int(count[0])))
             yield np.full(len(b), a[0]), b
     else:
-        yield np.repeat(a, count), W.ragged(count, a + 1)
+        yield np.repeat(a, count), W.ragged(count, low)
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,14 +473,17 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     written = _signatures(docs, key, text)
     rows = written.where("piece is null").select("key", "n", "node", "keys")
-    frequent = context.broadcast(_bitmap(written.where("piece is not null"), FREQUENT, 4))
+    frequent = context.broadcast(_bitmap(written.where("piece is not null"), CELL_BITS, FREQUENT, 4))
     nodes = rows.where("keys is not null").groupBy("node", "n").agg(F.any_value("keys").alias("keys"))
-    star = materialise(_star_pairs(nodes), "pairs")
-    ends = star.select(F.explode(F.array("a", "b")).alias("node"))
-    wanted = context.broadcast(_bitmap(_node_cells(ends), 1, 0))
+    shared = materialise(_key_nodes(nodes), "keys")
+    wanted = context.broadcast(_bitmap(_node_cells(shared), NODE_BITS, 1, 0))
     prefixes = _prefixes(docs, text, frequent, wanted)
+    frequent.destroy()
+    wanted.destroy()
     sets = prefixes.where("hashes is not null").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
-    links = materialise(_verified(star, sets), "links")
+    early = prefixes.groupBy("node").agg(F.any_value("early").alias("early"))
+    shared = materialise(shared.join(early, "node"), "keys")
+    links = materialise(_verified(materialise(_key_pairs(shared), "pairs"), sets), "links")
     near = components(links)
 
     members = materialise(
@@ -460,9 +502,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     crossing = materialise(expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     if crossing.head() is not None:
         ends = crossing.select(F.explode(F.array("a", "b")).alias("node"))
-        wanted = context.broadcast(_bitmap(_node_cells(ends), 1, 0))
+        wanted = context.broadcast(_bitmap(_node_cells(ends), NODE_BITS, 1, 0))
         sets = _whole_sets(docs, text, wanted).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
         found = materialise(_verified(crossing, materialise(sets, "sets")), "links")
+        wanted.destroy()
         if found.head() is not None:
             near = components(links.unionByName(found))
     placed = rows.join(near, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -31,7 +31,7 @@ from perilscope.llm.chain import Blocks
 
 FEATURES = 1 << 18
 GRAMS = (2, 3, 4)
-SAMPLE_DOCS = 400
+SAMPLE_DOCS = 300
 SAMPLE_BYTES = 32 << 10
 LEXICON = 4000  # words per language
 SEGMENT = 24  # words of one language in a row, in the mixed training sequences

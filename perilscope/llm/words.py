@@ -9,6 +9,7 @@ are built piece by piece.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,19 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _UP, _DOWN
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Hand freed memory back: Python workers are kept between tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     """True for every byte but those in the (first, last) ranges."""
     table = np.ones(256, dtype=bool)
@@ -99,6 +113,8 @@ def batches(stream: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
                 data[offsets[first] : offsets[last]],
                 offsets[first : last + 1] - offsets[first],
             )
+        del batch, data, offsets
+    release()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

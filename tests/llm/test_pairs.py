@@ -77,7 +77,8 @@ def test_components_equal_all_pairs(spark, monkeypatch, seed, frequent):
 
 def test_links_between_groups_are_found_without_the_first_step(spark, monkeypatch):
     """The prefix join alone finds every link."""
-    monkeypatch.setattr(jaccard, "_star_pairs", lambda nodes: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    none = lambda shared: shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    monkeypatch.setattr(jaccard, "_key_pairs", none)
     monkeypatch.setattr(jaccard, "FREQUENT", 4)
     monkeypatch.setattr(jaccard, "PAIRS", 50)
     rows = near_copies(7, groups=15, unrelated=20)
@@ -190,3 +191,14 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     assert set(out) == clean
     for k in list(clean)[:40]:
         assert out[k] == library.encode(kept[k], add_special_tokens=False).ids
+
+
+def test_a_query_that_found_too_few_reads_all_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 10)
+    monkeypatch.setattr(ann, "PROBES", 1)
+    r = np.random.default_rng(4)
+    data = [(i, r.standard_normal(8)) for i in range(200)]
+    out = {}
+    for x in ann.nearest(vectors(spark, data), F.col("vec_id") % 20 == 0).collect():
+        out.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+    assert set(out) == set(range(0, 200, 20)) and all([k for k, _ in sorted(v)] == list(range(1, 21)) for v in out.values())
