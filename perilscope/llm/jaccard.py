@@ -1,6 +1,7 @@
 """N-gram Jaccard join of whole texts by grouped prefixes.
 
-A text is the set of its distinct 3-word shingles (64-bit hashes). All sets are
+A text is the set of its distinct shingles (64-bit hashes). A ``Rule`` gives their words and the least
+similarity of a link, by default 3 words and 0.9. All sets are
 ordered alike: shingles seen in few texts first, frequent ones last, by hash inside
 either class. Two sets of Jaccard similarity t share at least ``COMMON`` of their first
 ``n - ceil(t * n) + COMMON`` shingles in that order.
@@ -23,6 +24,7 @@ and equal texts link; a null key is never a component's id unless all its keys a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,7 @@ from perilscope.llm import words as W
 from perilscope.llm.components import components
 from perilscope.session import job_folder, materialise
 
-SHINGLE = 3
-COMMON = 4  # prefix shingles a pair has in common at least
+COMMON = 4  # prefix shingles a pair has in common, or ``Rule.floor`` if that is less
 CELL_BITS = 26  # cells of shingles
 NODE_BITS = 24  # cells of nodes
 PIECE_BITS = 20  # cells counted by one task at a time
@@ -47,22 +48,51 @@ BAND = 0.1  # width of a band of sizes, as a logarithm
 STAR = 256  # partners of one node that are verified by one task
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Sets of shingles of ``width`` words link at a similarity of ``part / whole`` (below 1)."""
+
+    width: int = 3
+    part: int = 9
+    whole: int = 10
+
+    def least_size(self, n):
+        """The least size of a set, and the least intersection, that links with a set of size ``n``."""
+        return -(-self.part * n // self.whole)
+
+    def least_common(self, both_sizes):
+        """The least intersection of two linked sets whose sizes have this sum."""
+        return -(-self.part * both_sizes // (self.part + self.whole))
+
+    @property
+    def floor(self) -> int:
+        """The least size of a set that links with another than itself."""
+        return int(self.least_size(-(-self.whole // (self.whole - self.part))))
+
+    @property
+    def common(self) -> int:
+        return min(COMMON, self.floor)
+
+
+RULE = Rule()
+
+
 class Sets:
     """Distinct shingles of the rows of a slice, sorted by hash inside each row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, shingle: int = RULE.width):
         data = W.lowered(data)
         starts, ends, first = W.spans(data, offsets, W.NON_SPACE)
         word = W.hashes(data, starts, ends)
         n_words = np.diff(first)
-        size = np.maximum(n_words - SHINGLE + 1, np.minimum(n_words, 1))
+        size = np.maximum(n_words - shingle + 1, np.minimum(n_words, 1))
         owner = np.repeat(np.arange(len(n_words)), size)
         at = W.ragged(size, first[:-1])
-        width = np.minimum(n_words, SHINGLE)[owner]
-        word = np.concatenate([word, np.zeros(SHINGLE, np.uint64)])
+        width = np.minimum(n_words, shingle)[owner]
+        word = np.concatenate([word, np.zeros(shingle, np.uint64)])
         hash_ = W.mix(word[at] + np.uint64(1))
         with np.errstate(over="ignore"):
-            for k in range(1, SHINGLE):
+            for k in range(1, shingle):
                 hash_ = np.where(width > k, W.mix(hash_ * np.uint64(3) + word[at + k]), hash_)
         bounds = np.concatenate([[0], np.cumsum(size)])
         for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
@@ -98,10 +128,6 @@ class Sets:
         return W.mix(out)
 
 
-def _least_size(n: np.ndarray) -> np.ndarray:
-    return -(-9 * n // 10)
-
-
 # --- cells ------------------------------------------------------------------
 
 def _packed(cells: np.ndarray) -> bytes:
@@ -174,7 +200,7 @@ def _node_cells(nodes: DataFrame) -> DataFrame:
 
 # --- scans of the texts -------------------------------------------------------
 
-def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _signatures(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     """Key, size, node and short keys of every row; and the packed cells of all shingles."""
     kind = docs.schema[key].dataType
     schema = T.StructType([
@@ -198,9 +224,9 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch, data, offsets in W.batches(stream, text):
             names = batch.column(batch.schema.get_field_index(key))
             like = names.type
-            sets = Sets(data, offsets)
+            sets = Sets(data, offsets, rule.width)
             nodes, keys, n = sets.nodes(), sets.keys().view(np.int64), len(batch)
-            lists = [keys[:, r].tolist() if sets.size[r] >= 9 else None for r in range(n)]
+            lists = [keys[:, r].tolist() if sets.size[r] >= rule.floor else None for r in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [names, pa.array(sets.size.astype(np.int64)), pa.array(nodes), pa.array(lists, pa.list_(pa.int64())),
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
@@ -221,16 +247,16 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.sparkSession.read.parquet(folder)
 
 
-def _prefixes(docs: DataFrame, text: str, frequent, wanted) -> DataFrame:
+def _prefixes(docs: DataFrame, text: str, frequent, wanted, rule: Rule) -> DataFrame:
     """Node, size, number of rare shingles, group and prefix of every set that can link, and the whole set of the wanted nodes."""
     schema = "node long, n long, early long, gid long, prefix binary, hashes binary"
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in W.batches(stream, text):
-            sets = Sets(data, offsets)
+            sets = Sets(data, offsets, rule.width)
             nodes = sets.nodes()
             _, one = np.unique(nodes, return_index=True)
-            rows = one[sets.size[one] >= 9]
+            rows = one[sets.size[one] >= rule.floor]
             late = _marked(frequent.value, sets.hash)
             early = np.cumsum(~late)
             before = np.concatenate([[0], early])[sets.first]
@@ -238,7 +264,7 @@ def _prefixes(docs: DataFrame, text: str, frequent, wanted) -> DataFrame:
             place = np.arange(len(late)) - sets.first[sets.owner]
             rank_early = early - 1 - before[sets.owner]
             rank = np.where(late, n_early[sets.owner] + place - (early - before[sets.owner]), rank_early)
-            length = np.minimum(sets.size - _least_size(sets.size) + COMMON, sets.size)
+            length = np.minimum(sets.size - rule.least_size(sets.size) + rule.common, sets.size)
             ordered = np.empty_like(sets.hash)
             ordered[sets.first[sets.owner] + rank] = sets.hash
             keep = _marked(wanted.value, W.mix(nodes.view(np.uint64)))
@@ -262,12 +288,12 @@ def _prefixes(docs: DataFrame, text: str, frequent, wanted) -> DataFrame:
     return docs.sparkSession.read.parquet(folder)
 
 
-def _whole_sets(docs: DataFrame, text: str, wanted) -> DataFrame:
+def _whole_sets(docs: DataFrame, text: str, wanted, rule: Rule) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in W.batches(stream, text):
-            sets = Sets(data, offsets)
+            sets = Sets(data, offsets, rule.width)
             nodes, one = np.unique(sets.nodes(), return_index=True)
-            at = np.flatnonzero((sets.size[one] >= 9) & _marked(wanted.value, W.mix(nodes.view(np.uint64))))
+            at = np.flatnonzero((sets.size[one] >= rule.floor) & _marked(wanted.value, W.mix(nodes.view(np.uint64))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes[at]), pa.array([sets.hash[sets.first[r] : sets.first[r + 1]].tobytes() for r in one[at].tolist()], pa.binary())],
                 names=["node", "hashes"],
@@ -278,8 +304,8 @@ def _whole_sets(docs: DataFrame, text: str, wanted) -> DataFrame:
 
 # --- pairs ------------------------------------------------------------------
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) with 100 * intersection >= 90 * union. One set is held at a time:
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (``a``, ``b``) with whole * intersection >= part * union. One set is held at a time:
     the partners of a node are dealt over tasks, ``STAR`` to each."""
     pairs = pairs.select("a", "b").distinct()
     stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("n_salt"))
@@ -297,7 +323,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     centre = hashes
                     continue
                 both = int((W.known(centre, hashes) >= 0).sum())
-                if 100 * both >= 90 * (len(centre) + len(hashes) - both):
+                if rule.whole * both >= rule.part * (len(centre) + len(hashes) - both):
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
         W.release()
@@ -308,8 +334,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _key_nodes(nodes: DataFrame) -> DataFrame:
-    """``node``, ``n``, ``k`` and ``c`` (nodes of the key) of every key that several nodes share."""
-    listed = nodes.select("node", "n", F.explode("keys").alias("k"))
+    """``node``, ``n``, ``least``, ``k`` and ``c`` (nodes of the key) of every key that several nodes share."""
+    listed = nodes.select("node", "n", "least", F.explode("keys").alias("k"))
     return listed.join(listed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "k")
 
 
@@ -324,15 +350,16 @@ def _key_pairs(shared: DataFrame) -> DataFrame:
         "turn": F.xxhash64("node", "k"),
     })
     inside = Window.partitionBy("k", "band", "part").orderBy("turn", "node")
-    before = [F.struct(F.lag("node", g).over(inside).alias("a"), F.lag("n", g).over(inside).alias("na")) for g in (1, 2)]
-    chain = placed.withColumn("before", F.array(*before)).select("node", "n", F.explode("before").alias("p"))
-    centre = placed.groupBy("k", "band").agg(F.min(F.struct("early", "node", "n")).alias("p"))
-    star = placed.join(centre, ["k", "band"]).select("node", "n", F.struct(F.col("p.node").alias("a"), F.col("p.n").alias("na")).alias("p"))
-    pairs = chain.unionByName(star).where("p.a is not null and p.a <> node and 10 * least(p.na, n) >= 9 * greatest(p.na, n)")
+    names = {"node": "a", "n": "na", "least": "leasta"}
+    before = [F.struct(*[F.lag(c, g).over(inside).alias(a) for c, a in names.items()]) for g in (1, 2)]
+    chain = placed.withColumn("before", F.array(*before)).select("node", "n", "least", F.explode("before").alias("p"))
+    centre = placed.groupBy("k", "band").agg(F.min(F.struct("early", "node", "n", "least")).alias("p"))
+    star = placed.join(centre, ["k", "band"]).select("node", "n", "least", F.struct(*[F.col(f"p.{c}").alias(a) for c, a in names.items()]).alias("p"))
+    pairs = chain.unionByName(star).where("p.a is not null and p.a <> node and p.na >= least and n >= p.leasta")
     return pairs.select(F.least("p.a", "node").alias("a"), F.greatest("p.a", "node").alias("b")).distinct()
 
 
-def _group_pairs(groups: DataFrame, n_buckets: int) -> DataFrame:
+def _group_pairs(groups: DataFrame, n_buckets: int, rule: Rule) -> DataFrame:
     """Pairs of groups (``gid``, ``n``, ``prefix``, ``comp``, null if its members are in several
     components) with enough common prefix shingles, not of one component."""
 
@@ -367,7 +394,7 @@ def _group_pairs(groups: DataFrame, n_buckets: int) -> DataFrame:
                 tokens.setdefault(bucket, []).append(C.u64(C.value(batch, "tokens", k)))
                 rows.setdefault(bucket, []).append(np.frombuffer(C.value(batch, "rows", k), np.int64).reshape(-1, 4))
         for bucket in tokens:
-            yield from _meeting(np.concatenate(tokens[bucket]), np.concatenate(rows[bucket]), n_buckets)
+            yield from _meeting(np.concatenate(tokens[bucket]), np.concatenate(rows[bucket]), n_buckets, rule)
         del tokens, rows
         W.release()
 
@@ -381,7 +408,7 @@ def _group_pairs(groups: DataFrame, n_buckets: int) -> DataFrame:
             flat = flat[np.lexsort((flat[:, 1], flat[:, 0]))]
             new = np.append(True, (flat[1:, :2] != flat[:-1, :2]).any(axis=1))
             total = np.add.reduceat(flat[:, 2], np.flatnonzero(new))
-            kept = flat[new][total >= COMMON]
+            kept = flat[new][total >= rule.common]
             yield pa.RecordBatch.from_arrays([pa.array(kept[:, k]) for k in (0, 1)], names=["g", "h"])
             del pairs, flat, kept
         W.release()
@@ -391,7 +418,7 @@ def _group_pairs(groups: DataFrame, n_buckets: int) -> DataFrame:
     return met.mapInArrow(add, "g long, h long")
 
 
-def _meeting(token: np.ndarray, rows: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _meeting(token: np.ndarray, rows: np.ndarray, n_buckets: int, rule: Rule) -> Iterator[pa.RecordBatch]:
     """Pairs of groups in the lists of a bucket's shingles, with the number of lists they share."""
     order = np.lexsort((rows[:, 2], token))
     token, rows = token[order], rows[order]
@@ -414,17 +441,17 @@ def _meeting(token: np.ndarray, rows: np.ndarray, n_buckets: int) -> Iterator[pa
     large = _in_largest(lists, comp, mixed)
     key = lists * (1 << 32) + n
     outside = np.flatnonzero(~large)
-    low = np.searchsorted(key, key[outside] - n[outside] + _least_size(n[outside]), side="left")
-    count = np.searchsorted(key, key[outside] - n[outside] + n[outside] * 10 // 9, side="right") - low
+    low = np.searchsorted(key, key[outside] - n[outside] + rule.least_size(n[outside]), side="left")
+    count = np.searchsorted(key, key[outside] - n[outside] + n[outside] * rule.whole // rule.part, side="right") - low
     total = np.cumsum(count)
     begin = 0
     while begin < len(count):
         done = total[begin - 1] if begin else 0
         end = max(int(np.searchsorted(total, done + PAIRS, side="right")), begin + 1)
         for a, b in _partners(outside[begin:end], low[begin:end], count[begin:end]):
-            alpha = -(-9 * (n[a] + n[b]) // 19)
+            alpha = rule.least_common(n[a] + n[b])
             ok = (large[b] | (b > a)) & (gid[a] != gid[b]) & ((comp[a] != comp[b]) | (mixed[a] + mixed[b] > 0))
-            ok &= (place[a] <= n[a] - alpha + COMMON - 1) & (place[b] <= n[b] - alpha + COMMON - 1)
+            ok &= (place[a] <= n[a] - alpha + rule.common - 1) & (place[b] <= n[b] - alpha + rule.common - 1)
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
@@ -466,24 +493,25 @@ def _partners(a: np.ndarray, low: np.ndarray, count: np.ndarray) -> Iterator[tup
         yield np.repeat(a, count), W.ragged(count, low)
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row."""
     spark = docs.sparkSession
     context = spark.sparkContext
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    written = _signatures(docs, key, text)
+    written = _signatures(docs, key, text, rule)
     rows = written.where("piece is null").select("key", "n", "node", "keys")
     frequent = context.broadcast(_bitmap(written.where("piece is not null"), CELL_BITS, FREQUENT, 4))
     nodes = rows.where("keys is not null").groupBy("node", "n").agg(F.any_value("keys").alias("keys"))
+    nodes = nodes.withColumn("least", F.ceil(F.lit(rule.part) * F.col("n") / rule.whole))
     shared = materialise(_key_nodes(nodes), "keys")
     wanted = context.broadcast(_bitmap(_node_cells(shared), NODE_BITS, 1, 0))
-    prefixes = _prefixes(docs, text, frequent, wanted)
+    prefixes = _prefixes(docs, text, frequent, wanted, rule)
     frequent.destroy()
     wanted.destroy()
     sets = prefixes.where("hashes is not null").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
     early = prefixes.groupBy("node").agg(F.any_value("early").alias("early"))
     shared = materialise(shared.join(early, "node"), "keys")
-    links = materialise(_verified(materialise(_key_pairs(shared), "pairs"), sets), "links")
+    links = materialise(_verified(materialise(_key_pairs(shared), "pairs"), sets, rule), "links")
     near = components(links)
 
     members = materialise(
@@ -494,7 +522,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         prefixes.groupBy("gid").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")).join(comps, "gid")
         .select("gid", "n", "prefix", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("comp"))
     )
-    pairs = _group_pairs(groups, n_buckets)
+    pairs = _group_pairs(groups, n_buckets, rule)
     inner = comps.where("lo <> hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     left = members.select(F.col("gid").alias("g"), F.col("node").alias("a"), F.col("comp").alias("ca"))
     right = members.select(F.col("gid").alias("h"), F.col("node").alias("b"), F.col("comp").alias("cb"))
@@ -503,8 +531,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     if crossing.head() is not None:
         ends = crossing.select(F.explode(F.array("a", "b")).alias("node"))
         wanted = context.broadcast(_bitmap(_node_cells(ends), NODE_BITS, 1, 0))
-        sets = _whole_sets(docs, text, wanted).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
-        found = materialise(_verified(crossing, materialise(sets, "sets")), "links")
+        sets = _whole_sets(docs, text, wanted, rule).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+        found = materialise(_verified(crossing, materialise(sets, "sets"), rule), "links")
         wanted.destroy()
         if found.head() is not None:
             near = components(links.unionByName(found))
@@ -518,12 +546,12 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """The documents whose key is their component's id, with their own columns.
 
     Rows with a null key stay. Rows that repeat a key are one document: they stay or go together, and one row stays.
     """
-    joined = materialise(jaccard_join(docs, key, text).select(key, "component_id"), "components")
+    joined = materialise(jaccard_join(docs, key, text, rule).select(key, "component_id"), "components")
     kept = joined.where(F.col(key) == F.col("component_id")).select(key).distinct()
     staying = docs.join(kept, key, "left_semi")
     if joined.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").head() is not None:
