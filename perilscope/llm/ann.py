@@ -184,9 +184,12 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the ``k`` nearest found of every row that ``is_query`` holds for."""
     spark = vectors.sparkSession
     asked = vectors.select(F.col(key), F.col(vector), is_query.alias("q"))
-    rows = materialise(usable(asked, key, vector), "vectors")
-    lengths = rows.groupBy((F.octet_length("v") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"))
-    common = lengths.orderBy(F.desc("n"), "dim").first()
+    repeated = usable(asked, key, vector).groupBy("id", "v").agg(F.first("norm").alias("norm"), F.count(F.lit(1)).alias("times"))
+    rows = materialise(repeated, "vectors")
+    lengths = rows.groupBy((F.octet_length("v") / 8).cast("int").alias("dim")).agg(
+        F.sum("times").alias("times"), F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")
+    )
+    common = lengths.orderBy(F.desc("times"), "dim").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if common is None:
         return spark.createDataFrame([], schema)
@@ -219,7 +222,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     chunks = F.broadcast(
         materialise(lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "lists")
     )
-    postings = lists.join(chunks, "list").select("list", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "v")
+    postings = lists.join(chunks, "list").select("list", F.pmod(F.xxhash64("id", "v"), F.col("chunks")).cast("int").alias("chunk"), "id", "v")
     found = materialise(_merged(_read(postings, queries.mapInArrow(ask, placed), chunks, dim, k), k), "nearest")
     reach = rows.select("id").distinct().limit(k + 1).count() - 1  # all candidates of a query, if these are fewer than k
     short = queries.join(found.groupBy("query_id").agg(F.max("rank").alias("n")).withColumnRenamed("query_id", "id"), "id", "left").where(
@@ -276,19 +279,28 @@ def _read(postings: DataFrame, probes: DataFrame, chunks: DataFrame, dim: int, k
 
 
 def _best(query: np.ndarray, q: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int) -> pa.RecordBatch:
+    at, row, score = _nearest_rows(query, q, names, matrix, k)
+    return pa.RecordBatch.from_arrays([pa.array(query[at]), pa.array(names[row]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _nearest_rows(query: np.ndarray, q: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the query, row and score of the best ``k`` different ids of each query; of an id its best row."""
     rough = q @ matrix.T
     rough[query[:, None] == names[None, :]] = -np.inf
-    out = []
+    order = np.argsort(names, kind="stable")
+    opens = np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1]))
+    by_id = rough if len(opens) == len(names) else np.maximum.reduceat(rough[:, order], opens, axis=1)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for i in range(len(query)):
         row = rough[i]
-        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+        least = np.partition(by_id[i], len(opens) - k)[len(opens) - k] if len(opens) > k else -np.inf
         near = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & np.isfinite(row)) if np.isfinite(least) else np.flatnonzero(np.isfinite(row))
         score = (matrix[near] * q[i]).sum(axis=1)
         order = np.lexsort((names[near], -score))
-        taken = near[order[: 2 * k]]
-        out.append((np.full(len(taken), query[i]), names[taken], score[order[: 2 * k]]))
-    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+        first = np.sort(np.unique(names[near[order]], return_index=True)[1])[:k]
+        taken = order[first]
+        out.append((np.full(len(taken), i), near[taken], score[taken]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
