@@ -5,8 +5,9 @@ largest norm, queries get a zero there and that norm. Centroids are fitted by
 k-means with a penalty on large clusters, on a bounded sample (``SAMPLE`` vectors); they
 are linked in a graph of near neighbours, which every task holds in memory and searches
 by a beam. All vectors go to their nearest list, and those near a boundary to up to
-``REPLICAS`` lists. A query reads the lists whose centroids are within a ratio of the
-nearest one's distance. Lists are read in chunks of ``CHUNK`` vectors, so equal vectors or a crowded region
+``REPLICAS`` lists. A query reads the lists with the nearest centroids; how many follows the data:
+a sample of queries is answered by brute force over all rows, and every query reads as many lists as
+give these ``RECALL``, without an upper bound. Lists are read in chunks of ``CHUNK`` vectors, so equal vectors or a crowded region
 make more chunks and no larger task. A query that found fewer than ``k`` reads all lists.
 
 Scores are computed in double precision from the original vectors, always in the same way.
@@ -33,11 +34,12 @@ LIST = 400  # vectors per list aimed at
 MAX_LISTS = 4096
 REPLICAS = 4
 REPLICA_RATIO = 1.15
-PROBE_RATIO = 1.2
-PROBES = 32
+PROBES = 32  # lists a query reads at least
+ASKED = 256  # queries answered by brute force to find the number of lists
+RECALL = 0.95  # of their neighbours
 DEGREE = 16
 HOME_BEAM = 12  # lists kept while searching for a vector's own
-PROBE_BEAM = 48
+DEALT = 1 << 15  # rows dealt to lists at a time
 CHUNK = 4096
 
 
@@ -164,11 +166,15 @@ class Index:
             out.append(np.array(taken))
         return out
 
-    def probes(self, q: np.ndarray) -> list[np.ndarray]:
-        """The lists of each query within the ratio of its nearest."""
+    def away(self, q: np.ndarray) -> np.ndarray:
+        """Square distances of queries to all centroids."""
         scaled = q * (self.top / np.sqrt((q * q).sum(axis=1, keepdims=True)))
-        ids, dist = self.search(np.concatenate([scaled, np.zeros((len(q), 1))], axis=1), PROBE_BEAM)
-        return [row[(row >= 0) & (d <= PROBE_RATIO * d[0])][:PROBES] for row, d in zip(ids, dist)]
+        return _square_distances(np.concatenate([scaled, np.zeros((len(q), 1))], axis=1), self.centroids)
+
+    def probes(self, q: np.ndarray, n: int) -> list[np.ndarray]:
+        """The ``n`` nearest lists of each query."""
+        away = self.away(q)
+        return list(np.argpartition(away, n - 1, axis=1)[:, :n] if n < away.shape[1] else np.tile(np.arange(away.shape[1]), (len(q), 1)))
 
 
 def lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -210,11 +216,14 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
                 homes = index.value.homes(_matrix(part, "v", dim))
                 yield _dealt(part, homes)
 
+    width = _width(rows, queries, index, dim, k)
+
     def ask(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(512, DEALT // width))
         for batch in stream:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                yield _dealt(part, index.value.probes(_matrix(part, "v", dim)))
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                yield _dealt(part, index.value.probes(_matrix(part, "v", dim), width))
 
     placed = "list int, id long, v binary"
     lists = rows.select("id", "v").mapInArrow(post, placed)
@@ -236,6 +245,52 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more)
 
 
+def _width(rows: DataFrame, queries: DataFrame, index, dim: int, k: int) -> int:
+    """Lists each query reads: as many as hold ``RECALL`` of the neighbours of ``ASKED`` queries, ``PROBES`` at least.
+
+    A task compares its rows with these queries and keeps the best ``k`` ids of each, with
+    the place that the nearest of the neighbour's lists has among the query's.
+    """
+    n_lists = len(index.value.centroids)
+    if n_lists <= PROBES:
+        return n_lists
+    asked = queries.orderBy(F.xxhash64(F.lit("probes"), "id", "v"), "id", "v").limit(ASKED).collect()
+    if not asked:
+        return PROBES
+    own = np.array([r["id"] for r in asked], dtype=np.int64)
+    q = np.frombuffer(b"".join(r["v"] for r in asked), np.float64).reshape(-1, dim)
+    shared = rows.sparkSession.sparkContext.broadcast((own, q))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        pair, score, held = np.zeros((0, 2), np.int64), np.zeros(0), np.zeros((0, dim))
+        for batch in stream:
+            names, matrix = _ids(batch), _matrix(batch, "v", dim)
+            for at in range(0, len(batch), CHUNK):
+                some = slice(at, at + CHUNK)
+                asker, row, new = _nearest_rows(own, q, names[some], matrix[some], k)
+                pair = np.concatenate([pair, np.stack([asker, names[some][row]], 1)])
+                score, held = np.concatenate([score, new]), np.concatenate([held, matrix[some][row]])
+                top, _ = _top(pair, score, k)
+                pair, score, held = pair[top], score[top], held[top]
+        if len(pair):
+            place = index.value.away(q).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+            homes = index.value.homes(held)
+            least = [int(place[i, lists].min()) for i, lists in zip(pair[:, 0].tolist(), homes)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(score), pa.array(least, pa.int64())], names=["asker", "id", "score", "place"]
+            )
+
+    near = rows.select("id", "v").mapInArrow(run, "asker long, id long, score double, place long")
+    near = near.groupBy("asker", "id").agg(F.max(F.struct("score", (-F.col("place")).alias("place"))).alias("best"))
+    first = near.groupBy("asker").agg(F.collect_list(F.struct(F.col("best.score").alias("score"), F.col("best.place").alias("place"))).alias("all"))
+    best = first.select(F.explode(F.slice(F.sort_array("all", False), 1, k)).alias("x")).select((-F.col("x.place")).alias("place"))
+    place = np.sort([r["place"] for r in best.collect()])
+    if not len(place):
+        return PROBES
+    return max(PROBES, int(place[int(np.ceil(RECALL * len(place))) - 1]) + 1)
+
+
 def _dealt(part: pa.RecordBatch, lists: list[np.ndarray]) -> pa.RecordBatch:
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     at = pa.array(row, pa.int64())
@@ -303,6 +358,18 @@ def _nearest_rows(query: np.ndarray, q: np.ndarray, names: np.ndarray, matrix: n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _top(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the best ``k`` different ids (second column) of each query (first column), by query and score, and their ranks from 0."""
+    rows = np.lexsort((-score, ids[:, 1], ids[:, 0]))
+    new = np.append(True, (ids[rows][1:] != ids[rows][:-1]).any(axis=1)) if len(ids) else np.zeros(0, bool)
+    rows = rows[new]
+    rows = rows[np.lexsort((ids[rows, 1], -score[rows], ids[rows, 0]))]
+    query = ids[rows, 0]
+    begins = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(rows) else np.zeros(0, np.int64)
+    rank = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows))))
+    return rows[rank < k], rank[rank < k]
+
+
 def _merged(found: DataFrame, k: int) -> DataFrame:
     """The best ``k`` different ids of each query over all chunks."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -312,18 +379,10 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
         for batch in stream:
             ids = np.concatenate([best[0], np.stack([_ids(batch, c) for c in ("query_id", "vec_id")], 1)])
             score = np.concatenate([best[1], _ids(batch, "score")])
-            order = np.lexsort((-score, ids[:, 1], ids[:, 0]))
-            ids, score = ids[order], score[order]
-            new = np.append(True, (ids[1:] != ids[:-1]).any(axis=1)) if len(ids) else np.zeros(0, bool)
-            ids, score = ids[new], score[new]
-            order = np.lexsort((ids[:, 1], -score, ids[:, 0]))
-            ids, score = ids[order], score[order]
-            begins = np.flatnonzero(np.append(True, ids[1:, 0] != ids[:-1, 0])) if len(ids) else np.zeros(0, np.int64)
-            rank = np.arange(len(ids)) - np.repeat(begins, np.diff(np.append(begins, len(ids))))
-            best = ids[rank < k], score[rank < k]
+            top, _ = _top(ids, score, k)
+            best = ids[top], score[top]
         ids, score = best
-        begins = np.flatnonzero(np.append(True, ids[1:, 0] != ids[:-1, 0])) if len(ids) else np.zeros(0, np.int64)
-        rank = np.arange(len(ids)) - np.repeat(begins, np.diff(np.append(begins, len(ids)))) + 1
+        rank = _top(ids, score, k)[1] + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[:, 0]), pa.array(rank.astype(np.int32)), pa.array(ids[:, 1]), pa.array(score)], names=["query_id", "rank", "vec_id", "score"]
         )

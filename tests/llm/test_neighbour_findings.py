@@ -25,3 +25,13 @@ def test_an_id_repeated_fifty_times_pushes_nobody_out(spark):
     for q, best in want.items():
         assert [i for _, i, _ in out[q]] == [i for i, _ in best]
         assert np.allclose([s for _, _, s in out[q]], [s for _, s in best])
+
+
+def test_recall_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 10)
+    r = np.random.default_rng(3)
+    data = [(i, x / np.linalg.norm(x)) for i, x in enumerate(r.standard_normal((5000, 24)))]
+    out, want = answers(spark, data), exact(data)
+    hit = sum(len({i for _, i, _ in out[q]} & {i for i, _ in best}) for q, best in want.items())
+    print("recall", hit / (20 * len(want)))
+    assert hit >= 0.9 * 20 * len(want)
