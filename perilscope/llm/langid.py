@@ -5,8 +5,8 @@ piece. A word's features are its affixes and inner n-grams (byte n-grams of the
 word with its borders, hashed into a table of ``FEATURES`` weights) and its place
 in the languages' lexicons, the most frequent words counted over all training
 documents. Transitions are learned with the weights, by forward-backward, on a
-bounded sample of labelled documents (``SAMPLE_DOCS`` per language, of at most
-``SAMPLE_BYTES`` each) from which mixed sequences are put together. A text's language has the
+bounded sample of labelled documents (``SAMPLE_DOCS`` different texts per language, or all
+if it has fewer; of a text longer than ``SAMPLE_BYTES`` a run of its words) from which mixed sequences are put together. A text's language has the
 largest sum of word probabilities; the score is its share.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every
@@ -21,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perilscope.llm import counts as C
 from perilscope.llm import words as W
 from perilscope.llm.chain import Blocks
+from perilscope.session import materialise
 
 FEATURES = 1 << 18
 GRAMS = (2, 3, 4)
@@ -207,12 +208,39 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str], lexicon: Lex
     return Model(languages, lexicon, parameters[0].astype(np.float32), parameters[1], parameters[2])
 
 
+def _smallest(hashes: DataFrame, seen: dict[str, int], n: int) -> list[tuple[str, int]]:
+    """The ``n`` smallest of each label's different hashes (all if it has fewer), in the order of their low bits."""
+    out, times = [], 2
+    missing = dict(seen)
+    low = F.pmod(F.col("place"), F.lit(1 << 30))
+    while missing:
+        cut = F.create_map(*[F.lit(x) for l, c in missing.items() for x in (l, times * n * (1 << 30) // c + 1)])
+        found: dict[str, list[int]] = {}
+        for r in hashes.where(F.col("label").isin(list(missing)) & (low < cut[F.col("label")])).collect():
+            found.setdefault(r["label"], []).append(r["place"])
+        for label, places in found.items():
+            if len(places) >= min(n, missing[label]):
+                out += [(label, p) for p in sorted(places, key=lambda p: (p % (1 << 30), p))[:n]]
+                del missing[label]
+        times *= 2
+    return out
+
+
+def _run(text: str) -> Column:
+    """The text, or of one longer than ``SAMPLE_BYTES`` the whole words of a run of at most as many bytes, begun at a hashed place."""
+    size = SAMPLE_BYTES // 4  # characters
+    begin = F.pmod(F.xxhash64(F.lit("run"), text), F.char_length(text) - size + 1).cast("int") + 1
+    run = F.regexp_replace(F.substr(F.col(text), begin, F.lit(size)), r"^\S*\s+|\s+\S*$", "")
+    return F.when(F.octet_length(text) <= SAMPLE_BYTES, F.col(text)).otherwise(run)
+
+
 def train(docs: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learn from all rows given: lexicons from all of them, weights from the sample. None without a label."""
     spark = docs.sparkSession
     docs = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
-    short = F.octet_length("text") <= SAMPLE_BYTES
-    seen = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.sum(short.cast("bigint")).alias("n")).collect()}
+    place = F.xxhash64(F.lit("sample"), "text")
+    hashes = materialise(docs.select("label", place.alias("place")).distinct(), "hashes")
+    seen = {r["label"]: r["n"] for r in hashes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(seen)
     if not languages:
         return None
@@ -220,10 +248,9 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", sample_docs:
     n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // len(languages))
     counted = C.count_words(docs.select("text", group.alias("group")), "text", "group", n_buckets, W.ALNUM)
     lexicon = Lexicon.of([C.frequent(counted, k, n_buckets, LEXICON)[:2] for k in range(len(languages))])
-    # a text is in the sample if its hash is below its language's share: about ``sample_docs`` of each
-    place = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for l in languages for x in (l, float(sample_docs) / max(seen[l], 1))])
-    rows = docs.where(short & (place < share[F.col("label")] * (1 << 30))).distinct().orderBy("label", "text").collect()
+    drawn = spark.createDataFrame(_smallest(hashes, seen, sample_docs), "label string, place long")
+    rows = docs.select("label", place.alias("place"), _run("text").alias("text")).join(F.broadcast(drawn), ["label", "place"])
+    rows = rows.groupBy("label", "place").agg(F.min("text").alias("text")).orderBy("label", "text", "place").collect()
     labels = np.array([languages.index(r["label"]) for r in rows], dtype=np.int64)
     return fit([r["text"] for r in rows], labels, languages, lexicon)
 
