@@ -14,7 +14,7 @@ NaN sorts after every number, as in Spark's own ordering.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -35,20 +35,37 @@ def exact_quantiles(
     """Quantiles of every column at ``probs``; None for a column without values."""
     if not probs:
         return {c: [] for c in columns}
+
+    def places(n: int) -> list[float]:
+        return [(n - 1) * p for p in probs]
+
+    def ranks(n: int) -> list[int]:
+        return sorted({r for h in places(n) for r in (math.floor(h), math.ceil(h))})
+
+    found = order_statistics(df, columns, ranks)
+    return {
+        c: values and [_between(values, h) for h in places(n)] for c, (n, values) in found.items()
+    }
+
+
+def order_statistics(
+    df: DataFrame, columns: Sequence[str], ranks: Callable[[int], Sequence[int]]
+) -> dict[str, tuple[int, dict[int, float] | None]]:
+    """For every column the number n of its values and the values at ``ranks(n)``, counted from 0 in
+    ascending order; None instead for a column without values."""
     if not columns:
         return {}
     values = materialise(
         df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]), "quantiles"
     )
     classes = _counted(values, {i: _class(F.col(f"x{i}")) for i in range(len(columns))})
-    result: dict[str, list[float] | None] = {c: None for c in columns}
+    result: dict[str, tuple[int, dict[int, float] | None]] = {c: (0, None) for c in columns}
     search: dict[int, _Search] = {}
     for i, rows in classes.items():
         n = sum(row["n"] for row in rows)
-        places = [(n - 1) * p for p in probs]
-        wanted = sorted({r for h in places for r in (math.floor(h), math.ceil(h))})
-        search[i] = _Search(places, {}, [])
-        search[i].narrow([_Interval(math.nan, math.nan, 0, wanted)], [rows])
+        search[i] = _Search({}, [])
+        result[columns[i]] = (n, search[i].found)
+        search[i].narrow([_Interval(math.nan, math.nan, 0, list(ranks(n)))], [rows])
     while any(s.open for s in search.values()):
         cells, pieces = {}, {}
         for i, s in search.items():
@@ -60,8 +77,6 @@ def exact_quantiles(
             intervals = search[i].open
             split = [[r for r in counts[i] if r["cell"] // n == k] for k in range(len(intervals))]
             search[i].narrow(intervals, split)
-    for i, s in search.items():
-        result[columns[i]] = [_between(s.found, h) for h in s.places]
     return result
 
 
@@ -87,9 +102,8 @@ class _Interval:
 
 @dataclass
 class _Search:
-    """One column's wanted positions, the ranks found, and the ranges still open."""
+    """The ranks of one column found so far, and the ranges still open."""
 
-    places: list[float]
     found: dict[int, float]
     open: list[_Interval]
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perilscope.functions.expressions import seeded_hash
-from perilscope.operators.quantiles import exact_quantiles
+from perilscope.operators.quantiles import order_statistics
 from perilscope.session import materialise
 
 DIGITS = 3  # hex digits counted per round: 4096 groups
@@ -43,13 +43,12 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     up to it are sorted. Other keys keep the best ``n`` of every task.
     """
     if n > 0 and isinstance(df.schema[key].dataType, T.NumericType):
-        keys = df.select(key).where(F.col(key).isNotNull())
         total, nulls = df.agg(F.count(key), F.count(F.lit(1)) - F.count(key)).first()
         if nulls < n <= total + nulls:  # nulls come first
-            (cut,) = exact_quantiles(keys, [key], [(n - nulls - 1) / max(total - 1, 1)])[key]
-            # the cut lies at or above the n-th key; double rounding is allowed for
-            near = F.col(key).cast("double") <= F.lit(cut + abs(cut) * 1e-15)
-            df = df.where(F.col(key).isNull() | near)
+            rank = n - nulls - 1
+            _, found = order_statistics(df.select(key), [key], lambda _: [rank])[key]
+            # keys that are equal as doubles stay together; the sort below tells them apart
+            df = df.where(F.col(key).isNull() | (F.col(key).cast("double") <= F.lit(found[rank])))
     return df.orderBy(key).limit(n)
 
 

@@ -79,6 +79,23 @@ def request_errors(spark, sf_dir):
     return replies.select("request_id", "status", F.greatest(F.size(scores), F.lit(0)).cast("bigint").alias("scores"))
 
 
+@query("request_repeats", select_policies("""
+select case when r % 3 = 0 then r % 6 end as request_id, case when r % 2 = 0 then 'ok' else 'bad' end as status,
+  case when r % 2 = 0 then n else 0 end as scores
+from (select cast(floor(id_policy / 100) as bigint) as r, count(*) as n from policies group by 1)"""))
+def request_repeats(spark, sf_dir):
+    """Requests that share an id or have none: each has a reply of its own."""
+    schema = type(POLICY_SCHEMA)([f for f in POLICY_SCHEMA.fields if f.name != "claim_amount"])
+    bodies = files.request_bodies(policies(spark, sf_dir).drop("claim_amount"), "id_policy")
+    requests = bodies.select(
+        F.when(F.col("request_id") % 3 == 0, F.col("request_id") % 6).alias("request_id"),
+        F.when(F.col("request_id") % 2 == 0, F.col("body")).otherwise("not json").alias("body"),
+    )
+    replies = files.all_responses(requests, schema, lambda rows, name: rows.withColumn(name, F.lit(0.5)))
+    scores = F.from_json("response", "score array<double>")["score"]
+    return replies.select("request_id", "status", F.greatest(F.size(scores), F.lit(0)).cast("bigint").alias("scores"))
+
+
 # --- selections -----------------------------------------------------------------
 
 @query("select_cols", select_policies("select id_policy, pol_coverage, vh_value from policies"))
@@ -108,6 +125,17 @@ def first_n(spark, sf_dir):
     return S.first_rows(policies(spark, sf_dir), "id_policy", 100)
 
 
+SPARSE_KEY = "case when id_policy % 50 = 0 then -id_policy * id_policy * 1000 else id_policy end"
+
+
+@query("first_n_sparse", select_policies(
+    f"select {SPARSE_KEY} as place, id_policy from policies order by place limit 100"))
+def first_n_sparse(spark, sf_dir):
+    """The same over keys with wide gaps, most of the wanted ones below zero."""
+    keyed = policies(spark, sf_dir).select(F.expr(SPARSE_KEY).alias("place"), "id_policy")
+    return S.first_rows(keyed, "place", 100)
+
+
 @query("single_row", select_policies(
     "select * from policies where id_policy = (select max(id_policy) from policies)"))
 def single_row(spark, sf_dir):

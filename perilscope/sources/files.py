@@ -116,13 +116,22 @@ def score_responses(scored: DataFrame, request: str = "request_id", score: str =
 def all_responses(
     requests: DataFrame, schema: T.StructType, scorer, request: str = "request_id", body: str = "body"
 ) -> DataFrame:
-    """One row per request: ``status`` and ``response``. An empty request has an empty list of scores, a
-    bad one an error; nothing of it is scored."""
-    checked = request_status(requests, schema, body).select(request, "status")
-    scored = scorer(parse_requests(requests, schema, body), "score")
-    answers = score_responses(scored, request)
+    """One row per request row: ``request``, ``status`` and ``response``.
+
+    Every row is answered by itself, whatever its id: repeated and null ids have a reply each. An empty
+    request has an empty list of scores, a bad one an error; nothing of it is scored. Rows that are equal
+    in id and body have equal replies, so they are scored once and answered as often as they occur.
+    """
+    marks = ["_id", "_body"]
+    asked = requests.groupBy(F.col(request).alias("_id"), F.col(body).alias("_body")).agg(F.count(F.lit(1)).alias("_times"))
+    asked = asked.withColumn("_request", F.sha2(F.to_json(F.struct(*marks), {"ignoreNullFields": "false"}), 256))
+    checked = request_status(asked, schema, "_body")
+    records = parse_requests(asked.select("_request", "_body"), schema, "_body")
+    answers = score_responses(scorer(records, "score"), "_request")
     other = F.when(F.col("status") == "empty", F.lit('{"score":[]}')).otherwise(F.lit('{"error":"not an array of records"}'))
-    return checked.join(answers, request, "left").withColumn("response", F.coalesce("response", other))
+    replies = checked.join(answers, "_request", "left").withColumn("response", F.coalesce("response", other))
+    each = F.explode(F.sequence(F.lit(1), F.col("_times")))
+    return replies.select(F.col("_id").alias(request), "status", "response", each.alias("_time")).drop("_time")
 
 
 # --- saved models -----------------------------------------------------------

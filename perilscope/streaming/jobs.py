@@ -58,7 +58,9 @@ def run_batches(stream: DataFrame, path: str, checkpoint: str, work: Callable[[D
     """Write ``work`` of every micro-batch to a folder of its own, then read all of them.
 
     A batch that is run again after a failure replaces its folder, so every row is there once.
+    Without any batch the result is ``work`` of no rows.
     """
+    spark = stream.sparkSession
     def write(batch: DataFrame, number: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
@@ -67,7 +69,11 @@ def run_batches(stream: DataFrame, path: str, checkpoint: str, work: Callable[[D
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(path).drop("batch")
+    none = work(spark.createDataFrame([], stream.schema))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return none
+    return spark.read.schema(none.schema).parquet(path)
 
 
 def respond(

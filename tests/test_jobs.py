@@ -4,6 +4,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perilscope.operators.aggregates import mean_and_std
 from perilscope.operators.whatif import overwrite, stack_frames, variant_spread, whatif_spread, whatif_variants
@@ -222,3 +223,29 @@ def test_all_windows_are_complete(spark, fitted_policies, tmp_path):
 
     assert run("2024-01-01 10:00:00", "2024-01-01 11:00:00", "2024-01-03 00:00:00") == [2, 1]
     assert run("2024-01-01 12:00:00", "2024-01-05 00:00:00") == [3, 1, 1]
+
+
+def test_every_request_row_has_its_own_reply(spark):
+    schema = T.StructType([T.StructField("x", T.DoubleType())])
+    rows = [
+        (1, '[{"x":1.0}]'), (1, '[{"x":2.0},{"x":3.0}]'), (None, '[{"x":4.0}]'), (None, "none"),
+        (2, "[]"), (2, "[]"), (3, '[{"x":5.0}]'), (3, '[{"x":5.0}]'), (4, None),
+    ]
+    requests = spark.createDataFrame(rows, "request_id long, body string").repartition(3)
+    replies = files.all_responses(requests, schema, lambda df, name: df.withColumn(name, F.col("x")))
+    assert replies.columns == ["request_id", "status", "response"]
+    got = sorted((str(r["request_id"]), r["status"], r["response"]) for r in replies.collect())
+    bad = '{"error":"not an array of records"}'
+    assert got == sorted([
+        ("1", "ok", '{"score":[1.0]}'), ("1", "ok", '{"score":[2.0,3.0]}'), ("None", "ok", '{"score":[4.0]}'),
+        ("None", "bad", bad), ("2", "empty", '{"score":[]}'), ("2", "empty", '{"score":[]}'),
+        ("3", "ok", '{"score":[5.0]}'), ("3", "ok", '{"score":[5.0]}'), ("4", "bad", bad),
+    ])
+
+
+def test_a_stream_without_a_batch_has_an_empty_result(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    stream = jobs.request_stream(spark, str(inbox), jobs.BODY_SCHEMA)
+    out = jobs.run_batches(stream, str(tmp_path / "out"), str(tmp_path / "mark"), lambda batch: batch.withColumn("n", F.lit(1)))
+    assert out.columns == ["request_id", "body", "n"] and out.count() == 0

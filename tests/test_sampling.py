@@ -80,3 +80,15 @@ def test_first_rows(spark, n):
     assert [r["k"] for r in S.first_rows(df, "k", n).collect()] == ordered[:n]
     named = df.select(F.col("k").cast("string").alias("k"))
     assert S.first_rows(named, "k", n).count() == min(n, 10)
+
+
+def test_first_rows_of_sparse_keys(spark):
+    keys = [-1_000_000, *range(1, 50)]
+    for n in (1, 2, 3, 49, 50, 60):
+        df = spark.createDataFrame([(k,) for k in keys], "k long")
+        assert [r["k"] for r in S.first_rows(df, "k", n).collect()] == sorted(keys)[:n]
+    wide = [2**60 + k for k in range(5)] + [-(2**61), 0, None]
+    df = spark.createDataFrame([(k,) for k in wide], "k long")
+    ordered = sorted(wide, key=lambda k: (k is not None, k or 0))
+    for n in range(1, 9):
+        assert [r["k"] for r in S.first_rows(df, "k", n).collect()] == ordered[:n]
