@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from perilscope.llm import decontaminate as decon
-from perilscope.llm import ann, bpe, hmm, jaccard, langid, licenses, shards, tokenfile, urls
+from perilscope.llm import ann, ballkmeans, bpe, hmm, jaccard, langid, licenses, merkle, shards, tokencounts, tokenfile, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -253,6 +253,126 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, a as
 from lowered left join based using (r) left join every using (r) left join best using (r)
 """
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; where the crc32 of the id is even, the claimed text has lost its line ends."""
+    docs = read(spark, sf_dir, "documents")
+    claimed = F.when(_fold(2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(docs, claims={"text": claimed})
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(cast({value} as varchar)) || ':' || cast({value} as varchar), '-')"
+
+
+_CRC_SQL = (
+    "list_reduce(list_concat([4294967295::bigint], list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''), "
+    "lambda c: ascii(c)::bigint)), lambda x, c: case when c = 0 then x else list_reduce([xor(x, c), 0, 0, 0, 0, 0, 0, 0, 0], "
+    "lambda y, z: xor(y >> 1, 3988292384 * (y & 1))) end)"
+)
+_LEAF_SQL = "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+OP11_SQL = rf"""
+with recursive docs as (
+  select doc_id, case when source is null then '0' else '1' || source end as g,
+    {_LEAF_SQL.format(_field_sql("text"))} as leaf,
+    case when {_CRC_SQL} % 2 = 1 then {_LEAF_SQL.format(_field_sql("replace(text, chr(10), '')"))}
+      else {_LEAF_SQL.format(_field_sql("text"))} end as claim
+  from documents),
+leaves as (
+  select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as n
+  from docs),
+nodes as (
+  select g, 0 as step, i as p, n, leaf as h from leaves
+  union all
+  select g, step + 1, p // 3, (n + 2) // 3, sha256(string_agg(h, '' order by p)) from nodes where n > 1 group by g, step, p // 3, n),
+subroots as (
+  select g, h, row_number() over (order by g) - 1 as k, count(*) over () as n, max(step) over () as height from nodes where n = 1),
+upper as (
+  select 0 as step, k as p, n, h from subroots
+  union all
+  select step + 1, p // 3, (n + 2) // 3, sha256(string_agg(h, '' order by p)) from upper where n > 1 group by step, p // 3, n),
+places as (
+  select row_number() over () as r, leaves.doc_id, leaf, claim, leaves.g, i, k, height, subroots.h as subroot
+  from leaves join subroots using (g)),
+siblings as (
+  select r, step, p, p < i // pow(3, step)::bigint as before, h from places join nodes using (g)
+    where nodes.n > 1 and p // 3 = i // pow(3, step + 1)::bigint and p <> i // pow(3, step)::bigint
+  union all
+  select r, height + 1 + step, p, p < k // pow(3, step)::bigint, h from places, upper
+    where upper.n > 1 and p // 3 = k // pow(3, step + 1)::bigint and p <> k // pow(3, step)::bigint),
+steps as (
+  select r, step from places join (select distinct g, step from nodes where n > 1) using (g)
+  union all select r, height + 1 + step from places, (select distinct step from upper where n > 1)),
+sides as (
+  select r, step, coalesce(string_agg(h, '' order by p) filter (before), '') as a,
+    coalesce(string_agg(h, '' order by p) filter (not before), '') as b
+  from steps left join siblings using (r, step) group by r, step),
+ordered as (select r, row_number() over (partition by r order by step) as o, a, b from sides),
+fold as (
+  select r, 1 as o, claim as h from places
+  union all
+  select r, fold.o + 1, sha256(a || h || b) from fold join ordered using (r, o)),
+folded as (select r, arg_max(h, o) as h from fold group by r),
+proofs as (select r, sha256(coalesce(string_agg(a || b, '' order by o), '')) as h from places left join ordered using (r) group by r),
+root as (select h from upper where n = 1)
+select doc_id, leaf, subroot, root.h as root, proofs.h as proof_sha256, folded.h as folded_root, folded.h = root.h as verified
+from places join proofs using (r) join folded using (r), root
+"""
+
+
+#: The tokenizer file whose tokens are counted, and the length of a model's context.
+COUNTED, CONTEXT = public_tokenizers.path("byte_bpe_50k.json"), 1024
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text. The cache is a new one, so all distinct texts are misses."""
+    counted = tokencounts.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), COUNTED)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT).alias("over_limit"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors and how far they are from the vectors."""
+    done = ballkmeans.compress(read(spark, sf_dir, "embeddings"))
+    out = ballkmeans.with_label_error(done.codes(), "label")
+    books = done.codebooks.digest() if done.codebooks else None
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books).cast("string").alias("codebooks_sha256"))
+
+
+def _round_sql(k: int) -> str:
+    """Assignment to the codebook ``book{k}``, and the codebook after it."""
+    return f"""
+near{k} as (
+  select r, parts.p, min(list_sum(list_transform(range(1, width + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint * 64 + e) as best
+  from parts join book{k} using (p), size group by r, parts.p),
+sums{k} as (
+  select p, e, i, floor(sum(v) / count(*)::double)::bigint as v
+  from (select near{k}.p, best % 64 as e, unnest(range(1, width + 1)) as i, unnest(x) as v from near{k} join parts using (r, p), size)
+  group by p, e, i),
+book{k + 1} as (
+  select book{k}.p, book{k}.e, coalesce(new.c, book{k}.c) as c
+  from book{k} left join (select p, e, list(v order by i) as c from sums{k} group by p, e) new on new.p = book{k}.p and new.e = book{k}.e),"""
+
+
+OP13_SQL = rf"""
+with kept as (
+  select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+size as (select any_value(len(v)) // 16 as width from kept),
+parts as (select r, p, list_slice(v, p * width + 1, p * width + width) as x from kept, range(16) positions(p), size),
+book0 as (select p, r - 1 as e, x as c from parts where r <= 64),{_round_sql(0)}{_round_sql(1)}
+final as (
+  select r, parts.p, min(list_sum(list_transform(range(1, width + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint * 64 + e) as best
+  from parts join book2 using (p), size group by r, parts.p),
+coded as (
+  select r, string_agg(printf('%02x', best % 64), '' order by p) as code, sum(best // 64)::bigint as error from final group by r),
+books as (
+  select sha256(string_agg(v::varchar, ',' order by p, e, i)) as h
+  from (select p, e, unnest(range(1, width + 1)) as i, unnest(c) as v from book2, size))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, books.h as codebooks_sha256
+from kept join coded using (r), books
+"""
+
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -265,6 +385,9 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_license_scans": op10_license_scans,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
@@ -272,4 +395,6 @@ ORACLES = {
     "op3_url_filters": OP3_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op10_license_scans": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }

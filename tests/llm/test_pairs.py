@@ -165,6 +165,7 @@ def test_few_vectors_are_all_returned(spark):
 def test_pipeline_against_plain_stages(spark, sf_dir):
     import corpus_pipeline as P
     from tests.llm.test_decontaminate import words
+    from tests.llm.test_near_rule import brute as near
     from tokenizers import Tokenizer
     from perilscope.llm.queries import TOKENIZER, read
 
@@ -175,7 +176,7 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     kept = {r["doc_id"]: r["text"] for r in known.collect()}
     assert len(kept) >= 0.97 * docs.count()
     one = [(k, t) for k, t in kept.items()]
-    alone = {k for k, n, c in brute(one) if k == c}
+    alone = {k for k, n, c in near(one, P.NEAR.width, P.NEAR.part, P.NEAR.whole) if k == c}
     windows = set()
     for r in read(spark, sf_dir, "benchmark").collect():
         w = words(r["text"])
