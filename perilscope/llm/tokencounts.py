@@ -19,6 +19,7 @@ is counted whole: long ones are encoded in pieces, cut where the tokenizer split
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,10 +72,11 @@ class Counter:
 
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core; the library's threads would compete
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.count = lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.count = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         names = [x["content"] for x in spec["added_tokens"]]
