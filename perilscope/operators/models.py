@@ -1,14 +1,14 @@
-"""Training, parameter sweeps and evaluation with Spark ML."""
+"""Training, parameter sweeps and evaluation: boosted trees of our own, nets and linear models of Spark ML."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilscope.functions import expressions as X
+from perilscope.operators import boosting as B
 from perilscope.operators.design import DesignMatrix, fit_design_matrix
 from perilscope.operators.features import FeaturePipeline
 from perilscope.operators.sampling import with_bag_flags
@@ -30,65 +31,55 @@ WIDTHS = list(range(32, 257, 32))
 BAG_SEEDS = {f"bag_{i}": 123 + i for i in range(1, 6)}
 SPLIT_SEED = 123
 
-FIT_PARTITIONS = 16  # of the rows a tree model is fitted on; raise it with the data
+ROUNDS, STEP = 20, 0.2  # of the event trees by default; B.EVENT has the long, slow settings
 
 
 # --- event models -----------------------------------------------------------
 
 def training_table(
-    df: DataFrame, pipeline: FeaturePipeline, label: str, is_train: str
+    df: DataFrame, pipeline: FeaturePipeline, label: str, is_train: str, key: str = "id_policy"
 ) -> DataFrame:
-    """Prepared vectors, label and evaluation flag, written once for many scans."""
+    """Prepared vectors, label, evaluation flag and a draw made from the key, written once for many scans."""
     assembler = VectorAssembler(inputCols=pipeline.features, outputCol="features")
     prepared = pipeline.transform(df.where(F.col(label).isNotNull()))
     rows = assembler.transform(prepared).select(
-        "features", F.col(label).alias("label"), (~F.col(is_train)).alias("is_eval")
+        "features", F.col(label).alias("label"), (~F.col(is_train)).alias("is_eval"),
+        F.xxhash64(F.col(key)).alias("draw"),
     )
     return materialise(rows, "training")
 
 
-def _dealt(rows: DataFrame, partitions: int) -> DataFrame:
-    """The rows dealt by a hash of themselves, sorted inside each partition.
-
-    Tree sampling draws by partition and place, so a fit depends on both; dealt like
-    this they depend on the rows alone, however the table is laid out.
-    """
-    hashed = F.xxhash64(*[vector_to_array(c) if c.endswith("features") else F.col(c) for c in rows.columns])
-    return (
-        rows.withColumn("_hash", hashed)
-        .repartition(partitions, "_hash").sortWithinPartitions("_hash").drop("_hash")
-    )
-
-
 def _servable(pipeline: FeaturePipeline, fitted) -> PipelineModel:
     assembler = VectorAssembler(inputCols=pipeline.features, outputCol="features")
     return PipelineModel([assembler, fitted])
 
 
+def binned_table(table: DataFrame, pipeline: FeaturePipeline, bins: int = B.EVENT_BINS) -> B.BinnedTable:
+    """A training table as bins, for one fit or all fits of a sweep."""
+    role = F.when(F.col("is_eval"), B.EVAL).otherwise(B.TRAIN)
+    return B.bin_rows(table, pipeline.features, vector_to_array("features"), "label", [role], F.col("draw"), bins)
+
+
 def fit_gbt(
     table: DataFrame,
     pipeline: FeaturePipeline,
     max_depth: int = 5,
-    rounds: int = 20,
-    step: float = 0.2,
+    rounds: int = ROUNDS,
+    step: float = STEP,
     seed: int = SPLIT_SEED,
-    partitions: int = FIT_PARTITIONS,
-) -> ModelScorer:
-    """Boosted trees with logistic loss on half the rows and 80 % of the columns
-    per tree, stopped early once the evaluation rows stop gaining."""
-    trainer = GBTClassifier(
-        maxDepth=max_depth,
-        maxIter=rounds,
-        stepSize=step,
-        maxBins=100,
-        minInstancesPerNode=1,
-        subsamplingRate=0.5,
-        featureSubsetStrategy="0.8",
-        validationIndicatorCol="is_eval",
-        validationTol=0.001,
-        seed=seed,
-    )
-    return ModelScorer(pipeline, _servable(pipeline, trainer.fit(_dealt(table, partitions))))
+    **options,
+) -> B.TreeScorer:
+    """Second-order boosted trees with logistic loss on half the rows and 80 % of the columns per tree, penalised
+    leaves and a least gain; the trees up to the smallest evaluation loss are kept. ``options`` replace
+    those of ``boosting.EVENT``."""
+    return _fit_gbts(table, pipeline, [max_depth], rounds=rounds, step=step, seed=seed, **options)[0]
+
+
+def _fit_gbts(table: DataFrame, pipeline: FeaturePipeline, depths: Sequence[int], **options) -> list[B.TreeScorer]:
+    """One model per depth, all grown in the same scans."""
+    settings = B.with_depths(replace(B.EVENT, **options), depths)
+    fitted = B.fit_boosted(binned_table(table, pipeline), settings)
+    return [B.TreeScorer(pipeline, fitted.only(k)) for k in range(len(depths))]
 
 
 def fit_mlp(
@@ -105,8 +96,14 @@ def fit_mlp(
     return ModelScorer(pipeline, _servable(pipeline, trainer.fit(table.where(~F.col("is_eval")))))
 
 
-def table_log_loss(scorer: ModelScorer, table: DataFrame) -> float:
+def table_log_loss(scorer: ModelScorer | B.TreeScorer, table: DataFrame) -> float:
     """Mean log-loss on the evaluation rows of a training table."""
+    if isinstance(scorer, B.TreeScorer):
+        values = vector_to_array("features")
+        p = scorer.model.prediction([values[k] for k in range(len(scorer.model.features))])
+        p = F.greatest(F.least(p, F.lit(1 - 1e-15)), F.lit(1e-15))
+        rows = table.where("is_eval").select("label", p.alias("p"))
+        return rows.agg(F.avg(-(F.col("label") * F.ln("p") + (1 - F.col("label")) * F.ln(1 - F.col("p"))))).first()[0]
     classifier = scorer.model.stages[-1]
     p = F.greatest(
         F.least(vector_to_array("probability")[1], F.lit(1 - 1e-15)), F.lit(1e-15)
@@ -160,16 +157,15 @@ def sweep_gbt(
     table: DataFrame,
     pipeline: FeaturePipeline,
     depths: Sequence[int] = tuple(DEPTHS),
-    parallelism: int = 4,
+    rounds: int = ROUNDS,
+    step: float = STEP,
+    seed: int = SPLIT_SEED,
     **options,
 ) -> Sweep:
-    return sweep(
-        "max_depth",
-        depths,
-        lambda depth: fit_gbt(table, pipeline, max_depth=depth, **options),
-        lambda scorer: table_log_loss(scorer, table),
-        parallelism,
-    )
+    """All depths advance in the same scans; the metric is the evaluation loss of the trees that were kept."""
+    scorers = _fit_gbts(table, pipeline, depths, rounds=rounds, step=step, seed=seed, **options)
+    metrics = [scorer.model.models[0].losses[-1] for scorer in scorers]
+    return Sweep("max_depth", list(depths), metrics, scorers)
 
 
 def sweep_mlp(
@@ -364,3 +360,100 @@ def fit_pure_premium(
     label = F.col(amount) / F.lit(scale)
     models = _fit_bags(known, design, key, label, "tweedie", regularisation, parallelism)
     return PurePremium(design, models, scale)
+
+
+# --- frequency, severity and pure premium by boosted trees ---------------------
+
+def _bagged_trees(
+    df: DataFrame, design: DesignMatrix, key: str, label: Column, settings: B.TreeSettings, bins: int
+) -> B.BoostedTrees:
+    """One model per bag of 90 % of the rows, all five grown in the same scans of one table of bins."""
+    flagged = with_bag_flags(df.withColumn("label", label), key, 0.9, BAG_SEEDS)
+    ready = design.vectors_ready(flagged.withColumn("_draw", F.xxhash64(F.col(key))), ["label", "_draw", *BAG_SEEDS])
+    roles = [F.when(F.col(bag), B.TRAIN).otherwise(B.EVAL) for bag in BAG_SEEDS]
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in design.columns])
+    binned = B.bin_rows(ready, design.columns, values, "label", roles, F.col("_draw"), bins)
+    bags = [replace(settings, fold=k, seed=seed) for k, seed in enumerate(BAG_SEEDS.values())]
+    return B.fit_boosted(binned, bags)
+
+
+@dataclass
+class TreeFrequencySeverity:
+    """Bagged trees of claim frequency (Poisson) and claim size (gamma) over the design matrix."""
+
+    design: DesignMatrix
+    frequency: B.BoostedTrees
+    severity: B.BoostedTrees
+
+    def expected_claim(self, df: DataFrame, key: str = "id_policy") -> DataFrame:
+        """Mean frequency times mean severity, per row."""
+        rows = self.design.vectors_ready(df, [key]).select(
+            key, self.frequency.prediction().alias("frequency"), self.severity.prediction().alias("severity")
+        )
+        return rows.withColumn("expected_claim", F.col("frequency") * F.col("severity"))
+
+    def premium(self, df: DataFrame, key: str = "id_policy", loading: float = 0.25) -> DataFrame:
+        """Expected claim plus a loading."""
+        return self.expected_claim(df, key).withColumn("premium", F.col("expected_claim") * F.lit(1 + loading))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.design.save(spark, f"{path}/design")
+        self.frequency.save(spark, f"{path}/frequency")
+        self.severity.save(spark, f"{path}/severity")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TreeFrequencySeverity:
+        return TreeFrequencySeverity(
+            DesignMatrix.load(spark, f"{path}/design"),
+            B.BoostedTrees.load(spark, f"{path}/frequency"),
+            B.BoostedTrees.load(spark, f"{path}/severity"),
+        )
+
+
+def fit_tree_frequency_severity(
+    df: DataFrame,
+    key: str = "id_policy",
+    amount: str = "claim_amount",
+    make_model_levels: Sequence[str] | None = None,
+    frequency: B.TreeSettings = B.FREQUENCY,
+    severity: B.TreeSettings = B.SEVERITY,
+) -> TreeFrequencySeverity:
+    """Five Poisson models of claim occurrence and, on rows with a claim, five gamma models of its size."""
+    known = df.where(F.col(amount).isNotNull())
+    design = fit_design_matrix(known, make_model_levels)
+    claims = known.where(F.col(amount) > 0)
+    event = X.positive_flag(F.col(amount))
+    return TreeFrequencySeverity(
+        design,
+        _bagged_trees(known, design, key, event, frequency, B.FREQUENCY_BINS),
+        _bagged_trees(claims, design, key, F.col(amount), severity, B.SEVERITY_BINS),
+    )
+
+
+@dataclass
+class TreePurePremium:
+    """Bagged Tweedie trees of the claim amount itself, fitted in units of ``scale``."""
+
+    design: DesignMatrix
+    models: B.BoostedTrees
+    scale: float
+
+    def expected_claim(self, df: DataFrame, key: str = "id_policy") -> DataFrame:
+        rows = self.design.vectors_ready(df, [key])
+        return rows.select(key, (self.models.prediction() * F.lit(self.scale)).alias("expected_claim"))
+
+
+def fit_tree_pure_premium(
+    df: DataFrame,
+    key: str = "id_policy",
+    amount: str = "claim_amount",
+    make_model_levels: Sequence[str] | None = None,
+    settings: B.TreeSettings = B.PURE_PREMIUM,
+) -> TreePurePremium:
+    """Five Tweedie models of the claim amount, zeros included. Amounts are divided by their mean, so that the
+    penalties mean the same whatever the currency."""
+    known = df.where(F.col(amount).isNotNull())
+    design = fit_design_matrix(known, make_model_levels)
+    scale = known.agg(F.avg(amount)).first()[0] or 1.0
+    label = F.col(amount) / F.lit(scale)
+    return TreePurePremium(design, _bagged_trees(known, design, key, label, settings, B.PURE_PREMIUM_BINS), scale)

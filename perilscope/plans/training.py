@@ -9,12 +9,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
+from perilscope.operators import boosting as B
 from perilscope.operators import models as M
 from perilscope.operators.explain import IMPORTANCE_FEATURES, shap_by_model, shap_importance
 from perilscope.operators.selection import drop_incomplete
 from perilscope.operators.sampling import sample_rows, with_bag_flags
 from perilscope.operators.scoring import score_difference, with_scores
-from perilscope.plans.catalog import fitted, labelled, query, rounded, select_policies
+from perilscope.plans.catalog import fitted, labelled, query, rounded, select_policies, with_policies
 from perilscope.plans.explain import FEATURES
 from perilscope.session import job_folder
 from perilscope.sources import files
@@ -182,3 +183,170 @@ def glm_group_rates(spark, sf_dir):
 def pure_premium(spark, sf_dir):
     df = labelled(spark, sf_dir)
     return rounded(M.fit_pure_premium(df).expected_claim(df), "expected_claim")
+
+
+# --- boosted trees ---------------------------------------------------------------
+
+# One tree of depth 1 per objective; its gain and leaves have a closed form.
+STUMP_EDGES = {
+    "vh_value": [10000.0, 20000.0, 30000.0, 42000.0],
+    "drv_age1": [27.0, 30.0, 40.0, 50.0, 60.0, 70.0],
+    "vh_speed": [130.0, 150.0, 170.0, 190.0],
+}
+STUMPS = {
+    "logistic": B.replace(B.EVENT, max_depth=1, rounds=1, row_share=1.0, column_share=1.0, patience=None),
+    "poisson": B.replace(B.FREQUENCY, max_depth=1, rounds=1, row_share=1.0, column_share=1.0),
+    "gamma": B.replace(B.SEVERITY, max_depth=1, rounds=1, row_share=1.0, column_share=1.0),
+    "tweedie": B.replace(B.PURE_PREMIUM, max_depth=1, rounds=1, row_share=1.0, column_share=1.0),
+}
+STUMP_LABELS = {
+    "logistic": "event", "poisson": "event",
+    "gamma": "case when claim_amount > 0 then claim_amount / 1000 end", "tweedie": "claim_amount / 1000",
+}
+STUMP_SLOPES = {
+    "logistic": ("1 / (1 + exp(-m)) - y", "exp(-m) / ((1 + exp(-m)) * (1 + exp(-m)))", "ln(a / (1 - a))"),
+    "poisson": ("exp(m) - y", "exp(m)", "ln(a)"),
+    "gamma": ("1 - y * exp(-m)", "y * exp(-m)", "ln(a)"),
+    "tweedie": ("exp(0.5 * m) - y * exp(-0.5 * m)", "0.5 * exp(0.5 * m) + 0.5 * y * exp(-0.5 * m)", "ln(a)"),
+}
+
+
+def _stump_sql() -> str:
+    """Rows of every objective, sums beside every edge, gains, and the best cut."""
+    rows, sums = [], []
+    for name, s in STUMPS.items():
+        g, h, link = STUMP_SLOPES[name]
+        numbers = f"cast({s.l2} as double) as l2, cast({s.l1} as double) as l1, cast({s.min_gain} as double) as least, " \
+            f"cast({s.min_curvature} as double) as curvature, cast({s.step} as double) as step, " \
+            f"cast({s.max_step or 1e9} as double) as most"
+        rows.append(
+            f"select '{name}' as objective, vh_value, drv_age1, vh_speed, m, {g} as g, {h} as h, {numbers} from "
+            f"(select *, {STUMP_LABELS[name]} as y from labelled where {STUMP_LABELS[name]} is not null), "
+            f"(select {link} as m from (select avg({STUMP_LABELS[name]}) as a from labelled))"
+        )
+    for k, (feature, edges) in enumerate(STUMP_EDGES.items()):
+        for edge in edges:
+            sums.append(
+                f"select objective, {k} as place, '{feature}' as name, cast({edge} as double) as edge, any_value(m) as m, "
+                "any_value(l2) as l2, any_value(l1) as l1, any_value(least) as least, any_value(curvature) as curvature, "
+                "any_value(step) as step, any_value(most) as most, sum(g) as g, sum(h) as h, "
+                f"sum(case when {feature} <= {edge} then g else 0 end) as gl, sum(case when {feature} <= {edge} then h else 0 end) as hl "
+                "from sloped group by objective"
+            )
+    soft = "(sign({0}) * greatest(abs({0}) - l1, 0))"
+    parts = {k: soft.format(v) for k, v in {"all": "g", "left": "gl", "right": "(g - gl)"}.items()}
+    return (
+        ",\nsloped as (" + "\nunion all ".join(rows) + "),\nsums as (" + "\nunion all ".join(sums) + "),\n"
+        f"cuts as (select *, ({parts['left']} * {parts['left']} / (hl + l2) + {parts['right']} * {parts['right']} / (h - hl + l2) "
+        f"- {parts['all']} * {parts['all']} / (h + l2)) / 2 - least as gain, "
+        f"step * greatest(least(-{parts['left']} / (hl + l2), most), -most) as low, "
+        f"step * greatest(least(-{parts['right']} / (h - hl + l2), most), -most) as high "
+        "from sums where hl >= curvature and h - hl >= curvature),\n"
+        "best as (select * from (select *, row_number() over (partition by objective order by gain desc, place, edge) as k from cuts) where k = 1)"
+    )
+
+
+def _stump(df, objective):
+    """A fitted tree of depth 1 over raw columns."""
+    values = F.array(*[F.col(c).cast("double") for c in STUMP_EDGES])
+    rows = df.withColumn("_label", F.expr(STUMP_LABELS[objective]))
+    binned = B.bin_rows(
+        rows, list(STUMP_EDGES), values, "_label", [F.lit(B.TRAIN)], F.xxhash64("id_policy"), edges=list(STUMP_EDGES.values())
+    )
+    return B.fit_boosted(binned, [STUMPS[objective]])
+
+
+@query("boosted_stumps", with_policies(_stump_sql() + """
+select objective, name, edge, round(gain, 2) as gain, round(low, 6) as low, round(high, 6) as high from best"""))
+def boosted_stumps(spark, sf_dir):
+    """The first cut of a boosted tree by each objective, its gain and its leaves."""
+    df = labelled(spark, sf_dir)
+    found = []
+    for objective in STUMPS:
+        nodes = _stump(df, objective).nodes(spark)
+        leaves = nodes.groupBy().agg(
+            F.max(F.when(F.col("node") == 0, F.col("name"))).alias("name"), F.max(F.when(F.col("node") == 0, F.col("edge"))).alias("edge"),
+            F.round(F.max(F.when(F.col("node") == 0, F.col("gain"))), 2).alias("gain"),
+            F.round(F.max(F.when(F.col("node") == 1, F.col("value"))), 6).alias("low"),
+            F.round(F.max(F.when(F.col("node") == 2, F.col("value"))), 6).alias("high"),
+        )
+        found.append(leaves.select(F.lit(objective).alias("objective"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _stump_mean_sql(objective: str) -> str:
+    cut = " ".join(f"when name = '{f}' then {f} <= edge" for f in STUMP_EDGES)
+    return f"m + case when case {cut} end then low else high end"
+
+
+@query("stump_scores", with_policies(_stump_sql() + f"""
+select id_policy, round(1 / (1 + exp(-({_stump_mean_sql("logistic")}))), 6) as score
+from labelled, best where objective = 'logistic'"""))
+def stump_scores(spark, sf_dir):
+    """Scores of all policies by a fitted model, saved and loaded before."""
+    df = labelled(spark, sf_dir)
+    path = job_folder(spark, "stump")
+    _stump(df, "logistic").save(spark, path)
+    model = B.BoostedTrees.load(spark, path)
+    return rounded(df.select("id_policy", model.prediction().alias("score")), "score")
+
+
+@query("stump_expected_claim", with_policies(_stump_sql() + f""",
+frequencies as (select id_policy, exp({_stump_mean_sql("poisson")}) as frequency from labelled, best where objective = 'poisson'),
+severities as (select id_policy, 1000 * exp({_stump_mean_sql("gamma")}) as severity from labelled, best where objective = 'gamma')
+select id_policy, round(frequency, 6) as frequency, round(severity, 2) as severity, round(frequency * severity, 2) as expected_claim
+from frequencies join severities using (id_policy)"""))
+def stump_expected_claim(spark, sf_dir):
+    """Frequency times severity by one tree each."""
+    df = labelled(spark, sf_dir)
+    frequency, severity = _stump(df, "poisson").prediction(), 1000 * _stump(df, "gamma").prediction()
+    return df.select(
+        "id_policy", F.round(frequency, 6).alias("frequency"), F.round(severity, 2).alias("severity"),
+        F.round(frequency * severity, 2).alias("expected_claim"),
+    )
+
+
+#: Rounds of the registered tree models: fewer and longer steps than the settings' own.
+SHORT = {"rounds": 20, "step": 0.2}
+
+
+def _trees(df):
+    return M.fit_tree_frequency_severity(df, frequency=B.replace(B.FREQUENCY, **SHORT), severity=B.replace(B.SEVERITY, **SHORT))
+
+
+@query("tree_expected_claim")
+def tree_expected_claim(spark, sf_dir):
+    df = labelled(spark, sf_dir)
+    return rounded(_trees(df).expected_claim(df), "frequency", "severity", "expected_claim")
+
+
+@query("tree_pure_premium")
+def tree_pure_premium(spark, sf_dir):
+    df = labelled(spark, sf_dir)
+    out = M.fit_tree_pure_premium(df, settings=B.replace(B.PURE_PREMIUM, **SHORT)).expected_claim(df)
+    return rounded(out, "expected_claim")
+
+
+@query("tree_balance", select_policies("""
+select 'frequency' as model, cast(sum(case when claim_amount > 0 then 1 else 0 end) as double) as observed, true as is_near from policies
+union all select 'severity', round(sum(case when claim_amount > 0 then claim_amount end), 2), true from policies
+union all select 'pure premium', round(sum(claim_amount), 2), true from policies"""))
+def tree_balance(spark, sf_dir):
+    """Fitted sums are within 5 % of the observed ones: of events, of claims on rows with one, of claims on all rows."""
+    df = labelled(spark, sf_dir)
+    trees = _trees(df)
+    ready = trees.design.vectors_ready(df, ["event", "claim_amount"])
+    pure = M.fit_tree_pure_premium(df, settings=B.replace(B.PURE_PREMIUM, **SHORT))
+    sums = ready.select(
+        "event", "claim_amount", trees.frequency.prediction().alias("f"), trees.severity.prediction().alias("s"),
+        (pure.models.prediction() * pure.scale).alias("p"),
+    ).agg(
+        F.sum("event").alias("events"), F.sum("f").alias("f"),
+        F.sum(F.when(F.col("event") > 0, F.col("claim_amount"))).alias("claims"), F.sum(F.when(F.col("event") > 0, F.col("s"))).alias("s"),
+        F.sum("claim_amount").alias("total"), F.sum("p").alias("p"),
+    )
+    rows = [
+        F.struct(F.lit(name).alias("model"), F.round(observed, 2).alias("observed"), (F.abs(F.col(fitted_sum) - F.col(observed)) <= 0.05 * F.col(observed)).alias("is_near"))
+        for name, observed, fitted_sum in (("frequency", "events", "f"), ("severity", "claims", "s"), ("pure premium", "total", "p"))
+    ]
+    return sums.select(F.inline(F.array(*rows)))

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perilscope.operators.boosting import BoostedTrees, TreeScorer
 from perilscope.operators.features import FeaturePipeline
 from perilscope.operators.models import FrequencySeverity
 from perilscope.operators.scoring import ModelScorer
+from perilscope.session import path_exists
 from perilscope.sources.tables import POLICY_SCHEMA
 
 
@@ -136,16 +138,20 @@ def all_responses(
 
 # --- saved models -----------------------------------------------------------
 
-def save_scorer(scorer: ModelScorer, spark: SparkSession, path: str) -> None:
+def save_scorer(scorer: ModelScorer | TreeScorer, spark: SparkSession, path: str) -> None:
     """Preprocessing parameters and model, side by side."""
     scorer.pipeline.save(spark, f"{path}/preprocessing")
-    scorer.model.write().overwrite().save(f"{path}/model")
+    if isinstance(scorer, TreeScorer):
+        scorer.model.save(spark, f"{path}/trees")
+    else:
+        scorer.model.write().overwrite().save(f"{path}/model")
 
 
-def load_scorer(spark: SparkSession, path: str) -> ModelScorer:
-    return ModelScorer(
-        FeaturePipeline.load(spark, f"{path}/preprocessing"), PipelineModel.load(f"{path}/model")
-    )
+def load_scorer(spark: SparkSession, path: str) -> ModelScorer | TreeScorer:
+    pipeline = FeaturePipeline.load(spark, f"{path}/preprocessing")
+    if path_exists(spark, f"{path}/trees"):
+        return TreeScorer(pipeline, BoostedTrees.load(spark, f"{path}/trees"))
+    return ModelScorer(pipeline, PipelineModel.load(f"{path}/model"))
 
 
 @dataclass

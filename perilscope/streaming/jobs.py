@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from perilscope.operators.scoring import Scorer
 from perilscope.operators.whatif import whatif_spread
+from perilscope.session import path_exists
 from perilscope.sources.files import all_responses, parse_requests
 
 
@@ -70,8 +71,7 @@ def run_batches(stream: DataFrame, path: str, checkpoint: str, work: Callable[[D
     )
     query.awaitTermination()
     none = work(spark.createDataFrame([], stream.schema))
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not path_exists(spark, path):
         return none
     return spark.read.schema(none.schema).parquet(path)
 
