@@ -1,7 +1,7 @@
 """Second-order boosted trees, grown by Spark jobs over a written table of bins.
 
-Feature values become bin numbers once; a row of the written table is one byte per feature, a label, a
-role per fold and a 64-bit draw made from the row's key. A level of all trees that are being grown is one job: every
+Feature values become bin numbers once. The table is written in blocks of some thousand rows, column by column:
+one byte per feature, a label, a role per fold and a 64-bit draw made from the row's key. A level of all trees that are being grown is one job: every
 task adds up gradients, curvatures and rows per node, feature and bin of the rows it reads, the sums are dealt by
 model and feature, and the tasks that receive them return the best cut of every node. So the driver
 sees a few numbers per node and feature, whatever the size of the table; several settings or bags of a family
@@ -35,7 +35,7 @@ from perilscope.session import materialise
 REWRITE = 8  # rounds after which margins are written
 EDGE_ROWS = 50_000  # rows, drawn by hash, whose quantiles are the edges of the bins
 UNIT = float(1 << 24)
-SLICE = 1 << 15  # rows added up at once
+SLICE = 1 << 13  # rows of a block: written, read and added up together
 TRAIN, EVAL, UNUSED = 0, 1, 2
 
 
@@ -293,7 +293,7 @@ class TreeScorer:
 
 @dataclass
 class BinnedTable:
-    """The written rows: ``bins`` and ``roles`` (bytes), ``label``, ``draw`` and ``margins`` (doubles, may be empty)."""
+    """The written rows, in blocks of up to ``SLICE`` (see ``BLOCK``)."""
 
     table: DataFrame
     features: list[str]
@@ -330,8 +330,8 @@ def bin_rows(
         values.cast("array<double>").alias("x"), F.col(label).cast("double").alias("label"),
         F.array(*[r.cast("int") for r in roles]).alias("roles"), draw.alias("draw"),
     )
+    total = rows.count()
     if edges is None:
-        total = rows.count()
         part = min(1.0, EDGE_ROWS / max(total, 1))
         seen = rows if part == 1.0 else rows.where(F.pmod("draw", F.lit(1 << 20)) < int(part * (1 << 20)))
         found = seen.select("x").toPandas()["x"]  # EDGE_ROWS rows
@@ -341,35 +341,33 @@ def bin_rows(
     n = len(features)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), n)
-            bins_ = np.ascontiguousarray(to_bins(x, edges).T)
-            roles_ = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [_fixed(bins_.reshape(-1), len(batch)), batch.column(1), _fixed(roles_, len(batch)), batch.column(3),
-                 pa.array([b""] * len(batch), pa.binary())],
-                names=["bins", "label", "roles", "draw", "margins"],
-            )
-
-    schema = "bins binary, label double, roles binary, draw long, margins binary"
+        for whole in stream:
+            for k in range(0, len(whole), SLICE):
+                batch = whole.slice(k, SLICE)
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), n)
+                roles_ = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
+                yield _block(
+                    to_bins(x, edges), batch.column(1).to_numpy(zero_copy_only=False), roles_.reshape(len(batch), -1).T,
+                    batch.column(3).to_numpy(zero_copy_only=False), None,
+                )
+
+    # small tables are dealt over the cores; a large one keeps its layout
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, 1 + total // SLICE)
+    if rows.rdd.getNumPartitions() < tasks:
+        rows = rows.repartition(tasks, "draw")
+    schema = ", ".join(["n int", *[f"{c} binary" for c in BLOCK]])
     return BinnedTable(materialise(rows.mapInArrow(run, schema), "bins"), list(features), edges)
 
 
-def _fixed(values: np.ndarray, rows: int) -> pa.Array:
-    """Equal stretches of bytes, one per row."""
-    raw = np.ascontiguousarray(values).tobytes()
-    width = len(raw) // rows if rows else 0
-    offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * width, pa.int32())
-    return pa.Array.from_buffers(pa.binary(), rows, [None, offsets.buffers()[1], pa.py_buffer(raw)])
+#: Columns of a written block of rows, each as bytes: bins (features x rows), labels, roles (folds x rows), draws and
+#: margins (models x rows).
+BLOCK = ["bins", "label", "roles", "draw", "margins"]
 
 
-def _bytes(column: pa.Array, rows: int) -> np.ndarray:
-    """The bytes of a binary column whose values have one length."""
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + rows + 1]
-    data = column.buffers()[2]
-    if data is None or offsets[-1] == offsets[0]:
-        return np.zeros(0, np.uint8)
-    return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+def _block(bins: np.ndarray, label: np.ndarray, roles: np.ndarray, draw: np.ndarray, margins: np.ndarray | None) -> pa.RecordBatch:
+    parts = [bins, label.astype(np.float64), roles, draw.astype(np.int64), np.zeros(0) if margins is None else margins]
+    columns = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts]
+    return pa.RecordBatch.from_arrays([pa.array([len(label)], pa.int32()), *columns], names=["n", *BLOCK])
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -414,40 +412,40 @@ class _Growing:
         return (mixed >> np.uint64(11)).astype(np.float64) < s.row_share * float(1 << 53)
 
     def margin(self, bins: np.ndarray, margins: np.ndarray | None) -> np.ndarray:
-        out = np.full(bins.shape[1], self.model.start) if margins is None else margins[:, self.number].copy()
+        out = np.full(bins.shape[1], self.model.start) if margins is None else margins[self.number].copy()
         for tree in self.model.trees[self.written :]:
             out += np.array(tree.value)[tree.nodes(bins)]
         return out
 
 
-def _batches(stream: Iterator[pa.RecordBatch], n_features: int):
-    """Slices of the table: bins (features x rows), labels, roles (rows x folds), draws, margins or None."""
-    for whole in stream:
-        for k in range(0, len(whole), SLICE):
-            batch = whole.slice(k, SLICE)
-            rows = len(batch)
-            bins = np.ascontiguousarray(_bytes(batch.column(0), rows).reshape(rows, n_features).T)
-            roles = _bytes(batch.column(2), rows).reshape(rows, -1)
-            margins = _bytes(batch.column(4), rows)
+def _blocks(stream: Iterator[pa.RecordBatch]):
+    """The written blocks: bins, labels, roles, draws, margins (None before they are written)."""
+    for batch in stream:
+        for n, *raw in zip(*(c for c in batch.columns)):
+            bins, label, roles, draw, margins = (
+                np.frombuffer(x.as_buffer(), dtype=kind)
+                for x, kind in zip(raw, (np.uint8, np.float64, np.uint8, np.int64, np.float64))
+            )
+            rows = n.as_py()
             yield (
-                bins, batch.column(1).to_numpy(zero_copy_only=False), roles, batch.column(3).to_numpy(zero_copy_only=False),
-                margins.view(np.float64).reshape(rows, -1) if len(margins) else None,
+                bins.reshape(-1, rows), label, roles.reshape(-1, rows), draw,
+                margins.reshape(-1, rows) if len(margins) else None,
             )
 
 
-def _sums(table: DataFrame, growing: list[_Growing], n_features: int, n_bins: int, with_loss: bool) -> DataFrame:
+def _sums(table: DataFrame, growing: list[_Growing], n_bins: list[int], with_loss: bool) -> DataFrame:
     """Partial sums of every task: one row per model and feature (-1: the evaluation loss)."""
     growing = [g.view() for g in growing]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {g.number: np.zeros((len(g.columns), 3, len(g.open) * n_bins), dtype=np.int64) for g in growing}
+        totals = {g.number: [np.zeros((3, len(g.open) * n_bins[f]), dtype=np.int64) for f in g.columns] for g in growing}
         losses = {g.number: np.zeros(2, dtype=np.int64) for g in growing}
-        for bins, label, roles, draws, margins in _batches(stream, n_features):
+        for bins, label, roles, draws, margins in _blocks(stream):
             for g in growing:
                 settings = g.model.settings
                 objective = OBJECTIVES[settings.objective]
                 margin = g.margin(bins, margins)
-                role = roles[:, settings.fold]
+                role = roles[settings.fold]
                 if with_loss:
                     held = role == EVAL
                     losses[g.number] += (int(np.rint(objective.loss(margin[held], label[held]) * UNIT).sum()), int(held.sum()))
@@ -458,11 +456,12 @@ def _sums(table: DataFrame, growing: list[_Growing], n_features: int, n_bins: in
                 place = slot[g.tree.nodes(bins)]
                 rows = np.flatnonzero((role == TRAIN) & (place >= 0) & g.chosen(draws))
                 slopes = [np.rint(v * UNIT) for v in objective.slopes(margin[rows], label[rows])]
-                base, size = place[rows] * n_bins, len(g.open) * n_bins
+                place = place[rows]
                 for k, f in enumerate(g.columns):
-                    cell = base + bins[f, rows]
+                    cell = place * n_bins[f] + bins[f, rows]
                     for j, weights in enumerate([*slopes, None]):
-                        totals[g.number][k, j] += np.rint(np.bincount(cell, weights, minlength=size)).astype(np.int64)
+                        found = np.bincount(cell, weights, minlength=len(g.open) * n_bins[f])
+                        totals[g.number][k][j] += np.rint(found).astype(np.int64)
         out = []
         for g in growing:
             if with_loss:
@@ -515,9 +514,9 @@ def best_cuts(totals: np.ndarray, nodes: int, s: TreeSettings) -> np.ndarray:
     return np.column_stack([gain[rows, at], at, left[0][rows, at], left[1][rows, at], whole[0][:, 0], whole[1][:, 0]])
 
 
-def _step(table: DataFrame, growing: list[_Growing], n_features: int, n_bins: int, with_loss: bool):
+def _step(table: DataFrame, growing: list[_Growing], n_bins: list[int], with_loss: bool):
     """One scan: the evaluation loss per model, and per model and feature the best cut of every open node."""
-    partial = _sums(table, growing, n_features, n_bins, with_loss)
+    partial = _sums(table, growing, n_bins, with_loss)
     of = {g.number: (g.model.settings, len(g.open)) for g in growing}
 
     def merge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -570,15 +569,13 @@ def _judge(g: _Growing, loss: float) -> None:
         g.done = True
 
 
-def _with_margins(binned: BinnedTable, table: DataFrame, growing: list[_Growing]) -> DataFrame:
+def _with_margins(table: DataFrame, growing: list[_Growing]) -> DataFrame:
     """The table with the margins of all trees so far."""
-    n, growing = len(binned.features), [g.view() for g in growing]
+    growing = [g.view() for g in growing]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in stream:
-            parts = [np.stack([g.margin(bins, m) for g in growing], axis=1) for bins, _, _, _, m in _batches([whole], n)]
-            margins = np.concatenate(parts) if parts else np.zeros((0, len(growing)))
-            yield pa.RecordBatch.from_arrays([*whole.columns[:4], _fixed(margins, len(whole))], names=whole.schema.names)
+        for bins, label, roles, draws, margins in _blocks(stream):
+            yield _block(bins, label, roles, draws, np.stack([g.margin(bins, margins) for g in growing]))
 
     return materialise(table.mapInArrow(run, table.schema), "margins")
 
@@ -586,7 +583,7 @@ def _with_margins(binned: BinnedTable, table: DataFrame, growing: list[_Growing]
 def fit_boosted(binned: BinnedTable, settings: Sequence[TreeSettings]) -> BoostedTrees:
     """Grow one model per setting, all in the same scans."""
     table, n_features = binned.table, len(binned.features)
-    n_bins = max((len(e) + 1 for e in binned.edges), default=1)
+    n_bins = [len(e) + 1 for e in binned.edges]
     growing = []
     for k, start in enumerate(_starts(table, settings)):
         growing.append(_Growing(k, BoostedModel(settings[k], start)))
@@ -601,7 +598,7 @@ def fit_boosted(binned: BinnedTable, settings: Sequence[TreeSettings]) -> Booste
         level = 0
         while level == 0 or any(g.open for g in active):
             scanned = [g for g in active if g.open or level == 0]
-            losses, cuts = _step(table, scanned, n_features, n_bins, with_loss=level == 0)
+            losses, cuts = _step(table, scanned, n_bins, with_loss=level == 0)
             for g in scanned:
                 if level == 0:
                     _judge(g, losses.get(g.number, np.nan))
@@ -618,7 +615,7 @@ def fit_boosted(binned: BinnedTable, settings: Sequence[TreeSettings]) -> Booste
         if all(g.done for g in growing):
             break
         if (round_ + 1) % REWRITE == 0:
-            table = _with_margins(binned, table, growing)
+            table = _with_margins(table, growing)
             for g in growing:
                 g.written = len(g.model.trees)
     for g in growing:
@@ -630,18 +627,22 @@ def fit_boosted(binned: BinnedTable, settings: Sequence[TreeSettings]) -> Booste
 
 def _starts(table: DataFrame, settings: Sequence[TreeSettings]) -> list[float]:
     """The margin of the mean training label of every model, from one scan."""
-    folds = sorted({s.fold for s in settings})
-    role = [F.conv(F.hex(F.expr(f"substring(roles, {f + 1}, 1)")), 16, 10).cast("int") for f in folds]
-    units = F.round(F.col("label") * 1_000_000).cast("decimal(38,0)")  # added up exactly, in any order
-    row = table.agg(*[
-        part.alias(f"{name}{f}")
-        for f, r in zip(folds, role)
-        for name, part in (("n", F.count(F.when(r == TRAIN, 1))), ("s", F.sum(F.when(r == TRAIN, units))))
-    ]).first()
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for _, label, roles, _, _ in _blocks(stream):
+            units = np.rint(label * UNIT).astype(np.int64)
+            for k, role in enumerate(roles):
+                train = role == TRAIN
+                found[k] = found.get(k, 0) + np.array([train.sum(), units[train].sum()])
+        numbers = np.array([[k, *v] for k, v in found.items()], dtype=np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in numbers.T.copy()], names=["fold", "n", "total"])
+
+    parts = table.mapInArrow(run, "fold long, n long, total long").groupBy("fold")
+    sums = {r["fold"]: r for r in parts.agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()}
     out = []
     for s in settings:
-        n, total = row[f"n{s.fold}"], row[f"s{s.fold}"]
-        mean = float(total) / 1e6 / n if n else 0.0
+        row = sums.get(s.fold)
+        mean = float(row["total"]) / UNIT / row["n"] if row and row["n"] else 0.0
         low, high = 1e-9, 1 - 1e-9 if s.objective == "logistic" else np.inf
         out.append(OBJECTIVES[s.objective].link(min(max(mean, low), high)))
     return out

@@ -171,5 +171,5 @@ def test_a_scan_is_one_shuffle_of_sums(spark):
     x, y, role = data("logistic", 200)
     binned = table(spark, x, y, role, bins=8)
     g = B._Growing(0, B.BoostedModel(B.EVENT, 0.0), tree=B.Tree(), open=[0], columns=[0, 1])
-    plan = B._sums(binned.table, [g], 4, 8, True)._jdf.queryExecution().executedPlan().toString()
+    plan = B._sums(binned.table, [g], [8] * 4, True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Scan parquet") == 1
