@@ -15,8 +15,9 @@ is; a token that window and half share makes the pair across the border
 one of the window's pairs.
 
 A unit is encoded by the tokenizers library once and then found in a table of
-fixed size by the hash of its bytes; a table entry that is taken by another unit
-is overwritten, which costs time and changes no result.
+fixed size by the hash of its bytes, of which two of 64 bits with different seeds must
+agree; a table entry that is taken by another unit is overwritten, which costs time and
+changes no result.
 
 Defined results: a null text is encoded like an empty one, without tokens; repeated texts
 are encoded again; other columns pass through, those named like the added ones are replaced.
@@ -40,8 +41,8 @@ from perilscope.llm import words as W
 LEAF_BYTES = 8192
 WINDOW = 64  # characters on either side of a join at first
 WHOLE = 512  # an unbroken unit up to so many bytes is one window
-SLOTS = 1 << 21
-STORE_IDS = 12_000_000  # token ids held for known units; beyond, the table starts anew
+SLOTS = 1 << 20
+STORE_IDS = 4_000_000  # token ids held for known units; beyond, the table starts anew
 
 #: Fixed value: the pattern and steps for which the rule about units holds.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -84,11 +85,12 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slot_key = np.zeros(SLOTS, dtype=np.uint64)
+        self.slot_check = np.zeros(SLOTS, dtype=np.uint64)
         self.slot_unit = np.zeros(SLOTS, dtype=np.int32)
         self.ids = np.zeros(1 << 20, dtype=np.int32)
         self.n_ids = 0
-        self.first = np.zeros(1 << 19, dtype=np.int64)
-        self.count = np.zeros(1 << 19, dtype=np.int32)
+        self.first = np.zeros(1 << 18, dtype=np.int64)
+        self.count = np.zeros(1 << 18, dtype=np.int32)
         self.n_units = 0
 
     def _store(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,23 +131,26 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _units(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _units(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of every unit, after encoding those that are not known."""
         if self.n_ids > STORE_IDS:
             self._forget()
+        keys, checks = W.hashes(raw, starts, ends), W.hashes(raw, starts, ends, seed=7)
+        keys[keys == 0] = 1
         slots = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
         units = self.slot_unit[slots].astype(np.int64)
-        unknown = np.flatnonzero(self.slot_key[slots] != keys)
+        unknown = np.flatnonzero((self.slot_key[slots] != keys) | (self.slot_check[slots] != checks))
         if len(unknown):
-            fresh, at, back = np.unique(keys[unknown], return_index=True, return_inverse=True)
-            pick = unknown[at]
+            order = unknown[np.lexsort((checks[unknown], keys[unknown]))]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
+            pick = order[new]
             whole = raw.tobytes()
             texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[pick].tolist(), ends[pick].tolist())]
             numbers = self._store(*self._encode_strings(texts))
-            units[unknown] = numbers[back]
-            slots = (fresh & np.uint64(SLOTS - 1)).astype(np.int64)
-            self.slot_key[slots] = fresh
-            self.slot_unit[slots] = numbers
+            units[order] = numbers[np.cumsum(new) - 1]
+            slots = slots[pick]
+            self.slot_key[slots], self.slot_check[slots], self.slot_unit[slots] = keys[pick], checks[pick], numbers
         return units
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, leaf: int = LEAF_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +165,7 @@ class Encoder:
                 text[part] = data[part]
         cuts = _leaf_cuts(data, offsets, leaf)
         starts, ends = _unit_spans(kind, np.concatenate([offsets, cuts]))
-        keys = W.hashes(text, starts, ends)
-        keys[keys == 0] = 1
-        units = self._units(keys, text, starts, ends)
+        units = self._units(text, starts, ends)
         first, count = self.first[units], self.count[units].astype(np.int64)
         if len(cuts):
             self._join_leaves(data, text, kind, cuts, starts, ends, first, count)
@@ -297,14 +300,9 @@ def _unit_spans(kind: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[text], ends[text]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder per Python worker and tokenizer file, until a task of another operator needs the memory."""
+    return W.kept(f"encoder {path}", lambda: Encoder(path))
 
 
 #: Columns ``encode_texts`` can add.

@@ -51,6 +51,7 @@ def count_words(docs: DataFrame, text: str, group: str, n_buckets: int, table: n
     Group g has the buckets from ``g * n_buckets`` on."""
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.let_go()
         keys: dict[int, list[np.ndarray]] = {}
         counts: dict[int, list[np.ndarray]] = {}
         held = 0

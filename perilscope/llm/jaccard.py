@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from perilscope.llm import counts as C
 from perilscope.llm import words as W
 from perilscope.llm.components import components
+from perilscope.llm.groups import join_groups
 from perilscope.session import job_folder, materialise
 
 COMMON = 4  # prefix shingles a pair has in common, or ``Rule.floor`` if that is less
@@ -209,6 +210,7 @@ def _signatures(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     ])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.let_go()
         held: list[np.ndarray] = []
 
         def flush(like: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -495,6 +497,11 @@ def _partners(a: np.ndarray, low: np.ndarray, count: np.ndarray) -> Iterator[tup
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row."""
+    return _joined(docs, key, text, rule).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _joined(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
+    """``key, n, node, comp, component_id`` of every row; rows of a component share ``comp``."""
     spark = docs.sparkSession
     context = spark.sparkContext
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -536,26 +543,42 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule:
         wanted.destroy()
         if found.head() is not None:
             near = components(links.unionByName(found))
-    placed = rows.join(near, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = placed.where("n > 0").groupBy("comp").agg(F.min("key").alias("component_id"))
-    joined = placed.join(least, "comp", "left")
-    return joined.select(
-        F.col("key").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
-    )
+    placed = rows.join(near, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
+    placed = materialise(placed, "placed")
+    least = placed.groupBy("comp").agg(F.min(F.when(F.col("n") > 0, F.col("key"))).alias("least"), F.count(F.lit(1)).alias("rows"))
+    found = join_groups(placed, materialise(least, "components"), "comp", "rows")
+    return found.select("key", "n", "node", "comp", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
+
+
+def _with_nodes(docs: DataFrame, text: str, name: str, rule: Rule) -> DataFrame:
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in W.batches(stream, text):
+            nodes = pa.array(Sets(data, offsets, rule.width).nodes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
-    """The documents whose key is their component's id, with their own columns.
+    """One row of each component, the one with the smallest key (then the smallest set's name), with its own columns.
 
-    Rows with a null key stay. Rows that repeat a key are one document: they stay or go together, and one row stays.
+    Rows with a null key stay, and so does a row without words. Rows that share a key are judged by their texts:
+    those of one component or without words are one document, of which one row stays.
     """
-    joined = materialise(jaccard_join(docs, key, text, rule).select(key, "component_id"), "components")
-    kept = joined.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    staying = docs.join(kept, key, "left_semi")
-    if joined.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").head() is not None:
-        staying = staying.dropDuplicates([key])
-    if joined.where(F.col(key).isNull()).head() is not None:
+    joined = materialise(_joined(docs, key, text, rule).where("key is not null"), "components")
+    first = joined.where((F.col("n") > 0) & (F.col("key") == F.col("component_id")))
+    first = first.groupBy("comp").agg(F.min(F.struct("key", "node")).alias("one")).select("one.*")
+    kept = materialise(first.unionByName(joined.where("n = 0").select("key", "node")).distinct(), "kept")
+    repeated = materialise(joined.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    single = kept.select("key").join(repeated, "key", "left_anti").withColumnRenamed("key", key)
+    staying = docs.join(single, key, "left_semi")
+    if repeated.head() is not None:
+        node = "_node" if "_node" not in docs.columns else "_node_of_row"
+        several = _with_nodes(docs.join(repeated.withColumnRenamed("key", key), key, "left_semi"), text, node, rule)
+        wanted = kept.select(F.col("key").alias(key), F.col("node").alias(node))
+        staying = staying.unionByName(several.join(wanted, [key, node], "left_semi").dropDuplicates([key, node]).drop(node))
+    if docs.where(F.col(key).isNull()).head() is not None:
         staying = staying.unionByName(docs.where(F.col(key).isNull()))
     return staying

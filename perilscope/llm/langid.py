@@ -35,6 +35,7 @@ GRAMS = (2, 3, 4)
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 32 << 10
 LEXICON = 4000  # words per language
+SLICE_BYTES = 512 << 10  # of texts labelled together: features take some hundred times the bytes of new words
 SEGMENT = 24  # words of one language in a row, in the mixed training sequences
 SEGMENTS = 6
 STEPS = 40
@@ -262,7 +263,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in W.batches(stream, text):
+        W.let_go()
+        for batch, data, offsets in W.batches(stream, text, SLICE_BYTES):
             if shared.value is None:
                 names, scores = [UNKNOWN] * len(batch), np.zeros(len(batch))
             elif len(data):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from perilscope.llm import words as W
 from perilscope.llm.groups import join_groups
-from perilscope.session import job_folder, materialise
+from perilscope.session import job_folder, materialise, path_exists
 
 PIECE_BYTES = 1 << 16  # of a long text, encoded at once
 TOGETHER_BYTES = 1 << 18  # of texts and pieces, encoded at once
@@ -144,15 +144,9 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 1
 _KIND[65:91] = _KIND[97:123] = 3
 _KIND[48:58] = 4
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    """The counter of this Python worker; one at a time."""
-    if path not in _counters:
-        _counters.clear()
-        _counters[path] = Counter(path)
-    return _counters[path]
+    """The counter of this Python worker."""
+    return W.kept(f"counter {path}", lambda: Counter(path))
 
 
 class CountCache:
@@ -163,8 +157,7 @@ class CountCache:
 
     def stored(self) -> DataFrame | None:
         """``digest`` and ``n_tokens``, each digest once; None while nothing is stored."""
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        if not path_exists(self.spark, self.path):
             return None
         return self.spark.read.schema(CACHE_SCHEMA).parquet(self.path).dropDuplicates(["digest"])
 

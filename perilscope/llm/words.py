@@ -10,37 +10,20 @@ are built piece by piece.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # rows handled together
-PIECE_BYTES = 1 << 20  # bytes hashed together
+T = TypeVar("T")
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1, 2**62)) * 2 + 1
-_INVERSE = pow(_BASE, -1, 2**64)
+SLICE_BYTES = 1 << 20  # rows handled together
+SPANS_TOGETHER = 1 << 17  # spans hashed together
+LONG_SPAN = 1024  # bytes; a longer span is hashed by the hashes of its pieces
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, dtype=np.uint64)
-    out[1:] = base & (2**64 - 1)
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
-
-
-_UP = _powers(_BASE, 1 << 12)
-_DOWN = _powers(_INVERSE, 1 << 12)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
-    if len(_UP) < n:
-        size = 1 << (n - 1).bit_length()
-        _UP, _DOWN = _powers(_BASE, size), _powers(_INVERSE, size)
-    return _UP, _DOWN
+# the low bytes of a lane of eight that belong to a span with so many bytes left
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 try:
@@ -56,6 +39,24 @@ def release() -> None:
         _trim(0)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, held by this worker for later tasks under ``name``; only one thing is held."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Forget what earlier tasks of other operators left in this worker."""
+    if _kept:
+        _kept.clear()
+        release()
+
+
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     """True for every byte but those in the (first, last) ranges."""
     table = np.ones(256, dtype=bool)
@@ -103,11 +104,13 @@ def row_slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[i
         first = last
 
 
-def batches(stream: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def batches(
+    stream: Iterator[pa.RecordBatch], column: str, size: int | None = None
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the record batches with the bytes and offsets of a text column."""
     for batch in stream:
         data, offsets = buffer(batch.column(batch.schema.get_field_index(column)))
-        for first, last in row_slices(offsets):
+        for first, last in row_slices(offsets, size or SLICE_BYTES):
             yield (
                 batch.slice(first, last - first),
                 data[offsets[first] : offsets[last]],
@@ -136,25 +139,39 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; equal bytes have equal hashes."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span; equal bytes have equal hashes.
+
+    The bytes go in by lanes of eight and are mixed after every lane, so that no pattern of the bytes
+    makes two spans equal but chance. Hashes of two seeds are independent: both together tell 2^128 spans apart.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
-    k = 0
-    with np.errstate(over="ignore"):
-        while k < len(starts):
-            begin = starts[k]
-            stop = max(int(np.searchsorted(ends, begin + PIECE_BYTES, side="right")), k + 1)
-            piece = data[begin : ends[stop - 1]]
-            up, down = _tables(len(piece) + 1)
-            total = np.empty(len(piece) + 1, dtype=np.uint64)
-            total[0] = 0
-            np.cumsum(_BYTE[piece] * up[: len(piece)], out=total[1:])
-            s, e = starts[k:stop] - begin, ends[k:stop] - begin
-            out[k:stop] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-            k = stop
+    padded = np.zeros((len(data) + 23) // 8 * 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    words = padded.view(np.uint64)
+    for k in range(0, len(starts), SPANS_TOGETHER):
+        part = slice(k, k + SPANS_TOGETHER)
+        out[part] = _by_lanes(words, starts[part].astype(np.int64), (ends[part] - starts[part]).astype(np.int64), seed)
+    for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        cuts = np.arange(starts[i], ends[i], LONG_SPAN)
+        pieces = hashes(data, cuts, np.minimum(cuts + LONG_SPAN, ends[i]), seed).view(np.uint8)
+        out[i] = hashes(pieces, np.zeros(1, np.int64), np.array([len(pieces)]), seed + 1)[0]
     return out
 
 
+def _by_lanes(words: np.ndarray, at: np.ndarray, left: np.ndarray, seed: int) -> np.ndarray:
+    state = mix(left.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    rows = np.flatnonzero((left > 0) & (left <= LONG_SPAN))
+    at, left = at[rows], left[rows]
+    while len(rows):
+        shift = ((at & 7) << 3).astype(np.uint64)
+        lane = (words[at >> 3] >> shift) | (words[(at >> 3) + 1] << np.uint64(1) << (np.uint64(63) - shift))
+        state[rows] = mix(state[rows] ^ (lane & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return state
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -57,3 +57,15 @@ def test_the_stage_drops_short_near_copies(spark):
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, "else")], "doc_id long, text string")
     assert {r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect()} == {1, 3}
     assert jaccard.one_of_each(docs).count() == 3
+
+
+def test_rows_that_share_a_key_are_judged_by_their_texts(spark):
+    copy, clean, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(3, copy), (5, copy), (5, clean), (5, clean), (6, other), (6, other + " end"), (7, None), (7, ""), (7, "x y"), (None, copy), (8, clean.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard.one_of_each(df, rule=P.NEAR)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in out.collect()), key=str)
+    sixth = [t for k, t in got if k == 6]
+    assert len(sixth) == 1 and sixth[0] in (other, other + " end")
+    assert [g for g in got if g[0] != 6] == sorted([(3, copy), (5, clean), (7, ""), (7, "x y"), (None, copy)], key=str)
