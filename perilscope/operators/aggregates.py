@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +85,68 @@ def best_setting(results: DataFrame, setting: str, metric: str) -> DataFrame:
     return results.agg(
         F.min_by(setting, rank).alias(setting), F.min(metric).alias(metric)
     )
+
+
+# --- aggregates written in Python --------------------------------------------------
+
+STATES_HELD = 100_000  # groups a task holds before it passes their states on
+
+def python_aggregate(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    zero: Callable[[], Any],
+    add: Callable[[Any, pd.DataFrame], Any],
+    merge: Callable[[Any, Any], Any],
+    finish: Callable[[Any], float | None],
+    output: str = "value",
+) -> DataFrame:
+    """An aggregate written in Python: one row per group with its keys and ``output``, a double.
+
+    ``add`` takes a state and some of a group's rows (``columns``), in any number of calls; ``merge`` joins
+    two states, ``finish`` turns one into a number. Every task adds up its own rows first and passes on one state per
+    group and ``STATES_HELD`` groups at most, so that a group of any size is added up where its rows are, and
+    only states are shuffled; those of a group follow one another and are merged one by one. Nulls are keys of their own.
+    """
+    if not keys:
+        raise ValueError("a group needs a key")
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = df.select(group.alias("_group"), *columns)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[str, Any] = {}
+        for frame in frames:
+            for name, part in frame.groupby("_group", sort=False):
+                states[name] = add(states[name] if name in states else zero(), part[list(columns)])
+            if len(states) >= STATES_HELD:
+                yield _states(states)
+                states = {}
+        if states:
+            yield _states(states)
+
+    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, state, done = None, None, []
+        for frame in frames:
+            for other, raw in zip(frame["_group"], frame["_state"]):
+                if other == name:
+                    state = merge(state, pickle.loads(raw))
+                    continue
+                if name is not None:
+                    done.append((name, finish(state)))
+                name, state = other, pickle.loads(raw)
+            if done:
+                yield pd.DataFrame(done, columns=["_group", "_value"])
+            done = []
+        if name is not None:
+            yield pd.DataFrame([(name, finish(state))], columns=["_group", "_value"])
+
+    states = rows.mapInPandas(partial, "_group string, _state binary")
+    values = states.repartition("_group").sortWithinPartitions("_group").mapInPandas(merged, "_group string, _value double")
+    found = F.from_json("_group", df.select(*keys).schema)
+    return values.select(found.alias("_keys"), F.col("_value").alias("_value")).select(
+        *[F.col("_keys")[k].alias(k) for k in keys], F.col("_value").alias(output)
+    )
+
+
+def _states(states: dict[str, Any]) -> pd.DataFrame:
+    return pd.DataFrame({"_group": list(states), "_state": [pickle.dumps(s) for s in states.values()]})

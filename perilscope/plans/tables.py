@@ -445,3 +445,19 @@ select id_policy, row_number() over (order by md5('reference:123:' || cast(id_po
 from policies"""))
 def hash_index(spark, sf_dir):
     return S.hash_index(policies(spark, sf_dir).select("id_policy"), "id_policy", "reference:123").all_rows()
+
+
+@query("python_aggregate", select_policies("""
+select pol_coverage, drv_sex1, round(exp(avg(ln(vh_value))), 4) as typical_value from policies
+group by pol_coverage, drv_sex1"""))
+def python_aggregate(spark, sf_dir):
+    """Geometric mean by a user's functions: a count and a sum of logarithms."""
+    out = A.python_aggregate(
+        policies(spark, sf_dir), ["pol_coverage", "drv_sex1"], ["vh_value"],
+        zero=lambda: (0, 0.0),
+        add=lambda state, rows: (state[0] + len(rows), state[1] + float(np.log(rows["vh_value"]).sum())),
+        merge=lambda a, b: (a[0] + b[0], a[1] + b[1]),
+        finish=lambda state: float(np.exp(state[1] / state[0])),
+        output="typical_value",
+    )
+    return out.withColumn("typical_value", F.round("typical_value", 4))
