@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from perilscope.functions import expressions as X
 from perilscope.operators import boosting as B
+from perilscope.operators import nets as N
 from perilscope.operators.design import DesignMatrix, fit_design_matrix
 from perilscope.operators.features import FeaturePipeline
 from perilscope.operators.sampling import with_bag_flags
@@ -96,8 +97,28 @@ def fit_mlp(
     return ModelScorer(pipeline, _servable(pipeline, trainer.fit(table.where(~F.col("is_eval")))))
 
 
-def table_log_loss(scorer: ModelScorer | B.TreeScorer, table: DataFrame) -> float:
+def batch_table(table: DataFrame, pipeline: FeaturePipeline, batch_rows: int, seed: int = SPLIT_SEED) -> N.BatchTable:
+    """A training table dealt into batches, for one net or all nets of a sweep."""
+    return N.deal_batches(table, pipeline.features, vector_to_array("features"), "label", "is_eval", F.col("draw"), batch_rows, seed)
+
+
+def _fit_nets(table: DataFrame, pipeline: FeaturePipeline, widths: Sequence[int], **options) -> list[N.NetScorer]:
+    """One net per width, all trained in the same steps."""
+    settings = [N.NetSettings(hidden=width, **options) for width in widths]
+    dealt = batch_table(table, pipeline, settings[0].batch_rows, settings[0].seed)
+    return [N.NetScorer(pipeline, net) for net in N.fit_nets(dealt, settings)]
+
+
+def fit_net(table: DataFrame, pipeline: FeaturePipeline, hidden: int = 32, **options) -> N.NetScorer:
+    """Residual net with batch normalisation and dropout, trained by Adam; ``options`` replace those of ``nets.NetSettings``."""
+    return _fit_nets(table, pipeline, [hidden], **options)[0]
+
+
+def table_log_loss(scorer: ModelScorer | B.TreeScorer | N.NetScorer, table: DataFrame) -> float:
     """Mean log-loss on the evaluation rows of a training table."""
+    if isinstance(scorer, N.NetScorer):
+        rows = table.where("is_eval").select(vector_to_array("features").alias("x"), F.col("label").cast("double"))
+        return N.row_losses(scorer.net, rows).agg(F.avg("loss")).first()[0]
     if isinstance(scorer, B.TreeScorer):
         values = vector_to_array("features")
         p = scorer.model.prediction([values[k] for k in range(len(scorer.model.features))])
@@ -184,6 +205,14 @@ def sweep_mlp(
     )
 
 
+def sweep_net(
+    table: DataFrame, pipeline: FeaturePipeline, widths: Sequence[int] = tuple(WIDTHS), **options
+) -> Sweep:
+    """All widths advance in the same steps; the metric is the evaluation loss after the last round."""
+    scorers = _fit_nets(table, pipeline, widths, **options)
+    return Sweep("h1", list(widths), [float(scorer.net.losses[-1]) for scorer in scorers], scorers)
+
+
 def mean_log_loss(df: DataFrame, logit: str, label: str) -> DataFrame:
     return df.agg(F.avg(X.log_loss(F.col(logit), F.col(label))).alias("eval_metric"))
 

@@ -5,17 +5,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from perilscope.operators import boosting as B
 from perilscope.operators import models as M
+from perilscope.operators import nets as N
 from perilscope.operators.explain import IMPORTANCE_FEATURES, shap_by_model, shap_importance
+from perilscope.operators.features import MODEL_FEATURES
 from perilscope.operators.selection import drop_incomplete
 from perilscope.operators.sampling import sample_rows, with_bag_flags
 from perilscope.operators.scoring import score_difference, with_scores
-from perilscope.plans.catalog import fitted, labelled, query, rounded, select_policies, with_policies
+from perilscope.plans.catalog import PREPARED, fitted, labelled, query, rounded, select_policies, with_policies
 from perilscope.plans.explain import FEATURES
 from perilscope.session import job_folder
 from perilscope.sources import files
@@ -43,6 +46,56 @@ def mlp_score(spark, sf_dir):
     return rounded(M.fit_mlp(table, pipeline)(df, "score").select("id_policy", "score"), "score")
 
 
+#: Rounds, batches and steps of the registered nets: fewer and larger than the settings' own.
+SHORT_NET = {"rounds": 5, "batch_rows": 8192, "step": 0.01}
+
+
+@query("residual_net_score")
+def residual_net_score(spark, sf_dir):
+    df, pipeline, table = _training(spark, sf_dir)
+    return rounded(M.fit_net(table, pipeline, **SHORT_NET)(df, "score").select("id_policy", "score"), "score")
+
+
+@query("residual_net_sweep")
+def residual_net_sweep(spark, sf_dir):
+    _, pipeline, table = _training(spark, sf_dir)
+    return M.sweep_net(table, pipeline, **SHORT_NET).results(spark)
+
+
+def _net_gradient_sql() -> str:
+    logit = " + ".join(f"{k + 1} * cast(0.01 as double) * greatest({f}, 0)" for k, f in enumerate(MODEL_FEATURES))
+    moments = ", ".join(f"avg({f}) as m_{f}, var_pop({f}) as v_{f}" for f in MODEL_FEATURES)
+    normal = ", ".join(f"({f} - m_{f}) / sqrt(v_{f} + cast(1e-5 as double)) as {f}" for f in MODEL_FEATURES)
+    rows = " union all ".join(
+        f"select '{f}' as feature, round(avg(slope * greatest({f}, 0)), 6) + 0 as output_weight, "
+        f"round(avg(slope * {k + 1} * cast(0.01 as double) * greatest({f}, 0)), 6) + 0 as scale from scored"
+        for k, f in enumerate(MODEL_FEATURES)
+    )
+    return with_policies(PREPARED + f""",
+training as (select * from prepared where is_train and event is not null),
+moments as (select {moments} from training),
+normal as (select event, {normal} from training cross join moments),
+scored as (select *, 1 / (1 + exp(-({logit}))) - event as slope from normal)
+{rows}""")
+
+
+@query("net_step_gradient", _net_gradient_sql())
+def net_step_gradient(spark, sf_dir):
+    """Gradient over all training rows, as one batch, of a net whose layers pass every input's positive part on."""
+    _, pipeline, table = _training(spark, sf_dir)
+    d = len(pipeline.features)
+    dealt = M.batch_table(table, pipeline, batch_rows=table.count())
+    settings = N.NetSettings(hidden=d, dropout=0.0)
+    weights = {name: np.zeros(shape) for name, shape in zip(N.LAYERS, N.shapes(d, d))}
+    weights["scale"][:] = 1
+    weights["w1"][:], weights["w2"][:] = np.eye(d), np.eye(d, N.INNER)
+    weights["w4"][:d] = np.arange(1, d + 1) * 0.01
+    found = N.shaped(N.step_gradient(dealt, dealt.batches[0], [weights], 0, [settings])[0], d, d)
+    rows = zip(pipeline.features, found["w4"][:d].tolist(), found["scale"].tolist())
+    out = spark.createDataFrame(list(rows), "feature string, output_weight double, scale double")
+    return out.withColumns({c: F.round(c, 6) + 0 for c in ("output_weight", "scale")})
+
+
 @query("gbt_sweep")
 def gbt_sweep(spark, sf_dir):
     _, pipeline, table = _training(spark, sf_dir)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perilscope.operators.boosting import BoostedTrees, TreeScorer
+from perilscope.operators.nets import Net, NetScorer
 from perilscope.operators.features import FeaturePipeline
 from perilscope.operators.models import FrequencySeverity
 from perilscope.operators.scoring import ModelScorer
@@ -138,19 +139,23 @@ def all_responses(
 
 # --- saved models -----------------------------------------------------------
 
-def save_scorer(scorer: ModelScorer | TreeScorer, spark: SparkSession, path: str) -> None:
+def save_scorer(scorer: ModelScorer | TreeScorer | NetScorer, spark: SparkSession, path: str) -> None:
     """Preprocessing parameters and model, side by side."""
     scorer.pipeline.save(spark, f"{path}/preprocessing")
     if isinstance(scorer, TreeScorer):
         scorer.model.save(spark, f"{path}/trees")
+    elif isinstance(scorer, NetScorer):
+        scorer.net.save(spark, f"{path}/net")
     else:
         scorer.model.write().overwrite().save(f"{path}/model")
 
 
-def load_scorer(spark: SparkSession, path: str) -> ModelScorer | TreeScorer:
+def load_scorer(spark: SparkSession, path: str) -> ModelScorer | TreeScorer | NetScorer:
     pipeline = FeaturePipeline.load(spark, f"{path}/preprocessing")
     if path_exists(spark, f"{path}/trees"):
         return TreeScorer(pipeline, BoostedTrees.load(spark, f"{path}/trees"))
+    if path_exists(spark, f"{path}/net"):
+        return NetScorer(pipeline, Net.load(spark, f"{path}/net"))
     return ModelScorer(pipeline, PipelineModel.load(f"{path}/model"))
 
 
