@@ -5,9 +5,10 @@ largest norm, queries get a zero there and that norm. Centroids are fitted by
 k-means with a penalty on large clusters, on a bounded sample (``SAMPLE`` vectors); they
 are linked in a graph of near neighbours, which every task holds in memory and searches
 by a beam. All vectors go to their nearest list, and those near a boundary to up to
-``REPLICAS`` lists. A query reads the lists with the nearest centroids; how many follows the data:
-a sample of queries is answered by brute force over all rows, and every query reads as many lists as
-give these ``RECALL``, without an upper bound. Lists are read in chunks of ``CHUNK`` vectors, so equal vectors or a crowded region
+``REPLICAS`` lists. A query searches the graph too and reads the lists of its beam whose
+distance is at most a ratio times that of the nearest one, so how many it reads depends on where it lies. Beam and ratio follow the data: ``ASKED``
+queries are answered by brute force over all rows, the beam is doubled until it holds lists of their neighbours (up to all lists), and
+the ratio is the smallest that gives ``RECALL``. Lists are read in chunks of ``CHUNK`` vectors, so equal vectors or a crowded region
 make more chunks and no larger task. A query that found fewer than ``k`` reads all lists.
 
 Scores are computed in double precision from the original vectors, always in the same way.
@@ -34,12 +35,13 @@ LIST = 400  # vectors per list aimed at
 MAX_LISTS = 4096
 REPLICAS = 4
 REPLICA_RATIO = 1.15
-PROBES = 32  # lists a query reads at least
-ASKED = 256  # queries answered by brute force to find the number of lists
-RECALL = 0.95  # of their neighbours
+PROBES = 32  # beam that is tried first
+ASKED = 256  # queries answered by brute force to find beam and ratio
+RECALL = 0.97  # of their neighbours
 DEGREE = 16
 HOME_BEAM = 12  # lists kept while searching for a vector's own
-DEALT = 1 << 15  # rows dealt to lists at a time
+WORK = 1 << 21  # numbers that a step of the search holds, about
+BLOCK = 1024  # rows compared with all centroids at a time
 CHUNK = 4096
 
 
@@ -79,7 +81,6 @@ class Index:
     centroids: np.ndarray
     graph: np.ndarray
     entry: np.ndarray
-    between: np.ndarray  # distances of centroids
     top: float  # the largest norm
 
     @property
@@ -93,25 +94,21 @@ class Index:
         n_lists = min(n_lists, len(x))
         centroids = x[rng.choice(len(x), n_lists, replace=False)].copy()
         size = np.full(n_lists, len(x) / n_lists)
+        near = 0.0
         for _ in range(rounds):
-            distance = _square_distances(x, centroids)
-            near = distance.min(axis=1).mean()
             # a list twice as large as the mean looks farther by half the usual distance
-            label = (distance + 0.5 * near * np.maximum(size * n_lists / len(x) - 1, 0)).argmin(axis=1)
+            label, near = _labels(x, centroids, 0.5 * near * np.maximum(size * n_lists / len(x) - 1, 0))
             size = np.bincount(label, minlength=n_lists)
-            for k in np.flatnonzero(size):
-                centroids[k] = x[label == k].mean(axis=0)
+            full = np.flatnonzero(size)
+            sums = np.add.reduceat(x[np.argsort(label, kind="stable")], (np.cumsum(size) - size)[full], axis=0)
+            centroids[full] = sums / size[full, None]
             empty = np.flatnonzero(size == 0)
             if len(empty):
                 centroids[empty] = x[rng.choice(len(x), len(empty))] + 1e-9 * rng.standard_normal((len(empty), x.shape[1]))
-        between = _square_distances(centroids, centroids)
-        graph = np.argsort(between, axis=1, kind="stable")[:, 1 : DEGREE + 1]
-        if not graph.shape[1]:
-            graph = np.zeros((n_lists, 1), dtype=np.int64)
         # a ring keeps the graph connected
-        graph = np.concatenate([graph, (np.arange(n_lists)[:, None] + 1) % n_lists], axis=1)
+        graph = np.concatenate([_near_centroids(centroids), (np.arange(n_lists)[:, None] + 1) % n_lists], axis=1)
         entry = rng.choice(n_lists, min(16, n_lists), replace=False)
-        return cls(centroids, graph, entry, np.sqrt(between), top)
+        return cls(centroids, graph, entry, top)
 
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam's lists of each lifted vector, nearest first, and their distances."""
@@ -123,16 +120,20 @@ class Index:
         done = np.zeros((n, k), dtype=bool)
         rows = np.arange(n)
         self._add(x, ids, dist, seen, rows, np.tile(self.entry, (n, 1)))
+        some = max(1, width // 8)  # nodes whose neighbours are looked at in one step
         while len(rows):
             open_ = np.where((ids[rows] >= 0) & ~done[rows[:, None], ids[rows]], dist[rows], np.inf)
-            best = open_.argmin(axis=1)
-            more = np.isfinite(open_[np.arange(len(rows)), best])
-            rows, best = rows[more], best[more]
+            best = np.argpartition(open_, some - 1, axis=1)[:, :some] if some < width else np.tile(np.arange(width), (len(rows), 1))
+            away = np.take_along_axis(open_, best, 1)
+            first = np.take_along_axis(best, away.argmin(axis=1)[:, None], 1)
+            more = np.isfinite(away).any(axis=1)
+            best = np.where(np.isfinite(away), best, first)[more]
+            rows = rows[more]
             if not len(rows):
                 break
-            node = ids[rows, best]
-            done[rows, node] = True
-            self._add(x, ids, dist, seen, rows, self.graph[node])
+            node = np.take_along_axis(ids[rows], best, 1)
+            done[rows[:, None], node] = True
+            self._add(x, ids, dist, seen, rows, self.graph[node].reshape(len(rows), -1))
         order = np.argsort(dist, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.sqrt(np.take_along_axis(dist, order, 1))
 
@@ -152,29 +153,62 @@ class Index:
         ids[rows] = np.where(np.isfinite(np.take_along_axis(all_dist, keep, 1)), np.take_along_axis(all_ids, keep, 1), -1)
         dist[rows] = np.take_along_axis(all_dist, keep, 1)
 
-    def homes(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists of each row: the nearest, and others within the ratio that are not behind one already taken."""
+    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and their lists: the nearest, and others within the ratio that are not behind one already taken."""
         ids, dist = self.search(lift(x, self.top), HOME_BEAM)
-        out = []
-        for row, d in zip(ids.tolist(), dist.tolist()):
-            taken = [row[0]]
-            for k in range(1, len(row)):
-                if len(taken) == REPLICAS or row[k] < 0 or d[k] > REPLICA_RATIO * d[0]:
-                    break
-                if (self.between[row[k], taken] >= d[k] * 0.5).all():
-                    taken.append(row[k])
-            out.append(np.array(taken))
-        return out
-
-    def away(self, q: np.ndarray) -> np.ndarray:
-        """Square distances of queries to all centroids."""
+        near = self.centroids[ids]
+        length = self.lengths[ids]
+        between = np.sqrt(np.maximum(length[:, :, None] + length[:, None, :] - 2 * near @ near.transpose(0, 2, 1), 0))
+        taken = np.zeros(ids.shape, dtype=bool)
+        taken[:, 0] = True
+        for k in range(1, ids.shape[1]):
+            free = (between[:, k, :] >= 0.5 * dist[:, k, None]) | ~taken
+            near_enough = (ids[:, k] >= 0) & (dist[:, k] <= REPLICA_RATIO * dist[:, 0])
+            taken[:, k] = near_enough & free.all(axis=1) & (taken.sum(axis=1) < REPLICAS)
+        row, place = np.nonzero(taken)
+        return row, ids[row, place]
+
+    def beam(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lists in each query's beam (-1: none), and their distances in units of the nearest one's."""
         scaled = q * (self.top / np.sqrt((q * q).sum(axis=1, keepdims=True)))
-        return _square_distances(np.concatenate([scaled, np.zeros((len(q), 1))], axis=1), self.centroids)
-
-    def probes(self, q: np.ndarray, n: int) -> list[np.ndarray]:
-        """The ``n`` nearest lists of each query."""
-        away = self.away(q)
-        return list(np.argpartition(away, n - 1, axis=1)[:, :n] if n < away.shape[1] else np.tile(np.arange(away.shape[1]), (len(q), 1)))
+        ids, dist = self.search(np.concatenate([scaled, np.zeros((len(q), 1))], axis=1), beam)
+        return ids, dist / np.maximum(dist[:, :1], 1e-6 * self.top)
+
+    def probes(self, q: np.ndarray, beam: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and the lists they read: the nearest, and those of the beam within the ratio."""
+        ids, away = self.beam(q, beam)
+        read = (ids >= 0) & (away <= ratio)
+        read[:, 0] = True
+        row, place = np.nonzero(read)
+        return row, ids[row, place]
+
+
+def _labels(x: np.ndarray, centroids: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, float]:
+    """Nearest centroid of each row under the penalty, and the mean square distance to the nearest one without it."""
+    label, total = np.empty(len(x), dtype=np.int64), 0.0
+    for at in range(0, len(x), BLOCK):
+        distance = _square_distances(x[at : at + BLOCK], centroids)
+        total += distance.min(axis=1).sum()
+        label[at : at + BLOCK] = (distance + penalty).argmin(axis=1)
+    return label, total / len(x)
+
+
+def _near_centroids(centroids: np.ndarray) -> np.ndarray:
+    """The nearest others of every centroid; itself, if it is the only one."""
+    n = len(centroids)
+    if n == 1:
+        return np.zeros((1, 1), dtype=np.int64)
+    degree = min(DEGREE, n - 1)
+    out = np.empty((n, degree), dtype=np.int64)
+    for at in range(0, n, BLOCK):
+        distance = _square_distances(centroids[at : at + BLOCK], centroids)
+        distance[np.arange(len(distance)), at + np.arange(len(distance))] = np.inf
+        out[at : at + BLOCK] = np.argpartition(distance, degree - 1, axis=1)[:, :degree]
+    return out
+
+
+def _rows_a_step(beam: int, dim: int, most: int) -> int:
+    return max(1, min(most, WORK // (beam * dim)))
 
 
 def lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -210,20 +244,20 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     index = spark.sparkContext.broadcast(Index.fit(sample, top, max(1, min(MAX_LISTS, -(-n // LIST)))))
 
     def post(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = _rows_a_step(HOME_BEAM, dim, 2048)
         for batch in stream:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                homes = index.value.homes(_matrix(part, "v", dim))
-                yield _dealt(part, homes)
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                yield _dealt(part, *index.value.homes(_matrix(part, "v", dim)))
 
-    width = _width(rows, queries, index, dim, k)
+    beam, ratio = _calibrated(rows, queries, index, dim, k)
 
     def ask(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, min(512, DEALT // width))
+        step = _rows_a_step(beam, dim, 512)
         for batch in stream:
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                yield _dealt(part, index.value.probes(_matrix(part, "v", dim), width))
+                yield _dealt(part, *index.value.probes(_matrix(part, "v", dim), beam, ratio))
 
     placed = "list int, id long, v binary"
     lists = rows.select("id", "v").mapInArrow(post, placed)
@@ -245,18 +279,16 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more)
 
 
-def _width(rows: DataFrame, queries: DataFrame, index, dim: int, k: int) -> int:
-    """Lists each query reads: as many as hold ``RECALL`` of the neighbours of ``ASKED`` queries, ``PROBES`` at least.
+def _calibrated(rows: DataFrame, queries: DataFrame, index, dim: int, k: int) -> tuple[int, float]:
+    """Beam and distance ratio with which ``ASKED`` queries find ``RECALL`` of their true neighbours.
 
-    A task compares its rows with these queries and keeps the best ``k`` ids of each, with
-    the place that the nearest of the neighbour's lists has among the query's.
+    A task compares its rows with these queries and keeps the best ``k`` ids of each, with their
+    lists; the best of all tasks, ``ASKED`` times ``k`` rows, come to the driver.
     """
     n_lists = len(index.value.centroids)
-    if n_lists <= PROBES:
-        return n_lists
     asked = queries.orderBy(F.xxhash64(F.lit("probes"), "id", "v"), "id", "v").limit(ASKED).collect()
-    if not asked:
-        return PROBES
+    if n_lists == 1 or not asked:
+        return 1, 1.0
     own = np.array([r["id"] for r in asked], dtype=np.int64)
     q = np.frombuffer(b"".join(r["v"] for r in asked), np.float64).reshape(-1, dim)
     shared = rows.sparkSession.sparkContext.broadcast((own, q))
@@ -273,30 +305,40 @@ def _width(rows: DataFrame, queries: DataFrame, index, dim: int, k: int) -> int:
                 score, held = np.concatenate([score, new]), np.concatenate([held, matrix[some][row]])
                 top, _ = _top(pair, score, k)
                 pair, score, held = pair[top], score[top], held[top]
-        if len(pair):
-            place = index.value.away(q).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-            homes = index.value.homes(held)
-            least = [int(place[i, lists].min()) for i, lists in zip(pair[:, 0].tolist(), homes)]
+        step = _rows_a_step(HOME_BEAM, dim, 2048)
+        for at in range(0, len(pair), step):
+            row, lists = index.value.homes(held[at : at + step])
+            ends = np.append(np.searchsorted(row, np.arange(len(held[at : at + step]))), len(row)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(score), pa.array(least, pa.int64())], names=["asker", "id", "score", "place"]
+                [pa.array(pair[at : at + step, 0]), pa.array(pair[at : at + step, 1]), pa.array(score[at : at + step]),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(lists.astype(np.int32)))],
+                names=["query_id", "vec_id", "score", "lists"],
             )
 
-    near = rows.select("id", "v").mapInArrow(run, "asker long, id long, score double, place long")
-    near = near.groupBy("asker", "id").agg(F.max(F.struct("score", (-F.col("place")).alias("place"))).alias("best"))
-    first = near.groupBy("asker").agg(F.collect_list(F.struct(F.col("best.score").alias("score"), F.col("best.place").alias("place"))).alias("all"))
-    best = first.select(F.explode(F.slice(F.sort_array("all", False), 1, k)).alias("x")).select((-F.col("x.place")).alias("place"))
-    place = np.sort([r["place"] for r in best.collect()])
-    if not len(place):
-        return PROBES
-    return max(PROBES, int(place[int(np.ceil(RECALL * len(place))) - 1]) + 1)
-
-
-def _dealt(part: pa.RecordBatch, lists: list[np.ndarray]) -> pa.RecordBatch:
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    near = materialise(rows.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score double, lists array<int>"), "near")
+    best = _merged(near.select("query_id", "vec_id", "score"), k).drop("rank")
+    homes = best.join(near, ["query_id", "vec_id", "score"]).groupBy("query_id", "vec_id").agg(F.max("lists").alias("lists")).collect()
+    if not homes:
+        return 1, 1.0
+    beam = min(PROBES, n_lists)
+    while True:
+        step = _rows_a_step(beam, dim, 512)
+        least = np.full((len(q), n_lists), np.inf)
+        for at in range(0, len(q), step):
+            ids, away = index.value.beam(q[at : at + step], beam)
+            row, place = np.nonzero(ids >= 0)
+            least[at + row, ids[row, place]] = away[row, place]
+        needed = np.sort([least[r["query_id"], r["lists"]].min() for r in homes])
+        # more than needed is in the beam, so that the ratio decides
+        if beam == n_lists or np.isfinite(needed).mean() >= (1 + RECALL) / 2:
+            return beam, float(needed[int(np.ceil(RECALL * len(needed))) - 1]) * (1 + 1e-9)
+        beam = min(2 * beam, n_lists)
+
+
+def _dealt(part: pa.RecordBatch, row: np.ndarray, lists: np.ndarray) -> pa.RecordBatch:
     at = pa.array(row, pa.int64())
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(flat.astype(np.int32)), *(part.column(part.schema.get_field_index(c)).take(at) for c in ("id", "v"))],
+        [pa.array(lists.astype(np.int32)), *(part.column(part.schema.get_field_index(c)).take(at) for c in ("id", "v"))],
         names=["list", "id", "v"],
     )
 
