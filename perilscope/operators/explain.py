@@ -8,16 +8,22 @@ switch belongs to the feature that switched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perilscope.functions.expressions import hash_number, seeded_hash
+from perilscope.operators.quantiles import order_statistics
 from perilscope.operators.sampling import hash_index
 from perilscope.operators.scoring import Scorer, with_scores
 from perilscope.session import materialise
 
+CURVES_AT_ONCE = 16  # curves whose bandwidths are counted in the same scans
+
 # Raw features shown in the importance and effect tables.
 IMPORTANCE_FEATURES = [
     "pol_no_claims_discount", "pol_coverage", "pol_duration",
@@ -146,34 +152,45 @@ def shap_effect_points(shap: DataFrame, feature: str, by: Sequence[str] = ()) ->
     )
 
 
-def loess_curve(points: DataFrame, by: Sequence[str] = (), grid: int = 10) -> DataFrame:
-    """Local quadratic regression with tricube weights over all points (span 1),
+def loess_curve(points: DataFrame, by: Sequence[str] = (), grid: int = 10, span: float = 1.0) -> DataFrame:
+    """Local quadratic regression with tricube weights over the nearest share ``span`` of a curve's points,
     evaluated at ``grid`` equally spaced values from minimum to maximum.
 
     The bandwidth is the distance to the farthest point, so a curve needs two
     aggregates: the range, then the weighted moments of every grid point. Where
     the points do not determine a parabola the fit falls back to a line and then
     to the weighted mean. The points are written once for the two aggregates.
+
+    With a span below 1 the bandwidth is the distance of the nearest point number ``ceil(span * n)`` (the third at least),
+    found for every grid point by counting, ``CURVES_AT_ONCE`` curves at a time. Points at or beyond it have no weight; where
+    none is nearer, the value is null.
     """
     if grid < 2:
         raise ValueError("a curve needs two grid points at least")
+    if not 0 < span <= 1:
+        raise ValueError("a span is above 0 and at most 1")
     clean = materialise(points.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "points")
     spans = clean.groupBy(*by).agg(F.min("x").alias("_low"), F.max("x").alias("_high"))
     if by:
         # one row per curve
-        ranged = clean.join(spans.select(*[F.col(c).alias(f"_{c}") for c in by], "_low", "_high"),
+        if span < 1:
+            spans = _bandwidths(clean, spans, by, grid, span)
+        ranged = clean.join(spans.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in spans.columns if c not in by]),
                             [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
     else:
-        low, high = spans.first()
-        ranged = clean.withColumns(
-            {"_low": F.lit(low).cast("double"), "_high": F.lit(high).cast("double")}
-        )
+        if span < 1:
+            spans = _bandwidths(clean, spans, by, grid, span)
+        ranged = clean.withColumns({c: F.lit(v).cast("double") for c, v in spans.first().asDict().items()})
 
     places, distances, weights, moments, cells = {}, {}, {}, [], []
     for i in range(grid):
         places[f"_g{i}"] = F.expr(f"_low + {i} * (_high - _low) / {grid - 1}")
         width = f"greatest(_g{i} - _low, _high - _g{i})"
-        distances[f"_u{i}"] = F.expr(f"coalesce(try_divide(x - _g{i}, {width}), 0D)")
+        if span < 1:
+            near = f"when abs(x - _g{i}) >= _h{i} then 1D else (x - _g{i}) / _h{i} end"
+            distances[f"_u{i}"] = F.expr(f"case when x = _g{i} then 0D {near}")
+        else:
+            distances[f"_u{i}"] = F.expr(f"coalesce(try_divide(x - _g{i}, {width}), 0D)")
         cube = f"(1 - abs(_u{i} * _u{i} * _u{i}))"
         weights[f"_w{i}"] = F.expr(f"{cube} * {cube} * {cube}")
         for p in range(5):
@@ -192,6 +209,28 @@ def loess_curve(points: DataFrame, by: Sequence[str] = (), grid: int = 10) -> Da
     return wide.select(*by, F.inline(F.array(*cells)))
 
 
+def _bandwidths(points: DataFrame, spans: DataFrame, by: Sequence[str], grid: int, span: float) -> DataFrame:
+    """The ranges of the curves with ``_h0``, ``_h1``, ...: the bandwidth at every grid point."""
+    curves = spans.collect()  # one row per curve
+    rows = []
+    for at in range(0, len(curves), CURVES_AT_ONCE):
+        some = curves[at : at + CURVES_AT_ONCE]
+        away = {}
+        for k, curve in enumerate(some):
+            own = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(curve[c])) for c in by], F.lit(True))
+            for i in range(grid):
+                low, high = (F.lit(curve[c]).cast("double") for c in ("_low", "_high"))
+                away[f"{k}_{i}"] = F.when(own, F.abs(F.col("x") - (low + i * (high - low) / (grid - 1)))).alias(f"{k}_{i}")
+        found = order_statistics(
+            points.select(*away.values()), list(away), lambda n: [min(n, max(3, math.ceil(span * n))) - 1]
+        )
+        for k, curve in enumerate(some):
+            widths = [found[f"{k}_{i}"][1] for i in range(grid)]
+            rows.append((*curve, *[next(iter(w.values())) if w else None for w in widths]))
+    schema = T.StructType([*spans.schema.fields, *[T.StructField(f"_h{i}", T.DoubleType()) for i in range(grid)]])
+    return points.sparkSession.createDataFrame(rows, schema)
+
+
 def _centre(i: int) -> Column:
     """Fitted value at grid point ``i``, from the moments s0..s4 and t0..t2."""
     s0, s1, s2, s3, s4 = (f"s{p}_{i}" for p in range(5))

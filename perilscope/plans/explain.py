@@ -111,14 +111,21 @@ def shap_effect_points(spark, sf_dir):
     return points.withColumns({"x": F.round("x", 6), "y": F.round("y", 6) + 0})
 
 
-def loess_sql(points: str, by: str | None, grid: int = 10) -> str:
-    """Local quadratic fit with tricube weights over every point of a curve."""
+def loess_sql(points: str, by: str | None, grid: int = 10, span: float = 1) -> str:
+    """Local quadratic fit with tricube weights over the nearest share ``span`` of a curve's points."""
     key = by or "1"
+    near = f"""near as (select g.*, p.y, (p.x - gx) / nullif(greatest(gx - lo, hi - gx), 0) as u
+  from grid g join (select {key} as curve, x, y from {points}) p using (curve))"""
+    if span < 1:
+        near = f"""pairs as (select g.*, p.x, p.y, abs(p.x - gx) as away, count(*) over (partition by curve, g) as n,
+  row_number() over (partition by curve, g order by abs(p.x - gx)) as place
+  from grid g join (select {key} as curve, x, y from {points} where x is not null and y is not null) p using (curve)),
+reached as (select *, max(case when place = greatest(ceil({span} * n), 3) then away end) over (partition by curve, g) as h from pairs),
+near as (select curve, gx, y, (x - gx) / h as u from reached where away < h)"""
     return f""",
 ranges as (select {key} as curve, min(x) as lo, max(x) as hi from {points} group by 1),
 grid as (select curve, g, lo, hi, lo + g * (hi - lo) / {grid - 1} as gx from ranges, range({grid}) t(g)),
-near as (select g.*, p.y, (p.x - gx) / nullif(greatest(gx - lo, hi - gx), 0) as u
-  from grid g join (select {key} as curve, x, y from {points}) p using (curve)),
+{near},
 weighted as (select *, power(1 - power(abs(u), 3), 3) as w from near),
 moments as (select curve, gx,
   {", ".join(f"sum(w * power(u, {p})) as s{p}" for p in range(5))},
@@ -181,3 +188,15 @@ def shap_waterfall(spark, sf_dir):
         (F.round(F.min("bar_end"), 6) + 0).alias("bottom"),
         (F.round(F.sum("shap_effect"), 6) + 0).alias("total"),
     )
+
+
+@query("loess_local", with_policies(""",
+points as (select vh_value as x, claim_amount as y from policies)""" + loess_sql("points", None, span=0.5) + """
+select round(smooth_x, 4) as smooth_x, round(smooth_y, 4) as smooth_y from smooth"""))
+def loess_local(spark, sf_dir):
+    """A curve that follows the nearest half of the points."""
+    from perilscope.sources.tables import policies
+
+    points = policies(spark, sf_dir).select(F.col("vh_value").alias("x"), F.col("claim_amount").alias("y"))
+    curve = E.loess_curve(points, span=0.5)
+    return curve.withColumns({"smooth_x": F.round("smooth_x", 4), "smooth_y": F.round("smooth_y", 4)})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from perilscope.operators.whatif import whatif_spread
 from perilscope.plans.catalog import (
     SCORED, fitted, logistic_scorers, query, rounded, with_policies,
 )
@@ -84,3 +85,41 @@ def stream_spread_monitor(spark, sf_dir):
         out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "mean_spread", "n"),
         "mean_spread",
     )
+
+
+SPREAD_GRID = [round(-0.2 + 0.02 * i, 2) for i in range(21)]
+SPREAD_WIDTH = 0.01
+
+
+def _window_figures(spark, sf_dir):
+    """The events arrive in two parts; the job stops between them and goes on from its checkpoint. The second part holds
+    earlier times too, so every window changes late."""
+    df, pipeline = fitted(spark, sf_dir)
+    df = materialise(df.select(*REQUEST_SCHEMA.names), "policies")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    inbox, path, progress = (job_folder(spark, name) for name in ("events", "windows", "progress"))
+    for part in (0, 1):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).write.mode("append").parquet(inbox)
+        arrived = spark.readStream.schema(events.schema).parquet(inbox)
+        requests = arrived.join(df, arrived.event_id == df.id_policy)
+        spreads = whatif_spread(requests, "drv_age1", 40, 60, logistic_scorers(pipeline)["net"]).select("ts", "spread")
+        out = jobs.window_figures(spreads, "ts", "spread", path, progress, grid=SPREAD_GRID, bandwidth=SPREAD_WIDTH)
+    return out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query("stream_window_state", with_policies(AGE_SQL + """
+select strftime(date_trunc('day', e.ts), '%Y-%m-%d') as day, round(avg(spread), 6) as mean_spread, cast(count(*) as bigint) as n
+from events e join spreads s on e.event_id = s.id_policy group by 1"""))
+def stream_window_state(spark, sf_dir):
+    return rounded(_window_figures(spark, sf_dir).select("day", F.col("mean").alias("mean_spread"), "n"), "mean_spread")
+
+
+@query("stream_window_density", with_policies(AGE_SQL + f"""
+select strftime(date_trunc('day', e.ts), '%Y-%m-%d') as day, x,
+  round(sum(exp(-0.5 * power((x - spread) / {SPREAD_WIDTH}, 2))) / (count(*) * {SPREAD_WIDTH} * sqrt(2 * pi())), 6) as density
+from events e join spreads s on e.event_id = s.id_policy
+cross join (select cast(unnest([{", ".join(map(str, SPREAD_GRID))}]) as double) as x) group by 1, 2"""))
+def stream_window_density(spark, sf_dir):
+    """Distribution of the spread in every time window."""
+    points = F.arrays_zip(F.array(*map(F.lit, SPREAD_GRID)).alias("x"), F.col("density").alias("density"))
+    return rounded(_window_figures(spark, sf_dir).select("day", F.inline(points)).toDF("day", "x", "density"), "density")

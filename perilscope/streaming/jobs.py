@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -170,3 +171,48 @@ def spread_windows(
         run_batches(stream, path, checkpoint, sums).groupBy("window_start", "window_end")
         .agg((F.sum("total") / F.sum("scored")).alias("mean_spread"), F.sum("n").alias("n"))
     )
+
+
+def window_figures(
+    stream: DataFrame, event_time: str, value: str, path: str, checkpoint: str, window: str = "1 day",
+    grid: Sequence[float] = (), bandwidth: float = 0.01, delay: str | None = None,
+) -> DataFrame:
+    """Count, mean and Gaussian kernel density of ``value`` per time window, kept as state.
+
+    The state of a window is its counts, a sum, and one sum of kernels per grid point, so it does not grow with the records.
+    Every micro-batch writes the windows it changed, under its own number; a batch that is run again
+    replaces what it wrote, and the newest row of a window counts. A job that was stopped goes on from
+    its checkpoint. Late records change their window however late they are; with ``delay`` the state of a
+    window is dropped when the watermark has passed it, and records that come after that are not counted.
+
+    ``window_start``, ``window_end``, ``n``, ``mean`` and ``density`` (one number per grid point) of all windows so far. Records
+    without a time are in no window; those without a value count in ``n`` only; a window without values has nulls.
+    """
+    spark = stream.sparkSession
+    if delay:
+        stream = stream.withWatermark(event_time, delay)
+    kernels = [F.sum(F.exp(-0.5 * F.pow((F.lit(float(g)) - F.col(value)) / F.lit(bandwidth), 2))).alias(f"k{i}") for i, g in enumerate(grid)]
+    state = stream.groupBy(F.window(event_time, window)).agg(
+        F.count(F.lit(1)).alias("n"), F.count(value).alias("known"), F.sum(F.col(value).cast("double")).alias("total"), *kernels
+    )
+    rows = state.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *state.columns[1:])
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (
+        rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).foreachBatch(write).start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+    written = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+    newest = written.groupBy("window_start", "window_end").agg(
+        F.max_by(F.struct("n", "known", "total", *[f"k{i}" for i in range(len(grid))]), "batch").alias("s")
+    )
+    density = [F.col(f"s.k{i}") / (F.col("s.known") * F.lit(bandwidth * math.sqrt(2 * math.pi))) for i in range(len(grid))]
+    empty = F.col("s.known") == 0
+    return newest.select(
+        "window_start", "window_end", F.col("s.n").alias("n"), F.when(~empty, F.col("s.total") / F.col("s.known")).alias("mean"),
+        F.when(~empty, F.array(*density).cast("array<double>")).alias("density"),
+    )

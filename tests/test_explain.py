@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -165,3 +166,39 @@ def test_effect_of_a_text_feature_is_refused(spark):
     )
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         E.shap_effect_points(shap, "a").collect()
+
+
+def local_fit(points, at, span):
+    """Weighted least squares of a parabola through the nearest share of the points."""
+    x, y = np.array(points, float).T
+    away = np.abs(x - at)
+    width = np.sort(away)[min(len(x), max(3, math.ceil(span * len(x)))) - 1]
+    u = np.minimum(away / width, 1)
+    w = np.sqrt((1 - u**3) ** 3)
+    basis = np.stack([np.ones(len(x)), x - at, (x - at) ** 2], 1)
+    return np.linalg.lstsq(basis * w[:, None], y * w, rcond=None)[0][0]
+
+
+@pytest.mark.parametrize("span", [0.2, 0.5, 0.99])
+def test_local_loess_equals_least_squares_of_every_curve(spark, span):
+    r = np.random.default_rng(7)
+    points = [(m, float(x), float(np.sin(x) * (m + 1) + e)) for m in (0, 1) for x, e in zip(r.uniform(0, 9, 120 + m), r.normal(0, 0.1, 200))]
+    df = spark.createDataFrame([*points, (0, None, 1.0), (1, 2.0, None)], "m int, x double, y double")
+    got = E.loess_curve(df, ["m"], span=span).collect()
+    assert len(got) == 20
+    for row in got:
+        own = [(x, y) for m, x, y in points if m == row["m"]]
+        assert row["smooth_y"] == pytest.approx(local_fit(own, row["smooth_x"], span), rel=1e-7, abs=1e-9)
+
+
+def test_local_loess_of_many_curves_ties_and_no_points(spark, monkeypatch):
+    monkeypatch.setattr(E, "CURVES_AT_ONCE", 2)
+    df = spark.createDataFrame([(m, float(x), float(x * x + m)) for m in range(5) for x in range(12)], "m int, x double, y double")
+    for row in E.loess_curve(df, ["m"], grid=4, span=0.6).collect():
+        assert row["smooth_y"] == pytest.approx(row["smooth_x"] ** 2 + row["m"])
+    # all points stand on one place: no point is nearer than the bandwidth but those at distance 0
+    tied = spark.createDataFrame([(2.0, 1.0), (2.0, 3.0), (2.0, 5.0), (2.0, 7.0)], "x double, y double")
+    assert {r["smooth_y"] for r in E.loess_curve(tied, span=0.5).collect()} == {4.0}
+    assert E.loess_curve(tied.limit(0), span=0.5).count() == 0
+    with pytest.raises(ValueError):
+        E.loess_curve(tied, span=0.0)

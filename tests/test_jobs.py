@@ -1,5 +1,6 @@
 import glob
 import json
+import math
 import os
 
 import pytest
@@ -249,3 +250,56 @@ def test_a_stream_without_a_batch_has_an_empty_result(spark, tmp_path):
     stream = jobs.request_stream(spark, str(inbox), jobs.BODY_SCHEMA)
     out = jobs.run_batches(stream, str(tmp_path / "out"), str(tmp_path / "mark"), lambda batch: batch.withColumn("n", F.lit(1)))
     assert out.columns == ["request_id", "body", "n"] and out.count() == 0
+
+
+def window_rows(spark, inbox, path, progress, files_a_batch=1, **options):
+    schema = "ts timestamp, v double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(inbox)
+    out = jobs.window_figures(stream, "ts", "v", path, progress, grid=[0.0, 0.5], bandwidth=0.5, **options)
+    return {str(r["window_start"])[:10]: (r["n"], r["mean"], r["density"]) for r in out.collect()}
+
+
+def test_window_state_survives_a_stop_a_failure_and_late_records(spark, monkeypatch):
+    import datetime
+
+    inbox, path, progress = (job_folder(spark, n) for n in ("inbox", "windows", "progress"))
+    rows = [(datetime.datetime(2024, 1, 1 + k % 3, k % 24), None if k % 10 == 9 else k / 40) for k in range(40)]
+    rows += [(None, 1.0), (datetime.datetime(2024, 2, 1), None)]
+
+    def arrive(some):
+        spark.createDataFrame(some, "ts timestamp, v double").coalesce(1).write.mode("append").json(inbox)
+
+    arrive(rows[:10])
+    assert window_rows(spark, inbox, path, progress)["2024-01-01"][0] == 4
+    arrive(rows[10:25])
+    # the second batch fails after it wrote
+    write = type(spark.range(1).write).parquet
+    def broken(self, path, *a, **k):
+        write(self, path, *a, **k)
+        if path.endswith("batch=1"):
+            raise RuntimeError("lost")
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", broken)
+    with pytest.raises(Exception, match="lost"):
+        window_rows(spark, inbox, path, progress)
+    monkeypatch.undo()
+    arrive(rows[25:])
+    out = window_rows(spark, inbox, path, progress)
+    assert set(out) == {"2024-01-01", "2024-01-02", "2024-01-03", "2024-02-01"}
+    assert out["2024-02-01"] == (1, None, None)
+    for day in (1, 2, 3):
+        own = [v for t, v in rows if t and t.month == 1 and t.day == day]
+        known = [v for v in own if v is not None]
+        n, mean, density = out[f"2024-01-0{day}"]
+        assert n == len(own) and mean == pytest.approx(sum(known) / len(known))
+        for g, d in zip((0.0, 0.5), density):
+            want = sum(math.exp(-0.5 * ((g - v) / 0.5) ** 2) for v in known) / (len(known) * 0.5 * math.sqrt(2 * math.pi))
+            assert d == pytest.approx(want)
+    assert window_rows(spark, inbox, path, progress) == out  # nothing new
+
+
+def test_window_state_of_an_empty_folder(spark):
+    import os
+
+    inbox = job_folder(spark, "inbox")
+    os.makedirs(inbox.removeprefix("file:"))
+    assert window_rows(spark, inbox, job_folder(spark, "windows"), job_folder(spark, "progress")) == {}
