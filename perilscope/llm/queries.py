@@ -84,9 +84,9 @@ LISTED = ["ads", "adult", "bets", "casino", "pills", "spam"]
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four rules before a list of all crawled hosts with a listed name part."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    host = F.lower(F.regexp_extract("url", r"^.*?://([^/?#]*)", 1))
+    host = F.translate(F.regexp_extract("url", r"^(?s:.*?)://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     listed = (
-        pages.select(host.alias("key")).where(F.col("key").rlike(rf"(^|[.-])({'|'.join(LISTED)})([.-]|$)"))
+        pages.select(host.alias("key")).where(F.col("key").rlike(rf"(^|[.-])({'|'.join(LISTED)})([.-]|\z)"))
         .distinct().select("key", F.lit("block").alias("verdict"), F.lit(True).alias("listed"))
     )
     rules = spark.createDataFrame([(*r, False) for r in RULES], "key string, verdict string, listed boolean")

@@ -9,7 +9,8 @@ is joined on the digest and the string instead, with the same result.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and
 no entry; repeated URLs are judged one by one; of repeated entries the same
-key with verdict ``block`` wins; other columns pass through.
+key with verdict ``block`` wins; of entries of equal length that fit, the one with the longer
+path wins; other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +121,11 @@ _MARKS = {(False, "block"): 0, (False, "allow"): 1, (True, "block"): 2, (True, "
 _open: dict[str, Index] = {}
 
 
+def _path_length() -> Column:
+    slash = F.locate("/", F.col("key"))
+    return F.when(slash > 0, F.char_length("key") - slash + 1).otherwise(0)
+
+
 def filter_urls(
     pages: DataFrame, entries: DataFrame, url: str = "url", max_bytes: int = MAX_BYTES
 ) -> DataFrame:
@@ -130,11 +136,10 @@ def filter_urls(
     of these names.
     """
     table = entry_table(entries)
-    path = F.regexp_extract("key", "(/.*)?$", 0)
     shape = table.agg(
         F.sum(F.octet_length("key") + 17).alias("size"),
         F.max(F.size(F.split("key", r"\.", -1))).alias("labels"),
-        F.collect_set(F.char_length(path)).alias("lengths"),
+        F.collect_set(_path_length()).alias("lengths"),
     ).first()
     labels, lengths = shape["labels"] or 0, sorted(shape["lengths"])
     added = [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]
@@ -149,6 +154,7 @@ def filter_urls(
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _open:
+            _open.clear()  # a worker keeps one file open
             _open[name] = Index(SparkFiles.get(name))
         index = _open[name]
         for batch in stream:
@@ -162,6 +168,7 @@ def filter_urls(
                 for key in ks:
                     for mark in next(marks):
                         listed, verdict = mark > 1, "allow" if mark % 2 else "block"
+                        # candidates come with the shorter host, that is the longer path, first
                         if len(key) > len(best[listed][0] or ""):
                             best[listed] = (key, verdict)
                 rules.append(best[False][0])
@@ -187,10 +194,9 @@ def _joined(pages: DataFrame, table: DataFrame, url: str, labels: int, lengths:
         .withColumn("digest", F.xxhash64("key"))
     )
     hits = keys.join(table, ["digest", "key"])
-    best = F.max(F.struct(F.char_length("key").alias("n"), "key", "verdict"))
+    longest = F.struct(F.char_length("key").alias("n"), _path_length().alias("path_length"), "key", "verdict")
     decided = hits.groupBy("host", "path").agg(
-        best.alias("any"),
-        F.max(F.when(~F.col("listed"), F.struct(F.char_length("key").alias("n"), "key", "verdict"))).alias("rule_row"),
+        F.max(longest).alias("any"), F.max(F.when(~F.col("listed"), longest)).alias("rule_row")
     )
     return (
         split.drop("_url").join(decided, ["host", "path"], "left")
