@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 from perilscope.functions import expressions as X
 from perilscope.operators import aggregates as A
 from perilscope.operators import sampling as S
+from perilscope.operators import sketches as K
 from perilscope.operators.quantiles import exact_quantiles
 from perilscope.operators.selection import drop_incomplete, filter_equal
 from perilscope.operators.scoring import with_user_column
@@ -17,7 +18,7 @@ from perilscope.operators.whatif import overwrite, stack_frames
 from perilscope.plans.catalog import (
     SPLIT, labelled, query, rounded, select_policies, split_policies, with_policies,
 )
-from perilscope.session import job_folder
+from perilscope.session import job_folder, materialise
 from perilscope.sources import files
 from perilscope.sources.tables import POLICY_COLUMNS, POLICY_SCHEMA, policies, table
 
@@ -376,6 +377,28 @@ def quantiles(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "feature string, prob double, value double"), "value")
 
 
+@query("sketch_quantiles", select_policies("\nunion all ".join(
+    f"select {g} as coverage, '{c}' as feature, cast({p} as double) as prob, cast(count({c}) as bigint) as n, true as is_near from policies group by {key}"
+    for g, key in (("pol_coverage", "pol_coverage"), ("'all'", "()")) for c in NUMERIC for p in PROBS)))
+def sketch_quantiles(spark, sf_dir):
+    """Quantiles per coverage, and of all rows from the stored sketches; true where the value's rank is within the error."""
+    df = policies(spark, sf_dir).select("pol_coverage", *NUMERIC)
+    parts = materialise(K.quantile_sketches(df, NUMERIC, ["pol_coverage"]).withColumnRenamed("pol_coverage", "coverage"), "sketches")
+    every = K.merge_sketches(parts).withColumn("coverage", F.lit("all"))
+    found = materialise(K.sketch_quantiles(parts.unionByName(every), PROBS), "found")
+    values = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in NUMERIC]))
+    long = df.select(F.explode(F.array("pol_coverage", F.lit("all"))).alias("coverage"), *NUMERIC).select("coverage", values)
+    # a few numbers per coverage and feature beside every row
+    ranked = long.withColumnRenamed("coverage", "group").join(
+        found.withColumnRenamed("feature", "name"), F.col("group").eqNullSafe(F.col("coverage")) & (F.col("feature") == F.col("name"))
+    ).groupBy("coverage", "feature", "prob", "n").agg(
+        F.count(F.when(F.col("x") < F.col("value"), 1)).alias("below"), F.count(F.when(F.col("x") <= F.col("value"), 1)).alias("until")
+    )
+    error = 3 * K.rank_error() * F.col("n") + 1
+    near = (F.col("below") - error <= F.col("prob") * F.col("n")) & (F.col("prob") * F.col("n") <= F.col("until") + error)
+    return ranked.select("coverage", "feature", "prob", "n", near.alias("is_near"))
+
+
 @query("medians", select_policies(_per_feature({"median": "quantile_cont({}, 0.5)"})))
 def medians(spark, sf_dir):
     values = exact_quantiles(policies(spark, sf_dir), NUMERIC, [0.5])
