@@ -196,7 +196,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases of every document, and labels of the templates its lines contain."""
+    """License phrases of every document, and labels of the templates its word windows contain."""
     scanned = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
     starts = F.transform("places", lambda p: p["word"])
     base = F.transform("places", lambda p: p["label"])
@@ -219,7 +219,7 @@ _WORDS_SQL = (
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 _TEMPLATE_ROWS = ", ".join(
-    f"({k}, '{label}', [{', '.join(repr(w) for w in sorted(set(licenses._words(t))))}])"
+    f"({k}, '{label}', {licenses.window(t)}, {licenses.least(t)}, [{', '.join(repr(w) for w in sorted(set(licenses._words(t))))}])"
     for k, (label, t) in enumerate(licenses.TEMPLATES)
 )
 OP10_SQL = rf"""
@@ -235,13 +235,16 @@ places as (
   select a.r, a.i, 'gpl' from numbered a join numbered b on a.r = b.r and b.i = a.i + 1
     join numbered c on a.r = c.r and c.i = a.i + 2
     where a.word = 'general' and b.word = 'public' and c.word = 'license'),
-templates(k, label, words) as (values {_TEMPLATE_ROWS}),
-lines as (
-  select r, {_WORDS_SQL.format("line")} as w
-  from (select r, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) as line from lowered)),
-blocks as (
-  select r, label, len(list_intersect(w, words)) / len(words) as share from lines, templates
-  where len(list_intersect(w, words)) >= {licenses.THRESHOLD} * len(words) - 1e-9),
+templates(k, label, size, need, words) as (values {_TEMPLATE_ROWS}),
+hits as (
+  select r, k, size, i, i // size as part, word
+  from numbered join (select k, size, unnest(words) as word from templates) using (word)),
+windows as (
+  select a.r, a.k, a.i, count(distinct b.word) as held
+  from hits a join (select *, part as near from hits union all select *, part - 1 from hits) b
+    on a.r = b.r and a.k = b.k and a.part = b.near and b.i >= a.i and b.i < a.i + a.size
+  group by all),
+blocks as (select r, label, held / len(words) as share from windows join templates using (k) where held >= need),
 based as (select r, count(*) as n, min(i) as a, max(i) as b, string_agg(distinct label, ',' order by label) as labels
   from places group by r),
 every as (select r, string_agg(distinct label, ',' order by label) as labels

@@ -1,5 +1,6 @@
 """URL filters, sharding and license scans on small cases and against brute force."""
 
+import math
 import random
 import re
 
@@ -127,12 +128,13 @@ def brute(text):
         (i, label) for phrase, label in PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()
     )
     blocks = []
-    for k, line in enumerate(re.split(r"\r\n|\n|\r", lower)):
-        held = set(split(line))
-        for label, template in TEMPLATES:
-            share = len(held & set(template.split())) / len(set(template.split()))
-            if share >= 0.8:
-                blocks.append((k, label, round(share, 9)))
+    for label, template in TEMPLATES:
+        whole = set(template.split())
+        size, need = math.ceil(len(template.split()) / 0.8), len(whole) if len(whole) < 10 else math.ceil(0.8 * len(whole))
+        for i in range(len(words)):
+            held = len(whole.intersection(words[i : i + size]))
+            if words[i] in whole and held >= need:
+                blocks.append((i, min(size, len(words) - i), label, round(held / len(whole), 9)))
     return len(words), places, sorted(blocks)
 
 
@@ -141,7 +143,7 @@ def license_texts():
     pool = "red green blue black white stone one two three four five six seven eight nine ten mit license x MIT License É k".split()
     texts = [None, "", "\n\n", "mit license mit license", "x x x x x", "MIT\nLicense", "red, STONE!\r\nred green blue black"]
     texts += ["".join(r.choice(pool) + r.choice([" ", " ", ", ", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(150)]
-    return texts + ["word " * 40_000 + "\nwhite black blue green\n" + "mit license " * 3, texts[9]]
+    return texts + ["word " * 40_000 + "\nwhite black blue\ngreen word red\n" + "mit license " * 3, texts[9]]
 
 
 def test_scans_equal_a_plain_search(spark):
@@ -152,7 +154,7 @@ def test_scans_equal_a_plain_search(spark):
     for k, text in enumerate(texts):
         r = rows[k]
         places = sorted((p["word"], p["label"]) for p in r["places"])
-        blocks = sorted((b["block"], b["label"], round(b["containment"], 9)) for b in r["blocks"])
+        blocks = sorted((b["word"], b["words"], b["label"], round(b["containment"], 9)) for b in r["blocks"])
         assert (r["n_words"], places, blocks) == brute(text), text
 
 
@@ -163,3 +165,29 @@ def test_scans_of_nothing(spark):
     assert row["places"] == [] and row["blocks"] == [] and row["n_words"] == 2
     with pytest.raises(ValueError):
         licenses.scan_licenses(docs, templates=[("a", "?!")])
+
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file"""
+BSD = """Redistribution and use in source and binary forms, with or without
+   modification, are permitted provided that the following conditions are met"""
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (MPL, {"mpl"}),
+        (BSD, {"bsd"}),
+        ("words before " * 5000 + MPL.replace("\n", " ") + " words after" * 5000 + BSD, {"mpl", "bsd"}),
+        (BSD.replace("source and", "source code and also"), {"bsd"}),
+        ("the software was released under the license of a dog", set()),
+        ("Licensed under the Mozilla Public License, Version 2.0", set()),
+        ("Licensed under\r\nCC BY-NC 4.0.", {"cc-by-nc"}),
+        ("\n".join("any use of this file may be except for the License in compliance with you not".split()), {"apache"}),
+        (" and then of course ".join(MPL.split()), set()),
+        ("Licensed under C\u212a BY-NC 4.0", set()),
+    ],
+)
+def test_notices_over_line_ends(spark, text, labels):
+    docs = spark.createDataFrame([(text,)], "text string")
+    assert {b["label"] for b in licenses.scan_licenses(docs).first()["blocks"]} == labels
