@@ -109,6 +109,29 @@ def test_baum_welch_never_lowers_the_likelihood():
     assert before > (np.log10(share)[symbols]).sum()
 
 
+def test_words_beyond_the_symbols_learn_their_states(spark):
+    """Two kinds of texts with words of their own, none of them frequent: the classes tell the kinds apart."""
+    r = random.Random(7)
+    data = [(i, " ".join(f"{'ab'[i % 2]}{r.randint(0, 150)}" for _ in range(40))) for i in range(400)]
+    docs = frame(spark, data)
+    held = {}
+    for classes in (1, hmm.CLASSES):
+        whole, hmm.CLASSES = hmm.CLASSES, classes
+        try:
+            out = hmm.score_texts(docs, max_words=0, states=2, rounds=8, tolerance=0.0).collect()
+        finally:
+            hmm.CLASSES = whole
+        held[classes] = sum(x["score"] for x in out if not x["train"]) / sum(not x["train"] for x in out)
+    assert held[hmm.CLASSES] > held[1] + 1, held
+
+
+def test_classes_cover_every_hash():
+    hashes = np.random.default_rng(0).integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2)
+    for n in (1, 2, 64, hmm.CLASSES):
+        of = hmm.class_of(hashes, n)
+        assert of.min() >= 0 and of.max() < n and len(np.unique(of)) > 0.4 * min(n, len(hashes))
+
+
 def test_the_model_sums_to_one_over_short_texts():
     share = np.array([0.3, 0.2, 0.5])
     model = hmm.Model.start(share, 2, 1)
@@ -121,7 +144,7 @@ def test_language_model_without_training_and_without_rows(spark):
     docs = frame(spark, rows()[:6])
     out = hmm.score_texts(docs.withColumn("train", F.lit(False))).collect()
     assert len(out) == 6 and {(r["train_tokens"], r["n_known"]) for r in out} == {(0, 0)}
-    assert all(math.isfinite(r["score"]) and r["base_score"] == 0 for r in out)
+    assert all(math.isfinite(r["score"]) and abs(r["base_score"]) < 1e-9 for r in out)
     assert hmm.score_texts(docs.limit(0)).count() == 0
 
 
