@@ -100,3 +100,20 @@ def test_no_task_gets_value_counts(spark, monkeypatch):
     exact_quantiles(frame(spark, range(5000)), ["x"], PROBS)
     assert materialise is Q.materialise and plans
     assert all("SinglePartition" not in p and "percentile" not in p and "partial_count" in p for p in plans)
+
+
+def test_a_round_hands_on_counts_only(spark, monkeypatch):
+    """However many columns, the rows that a round shuffles are those of cells, not one per value and column."""
+    data = np.random.default_rng(8).integers(0, 5, 4000)
+    df = frame(spark, data.astype(float)).repartition(2).select(*[(F.col("x") * k).alias(f"c{k}") for k in range(1, 9)])
+    plans, counted = [], Q._counted
+    monkeypatch.setattr(Q, "_counted", lambda values, cells: plans.append(values) or counted(values, cells))
+    assert exact_quantiles(df, df.columns, [0.5]) == {f"c{k}": [float(np.median(data) * k)] for k in range(1, 9)}
+    rows = Q._counted(plans[0], {i: Q._Cells(f"x{i}") for i in range(8)})
+    assert sum(len(r) for r in rows.values()) <= 8 * 4 and sum(c["n"] for c in rows[0]) == 4000
+
+
+def test_classes_ascend_with_their_values():
+    x = np.array([-np.inf, -1e308, -2.0, -1.5, -1e-310, 0.0, 5e-324, 1.0, 1.9999, 2.0, 8.0, 1e308, np.inf, np.nan])
+    found = Q._class(x)
+    assert (np.diff(found) >= 0).all() and found[7] == found[8] < found[9] < found[10] and found[5] == Q.NOT_A_NUMBER
