@@ -1,5 +1,7 @@
 """Boosted trees against a plain version in numpy, and closed forms."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +175,35 @@ def test_a_scan_is_one_shuffle_of_sums(spark):
     g = B._Growing(0, B.BoostedModel(B.EVENT, 0.0), tree=B.Tree(), open=[0], columns=[0, 1])
     plan = B._sums(binned.table, [g], [8] * 4, True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Scan parquet") == 1
+
+
+@pytest.mark.parametrize("largest", [1.0, 1e6])  # with the second, curvatures are too large to be packed
+def test_sums_of_nodes_and_bins_are_exact(largest):
+    r = np.random.default_rng(3)
+    n, nodes, n_bins = 3000, 5, [1, 7, 255]
+    bins = np.stack([r.integers(0, k, n) for k in n_bins]).astype(np.uint8)
+    place = r.integers(0, nodes, n)
+    g, h = np.rint(r.normal(size=n) * B.UNIT), np.rint(r.random(n) * largest * B.UNIT)
+    totals = [np.zeros((3, nodes * k), dtype=np.int64) for k in n_bins]
+    for _ in range(2):
+        B._add_up(totals, [0, 1, 2], n_bins, bins, place, nodes, g, h)
+    for f, k in enumerate(n_bins):
+        want = np.zeros((3, nodes * k), dtype=np.int64)
+        np.add.at(want, (slice(None), place * k + bins[f]), 2 * np.stack([g, h, np.ones(n)]).astype(np.int64))
+        assert (totals[f] == want).all()
+
+
+def test_blocks_are_full_and_earlier_margins_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(B, "REWRITE", 1)
+    written = []
+    keep = B.materialise
+    monkeypatch.setattr(B, "materialise", lambda df, name: written.append(keep(df, name)) or written[-1])
+    rows = spark.range(40_000, numPartitions=1).select(
+        F.array((F.col("id") % 50).cast("double"), F.lit(1.0)).alias("x"), (F.col("id") % 50 > 20).cast("double").alias("y"), "id")
+    binned = B.bin_rows(rows, ["a", "b"], F.col("x"), "y", [F.lit(B.TRAIN)], F.xxhash64("id"), edges=[[5.0, 20.0], []])
+    assert binned.table.where(f"n < {B.SLICE}").count() <= binned.table.rdd.getNumPartitions()
+    paths = lambda df: df.inputFiles()
+    model = B.fit_boosted(binned, [B.TreeSettings(max_depth=2, rounds=3)]).models[0]
+    assert [t.feature[0] for t in model.trees] == [0, 0, 0]
+    local = [[p.removeprefix("file://") for p in paths(df)] for df in written]
+    assert [all(os.path.exists(p) for p in part) for part in local] == [True] + [False] * (len(local) - 2) + [True]
