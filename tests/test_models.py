@@ -100,3 +100,18 @@ def test_pure_premium_is_saved_whole(spark, fitted_policies):
     again = M.PurePremium.load(spark, path).expected_claim(df).withColumnRenamed("expected_claim", "again")
     both = model.expected_claim(df).join(again, "id_policy")
     assert both.count() == df.count() and both.where("abs(expected_claim - again) > 1e-9").count() == 0
+
+
+def test_design_rows_are_compiled_in_small_methods(spark):
+    """A whole-stage method of 61 columns is too long for the JVM's compiler; the levels are those of plain comparisons."""
+    from perilscope.operators import design
+    from perilscope.sources.tables import POLICY_SCHEMA
+
+    names = POLICY_SCHEMA.names
+    rows = [tuple(m if n == "vh_make_model" else k if n == "id_policy" else None for n in names) for k, m in enumerate(["a", "b", "z", None, "OTHER"])]
+    matrix = design.DesignMatrix({c: 0.0 for c in design.NUMERIC_COLUMNS}, ["b", "a"])
+    out = matrix.vectors_ready(spark.createDataFrame(rows, POLICY_SCHEMA), ["id_policy"])
+    found = {r[0]: tuple(r)[1:] for r in out.select("id_policy", *[f"vh_make_model_{v}" for v in ("b", "a", "OTHER")]).collect()}
+    assert found == {0: (0, 1, 0), 1: (1, 0, 0), 2: (0, 0, 1), 3: (0, 0, 1), 4: (0, 0, 1)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.lstrip().startswith("Project")
