@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from perilscope.operators.scoring import Scorer
 from perilscope.operators.whatif import whatif_spread
 from perilscope.session import path_exists
-from perilscope.sources.files import all_responses, parse_requests
+from perilscope.sources.files import model_responses, parse_requests
 
 
 BAD_LINE = "_bad_line"
@@ -86,10 +85,7 @@ def respond(
     A request is one line, so its records are in one micro-batch.
     """
     def replies(batch: DataFrame) -> DataFrame:
-        parts = [
-            all_responses(batch, schema, scorer).withColumn("model", F.lit(name)) for name, scorer in scorers.items()
-        ]
-        return reduce(DataFrame.unionByName, parts).select("request_id", "model", "status", "response")
+        return model_responses(batch, schema, scorers).select("request_id", "model", "status", "response")
 
     return run_batches(request_stream(spark, inbox, BODY_SCHEMA, files_a_batch), path, checkpoint, replies)
 
