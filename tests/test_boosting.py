@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,51 @@ def test_blocks_are_full_and_earlier_margins_are_deleted(spark, monkeypatch):
     assert [t.feature[0] for t in model.trees] == [0, 0, 0]
     local = [[p.removeprefix("file://") for p in paths(df)] for df in written]
     assert [all(os.path.exists(p) for p in part) for part in local] == [True] + [False] * (len(local) - 2) + [True]
+
+
+def test_only_the_smaller_of_two_nodes_is_counted(spark):
+    x, y, role = data("logistic", 600)
+    binned = table(spark, x, y, role, bins=12)
+    s = B.TreeSettings("logistic", 3, 1, 0.3)
+    n_bins = [len(e) + 1 for e in binned.edges]
+    g = B._Growing(0, B.BoostedModel(s, 0.0), tree=B.Tree(), open=[0], columns=[0, 1, 2, 3])
+    tasks = binned.table.rdd.getNumPartitions()
+    sizes = []
+    for level in range(2):
+        _, cuts = B._step(binned.table, tasks, [g], n_bins, False)
+        B._extend(g, cuts[0], level)
+        parts = B._sums(binned.table, [g], n_bins, False).collect()
+        sizes.append(sum(len(r["sums"]) for r in parts) // tasks)
+        assert len(g.open) == 2 * len(g.rest) == 2 * len(g.counted())
+    # two sums of the loss, three per counted node and bin
+    assert sizes == [8 * (2 + 3 * k * sum(n_bins)) for k in (1, len(g.counted()))]
+    train, bins = np.flatnonzero(role == B.TRAIN), B.to_bins(x, binned.edges)
+    ends = g.tree.nodes(bins, train)
+    for one, other in zip(g.open[::2], g.open[1::2]):
+        left, right = (int((ends == k).sum()) for k in (one, other))
+        assert g.rest[g.open.index(one) // 2] == (other if left <= right else one)
+    _, cuts = B._step(binned.table, tasks, [g], n_bins, False)
+    assert g.sums[0, 2].sum(axis=1).tolist() == [int((ends == k).sum()) for k in g.open]
+
+
+def test_beyond_a_few_tasks_the_sums_are_added_up_by_tasks(spark, monkeypatch):
+    x, y, role = data("tweedie")
+    s = SETTINGS["tweedie"]
+    fits = []
+    for most in (16, 2):
+        monkeypatch.setattr(B, "FAN_IN", most)
+        fits.append(B.fit_boosted(table(spark, x, y, role, 5, bins=12), [s]).models[0])
+    assert fits[0] == fits[1]
+
+
+def test_a_task_reads_few_blocks_at_once(spark, monkeypatch):
+    monkeypatch.setattr(B, "SLICE", 10)
+    rows = spark.range(4000, numPartitions=1).select(F.array(F.rand(1)).alias("x"), (F.col("id") % 2).cast("double").alias("y"), "id")
+    binned = B.bin_rows(rows, ["a"], F.col("x"), "y", [F.lit(B.TRAIN)], F.xxhash64("id"))
+
+    def run(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    found = [r["n"] for r in binned.table.mapInArrow(run, "n long").collect()]
+    assert sum(found) >= 400 and max(found) <= 32

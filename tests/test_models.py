@@ -1,4 +1,5 @@
 import math
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,8 @@ def test_design_rows_are_compiled_in_small_methods(spark):
     assert found == {0: (0, 1, 0), 1: (1, 0, 0), 2: (0, 0, 1), 3: (0, 0, 1), 4: (0, 0, 1)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.lstrip().startswith("Project")
+
+
+def test_fits_wait_for_each_other(spark):
+    both = threading.Barrier(2, timeout=30)
+    assert M.at_the_same_time(lambda: (both.wait(), 1)[1], lambda: (both.wait(), 2)[1]) == [1, 2]

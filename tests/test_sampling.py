@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,19 @@ def test_first_rows_of_sparse_keys(spark):
     ordered = sorted(wide, key=lambda k: (k is not None, k or 0))
     for n in range(1, 9):
         assert [r["k"] for r in S.first_rows(df, "k", n).collect()] == ordered[:n]
+
+
+@pytest.mark.parametrize("listed", [0, 20, 10_000])
+def test_cuts_are_those_of_sorted_digests(spark, monkeypatch, listed):
+    monkeypatch.setattr(S, "LISTED", listed)
+    seeds = [5, 6, 7]
+    found = S.cut_digests(ids(spark, 3000), "k", lambda n: n // 3, seeds)
+    assert found == [sorted(hashlib.md5(f"{s}:{k}".encode()).hexdigest() for k in range(3000))[999] for s in seeds]
+
+
+def test_prefixes_are_counted_without_a_sort(spark, monkeypatch):
+    plans = []
+    keep = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    S.cut_digests(ids(spark, 500), "k", lambda n: n // 2, [1, 2])
+    assert len(plans) == 2 and all("Sort" not in plan and "HashAggregate" in plan for plan in plans)
